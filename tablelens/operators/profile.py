@@ -243,12 +243,14 @@ def numeric_outliers(
 def totals(df: DataFrame, value_col: str | None = None) -> DataFrame:
     """(rows, total_value, avg_value); sum of nothing is 0, mean of nothing null."""
     if value_col and value_col in df.columns:
-        v = to_number(F.col(value_col), df.schema[value_col].dataType)
-        v = F.nanvl(v, F.lit(None).cast("double"))
+        from tablelens.operators.timeseries import _value
+
+        v = _value(df, value_col)
+        total = F.sum(v).cast("double")
         return df.agg(
             F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(v), F.lit(0.0)).alias("total_value"),
-            F.avg(v).alias("avg_value"),
+            F.coalesce(total, F.lit(0.0)).alias("total_value"),
+            (total / F.count(v)).alias("avg_value"),
         )
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
         "rows",
