@@ -596,3 +596,108 @@ UNION ALL SELECT 'rows', NULL, (SELECT count(*) FROM c)""",
 def q_clean_report(spark, sf):
     _, report = cleaning.clean(dirty_events(spark, sf), id_col="user_id", ts_col="ts")
     return report.select("step", "column", "affected")
+
+
+# --------------------------------------------------------------- roles ---
+
+ORDERS_COLS = [
+    ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+    ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"),
+]
+_NUMERIC = {"bigint", "int", "double"}
+
+
+def _facts_sql(source: str, cols: list[tuple[str, str]]) -> str:
+    parts = []
+    for i, (c, t) in enumerate(cols):
+        if t in _NUMERIC:
+            dp = "0"
+        elif t.startswith("timestamp"):
+            dp = f"count({c})"
+        else:
+            dp = f"count(TRY_CAST({c} AS TIMESTAMP))"
+        parts.append(
+            f"SELECT '{c}' AS {_q('column')}, {i} AS pos, {str(t in _NUMERIC).lower()} AS is_numeric, "
+            f"{str(t == 'string').lower()} AS is_string, count(*) AS rows, count(DISTINCT {c}) AS dist, "
+            f"{dp} AS date_parses FROM {source}"
+        )
+    return "f AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+def _suggest_sql(source: str, cols: list[tuple[str, str]]) -> str:
+    from tablelens.functions.constants import ROLES as _ROLES
+    from tablelens.operators.roles import name_score
+
+    lex = ", ".join(
+        f"('{r}', '{c}', {name_score(c, r)}, {ri})" for ri, r in enumerate(_ROLES) for c, _ in cols
+    )
+    return _with(
+        _facts_sql(source, cols),
+        f"lex(role, {_q('column')}, lex, role_pos) AS (VALUES {lex})",
+        """s AS (SELECT lex.role, lex."column", f.pos, lex.lex + CASE
+            WHEN lex.role = 'event_ts' THEN CASE WHEN CAST(date_parses AS DOUBLE) / rows >= 0.7 THEN 2
+                                                WHEN CAST(date_parses AS DOUBLE) / rows >= 0.3 THEN 1 ELSE 0 END
+            WHEN lex.role IN ('value', 'quantity') THEN CAST(is_numeric AS INTEGER)
+            WHEN lex.role = 'entity_id' THEN CASE WHEN CAST(dist AS DOUBLE) / rows >= 0.9 THEN 2
+                                                 WHEN CAST(dist AS DOUBLE) / rows >= 0.2 THEN 1 ELSE 0 END
+            ELSE 0 END AS score
+          FROM lex JOIN f ON lex."column" = f."column")""",
+    ) + """SELECT role, "column", CAST(score AS INTEGER) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY role ORDER BY score DESC, pos) AS rank FROM s WHERE score > 0)
+WHERE rank <= 3"""
+
+
+@register("suggest_roles_orders", _suggest_sql("orders", ORDERS_COLS))
+def q_suggest_orders(spark, sf):
+    from tablelens.operators import roles
+
+    return roles.suggest_roles(table(spark, sf, "orders"))
+
+
+@register("suggest_roles_dirty_events", _with(DIRTY_EVENTS_SQL).rstrip() + ",\n" + _suggest_sql("d", DIRTY_COLS)[5:])
+def q_suggest_dirty(spark, sf):
+    from tablelens.operators import roles
+
+    return roles.suggest_roles(dirty_events(spark, sf))
+
+
+def _infer_sql(source: str, cols: list[tuple[str, str]]) -> str:
+    from tablelens.functions.constants import DATETIME_NAME_KEYS, ID_NAME_KEYS
+
+    mono = []
+    for c, t in cols:
+        if t in ("bigint", "int"):
+            mono.append(
+                f"SELECT '{c}' AS {_q('column')}, coalesce(bool_and(x >= px), true) AND count(*) = count(x) AS monotonic "
+                f"FROM (SELECT {c} AS x, lag({c}) OVER () AS px FROM {source})"
+            )
+        else:
+            mono.append(f"SELECT '{c}', false")
+    names = ", ".join(
+        f"('{c}', {str(any(k in c.lower() for k in DATETIME_NAME_KEYS)).lower()}, "
+        f"{str(any(k in c.lower() for k in ID_NAME_KEYS)).lower()})"
+        for c, _ in cols
+    )
+    return _with(
+        _facts_sql(source, cols),
+        "m AS (" + "\nUNION ALL ".join(mono) + ")",
+        f"nm({_q('column')}, dt_name, id_name) AS (VALUES {names})",
+    ) + """SELECT f."column", f.is_numeric,
+       NOT f.is_numeric AND (f.dist <= greatest(50, floor(f.rows * 0.05)) OR f.is_string) AS is_categorical,
+       nm.dt_name AND f.date_parses > 0 AS is_datetime,
+       nm.id_name OR CAST(f.dist AS DOUBLE) / greatest(f.rows, 1) > 0.9 OR m.monotonic AS is_id_like
+FROM f JOIN nm ON f."column" = nm."column" JOIN m ON f."column" = m."column\""""
+
+
+@register("infer_columns_orders", _infer_sql("orders", ORDERS_COLS))
+def q_infer_orders(spark, sf):
+    from tablelens.operators import roles
+
+    return roles.infer_columns(table(spark, sf, "orders"))
+
+
+@register("default_columns_orders")
+def q_defaults_orders(spark, sf):
+    from tablelens.operators import roles
+
+    return roles.default_columns(table(spark, sf, "orders"))
