@@ -94,7 +94,7 @@ def weekly_series(df: DataFrame, ts_col: str, value_col: str | None = None) -> D
     p = period_aggregate(df, ts_col, value_col, None, "W")
     has_value = bool(value_col and value_col in df.columns)
     value = F.col("total") if has_value else F.col("n").cast("double")
-    return p.select(F.col("period").alias("week"), "n", value.alias("value"))
+    return p.select(F.col("period").alias("week"), "n", value.alias("value")).orderBy("week")
 
 
 def timeseries(
@@ -125,7 +125,7 @@ def timeseries(
         value = F.try_divide(F.col("total"), F.when(F.col("qty") != 0, F.col("qty")))
     else:
         value = F.col("mean")
-    return p.select("period", value.alias("value"))
+    return p.select("period", value.alias("value")).orderBy("period")
 
 
 def period_change(series: DataFrame, metric: str, value_col: str = "value",
