@@ -701,3 +701,145 @@ def q_defaults_orders(spark, sf):
     from tablelens.operators import roles
 
     return roles.default_columns(table(spark, sf, "orders"))
+
+
+# --------------------------------------------------- more profile/quality ---
+
+@register(
+    "top_categories_dirty_events",
+    _with(DIRTY_EVENTS_SQL)
+    + "SELECT CAST(event_type AS VARCHAR) AS member, count(*) AS n FROM d "
+    "GROUP BY 1 ORDER BY n DESC, member NULLS FIRST LIMIT 20",
+)
+def q_top_categories_dirty(spark, sf):
+    return profile.top_categories(dirty_events(spark, sf), "event_type", 20)
+
+
+@register(
+    "histogram_dirty_events",
+    _with(DIRTY_EVENTS_SQL)
+    + """, x AS (SELECT value AS x FROM d WHERE value IS NOT NULL AND NOT isnan(value)),
+b AS (SELECT min(x) AS a, max(x) AS b FROM x),
+c AS (SELECT CAST(least(floor((x.x - b.a) / (b.b - b.a) * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM x, b GROUP BY 1),
+s AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20))
+SELECT s.bin, round(b.a + s.bin * ((b.b - b.a) / 20), 6) AS lo, round(b.a + (s.bin + 1) * ((b.b - b.a) / 20), 6) AS hi,
+       coalesce(c.n, 0) AS n
+FROM s CROSS JOIN b LEFT JOIN c ON s.bin = c.bin""",
+)
+def q_histogram_dirty(spark, sf):
+    return _round(profile.histogram(dirty_events(spark, sf), "value", 20), {"lo": 6, "hi": 6})
+
+
+@register(
+    "timeseries_count_d_dirty_events",
+    _with(DIRTY_EVENTS_SQL).rstrip() + ",\n"
+    + _period_sql("CAST(ts AS DATE)", "1 DAY", "value", "d", "ts")
+    + "\nSELECT period, CAST(n AS DOUBLE) AS value FROM p",
+)
+def q_series_dirty(spark, sf):
+    return timeseries.timeseries(dirty_events(spark, sf), "ts", "value", None, "count", "D")
+
+
+@register(
+    "timeseries_avg_d_dirty_events",
+    _with(DIRTY_EVENTS_SQL).rstrip() + ",\n"
+    + _period_sql("CAST(ts AS DATE)", "1 DAY", "value", "d", "ts")
+    + "\nSELECT period, round(mean, 6) AS value FROM p",
+)
+def q_series_avg_dirty(spark, sf):
+    return _round(timeseries.timeseries(dirty_events(spark, sf), "ts", "value", None, "avg", "D"), {"value": 6})
+
+
+@register(
+    "validation_actions_dirty_events",
+    _with(
+        DIRTY_EVENTS_SQL,
+        "ex AS (SELECT count(*) AS k FROM (SELECT DISTINCT user_id, ts, event_type, value FROM d))",
+        "n AS (SELECT count(*) AS n FROM d)",
+        "s AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd, avg(CAST(user_id AS DOUBLE)) AS umu, "
+        "stddev_pop(CAST(user_id AS DOUBLE)) AS usd FROM d)",
+        "o AS (SELECT (SELECT count(*) FROM d, s WHERE sd > 0 AND abs((value - mu) / sd) > 4) AS vo, "
+        "(SELECT count(*) FROM d, s WHERE usd > 0 AND abs((user_id - umu) / usd) > 4) AS uo)",
+        "m AS (" + _missingness_sql("d", DIRTY_COLS) + ")",
+    )
+    + """SELECT 'confirm_timestamp' AS code, 'check zone and granularity of ts' AS detail
+UNION ALL SELECT 'drop_exact_duplicates', 'exact duplicate rows: ' || CAST(n.n - ex.k AS VARCHAR) FROM n, ex WHERE n.n - ex.k > 0
+UNION ALL SELECT 'winsorize_outliers', 'columns with outliers: ' || CAST(CAST(vo > 0 AS INTEGER) + CAST(uo > 0 AS INTEGER) AS VARCHAR)
+  FROM o WHERE vo > 0 OR uo > 0
+UNION ALL SELECT 'impute_heavy_missing', 'max missing pct: ' || CAST(max(missing_pct) AS VARCHAR) FROM m HAVING max(missing_pct) > 20""",
+)
+def q_actions(spark, sf):
+    from tablelens.plans.flows import validate
+
+    return validate(dirty_events(spark, sf))["actions"]
+
+
+@register(
+    "parse_report_events",
+    "SELECT 'ts' AS \"column\", 'timestamp_ntz' AS from_type, 'timestamp_ntz' AS to_type, "
+    "count(*) FILTER (WHERE ts IS NULL) AS missing_after FROM events",
+)
+def q_parse_report(spark, sf):
+    from tablelens.operators import columns
+
+    return columns.parse_report(table(spark, sf, "events"), "ts")
+
+
+@register(
+    "business_casts_sales",
+    _with(SALES_SQL) + "SELECT CAST(order_id AS BIGINT) AS order_id, entity_id, event_ts, value, category, state FROM sales",
+)
+def q_business_casts(spark, sf):
+    return cleaning.business_casts(sales(spark, sf))
+
+
+@register("normalize_columns_customer", "SELECT * FROM customer")
+def q_normalize(spark, sf):
+    from tablelens.operators import columns
+
+    return columns.normalize_columns(table(spark, sf, "customer"))
+
+
+def _diff_stage(stage: str, src: str, types: dict[str, str]) -> str:
+    miss = "\nUNION ALL ".join(
+        f"SELECT '{stage}', 'missing_ratio', '{c}', round_even(CAST({_missing_expr(c, types[c])} AS DOUBLE) / count(*), 4), "
+        f"'{types[c]}' FROM {src}"
+        for c, _ in DIRTY_COLS
+    )
+    return (
+        f"SELECT '{stage}' AS stage, 'rows' AS metric, CAST(NULL AS VARCHAR) AS \"column\", CAST(count(*) AS DOUBLE) AS value, "
+        f"CAST(NULL AS VARCHAR) AS detail FROM {src}\nUNION ALL {miss}\n"
+        f"UNION ALL SELECT '{stage}', 'dup_exact_ratio', NULL, "
+        f"CAST((SELECT count(*) FROM {src}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS DOUBLE) / (SELECT count(*) FROM {src}), NULL\n"
+        f"UNION ALL SELECT '{stage}', 'dup_pair_ratio', NULL, "
+        f"CAST((SELECT count(*) FROM {src}) - (SELECT count(*) FROM (SELECT DISTINCT user_id, ts FROM {src})) AS DOUBLE) / (SELECT count(*) FROM {src}), NULL"
+    )
+
+
+@register(
+    "quality_diff_dirty_events",
+    _with(DIRTY_EVENTS_SQL, *_CLEAN_CTES)
+    + _diff_stage("raw", "d", dict(DIRTY_COLS))
+    + "\nUNION ALL "
+    + _diff_stage("cleaned", "c", {"user_id": "double", "ts": "timestamp_ntz", "event_type": "string", "value": "double"}),
+)
+def q_quality_diff(spark, sf):
+    raw = dirty_events(spark, sf)
+    cleaned, _ = cleaning.clean(raw, id_col="user_id", ts_col="ts")
+    return quality.quality_diff(raw, cleaned, "user_id", "ts")
+
+
+# ----------------------------------------------------- end to end, ML ---
+
+@register("takeaways_sales")
+def q_takeaways(spark, sf):
+    s = sales(spark, sf)
+    k = insight.kpis(s, "event_ts", "value")
+    return _round(insight.takeaways(k["period_change"], insight.top_drivers(s, "event_ts", "value")), {"pct": 6})
+
+
+@register("regression_metrics_lineitem")
+def q_regression(spark, sf):
+    from tablelens.operators import ml
+
+    return ml.train_value_regressor(table(spark, sf, "lineitem"))["metrics"]
