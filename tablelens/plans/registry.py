@@ -584,14 +584,15 @@ def q_clean(spark, sf):
 @register(
     "clean_report_dirty_events",
     _with(DIRTY_EVENTS_SQL, *_CLEAN_CTES)
-    + """SELECT 'trim' AS step, CAST(NULL AS VARCHAR) AS "column", CAST(1 AS BIGINT) AS affected
+    + """SELECT * FROM (SELECT 'trim' AS step, CAST(NULL AS VARCHAR) AS "column", CAST(1 AS BIGINT) AS affected
 UNION ALL SELECT 'drop_exact_duplicates', NULL, (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t))
 UNION ALL SELECT 'drop_pair_duplicates', 'user_id,ts', (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) - (SELECT count(*) FROM p)
 UNION ALL SELECT 'winsorize', 'user_id', (SELECT count(*) FROM p, q WHERE user_id < ul OR user_id > uh)
 UNION ALL SELECT 'winsorize', 'value', (SELECT count(*) FROM p, q WHERE value < vl OR value > vh)
 UNION ALL SELECT 'impute_numeric', 'value', (SELECT count(*) FROM w WHERE value IS NULL)
 UNION ALL SELECT 'impute_categorical', 'event_type', (SELECT count(*) FROM w WHERE event_type IS NULL)
-UNION ALL SELECT 'rows', NULL, (SELECT count(*) FROM c)""",
+UNION ALL SELECT 'rows', NULL, (SELECT count(*) FROM c))
+WHERE step NOT IN ('winsorize', 'impute_numeric', 'impute_categorical') OR affected > 0""",
 )
 def q_clean_report(spark, sf):
     _, report = cleaning.clean(dirty_events(spark, sf), id_col="user_id", ts_col="ts")
