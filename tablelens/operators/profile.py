@@ -19,7 +19,7 @@ from tablelens.functions.expressions import (
     to_number,
     to_timestamp,
 )
-from tablelens.operators.stats import per_column_counts, quantiles
+from tablelens.operators.stats import per_column_counts, quantiles, stats_columns
 
 
 def _rows(df: DataFrame, specs: list[Column]) -> DataFrame:
@@ -96,55 +96,73 @@ def table_summary(df: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, samples: int = 3, exact: bool = True) -> DataFrame:
     """(column, dtype, unique, missing, missing_pct, sample_values).
 
-    `unique` counts distinct non-null values — exactly through one shuffle of
-    (column, value) pairs by default, or by HyperLogLog++ with `exact=False`
-    (one pass, fixed memory per column). `sample_values` are the smallest
-    `samples` distinct values as text (only in exact mode).
+    Exact mode (default) is one shuffle of (column, value) pairs — nulls
+    included — with map-side partial counting; distinct values, missing
+    counts and the `samples` smallest values (as text) are all read from
+    that one aggregate, and the per-column top-k is limited inside each
+    partition before its exchange. `exact=False` uses one HyperLogLog++ pass
+    (fixed memory per column) and gives no samples.
     """
+    from pyspark.sql import Window
+
     fields = df.schema.fields
     cols = [f.name for f in fields]
-    miss = missingness(df).select("column", "missing", "missing_pct")
-    meta = df.sparkSession.createDataFrame(
+    spark = df.sparkSession
+    meta = spark.createDataFrame(
         [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(fields)],
         "column string, pos int, dtype string",
     )
     if exact:
-        counts = per_column_counts(df, cols)
+        counts = per_column_counts(df, cols, include_nulls=True)
         vnames = [f"v{j}" for j in range(len(cols))]
+        nullish = F.lit(False)
+        for i, f in enumerate(fields):
+            nullish = F.when(F.col("g") == i, is_missing(vnames[i], f.dataType)).otherwise(nullish)
+        counts = counts.withColumn("nullish", nullish)
+        per = counts.groupBy("g").agg(
+            F.sum("n").alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("nullish"), F.col("n"))), F.lit(0)).alias("missing"),
+            F.count_if(~F.col("nullish")).alias("unique"),
+        )
         text = F.coalesce(*[F.col(v).cast("string") for v in vnames])
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("g").orderBy(*[F.col(v).asc_nulls_last() for v in vnames])
+        # Missing values sort last and are dropped after ranking: a filter
+        # before the window would be pushed under the shared aggregate and
+        # stop Spark from reusing its exchange for this branch.
+        w = Window.partitionBy("g").orderBy("nullish", *[F.col(v).asc_nulls_last() for v in vnames])
         sample = (
             counts.withColumn("rn", F.row_number().over(w))
-            .where(F.col("rn") <= samples)
+            .where((F.col("rn") <= samples) & ~F.col("nullish"))
             .groupBy("g")
             .agg(F.sort_array(F.collect_list(F.struct("rn", text.alias("t")))).alias("s"))
             .select("g", F.transform("s", lambda x: x["t"]).alias("sample_values"))
         )
-        uniq = counts.groupBy("g").agg(F.count(F.lit(1)).alias("unique"))
-        per = uniq.join(sample, "g", "left").withColumnRenamed("g", "pos")
+        per = per.join(sample, "g", "left").withColumnRenamed("g", "pos")
+        rows = F.col("rows")
     else:
         row = df.agg(
-            *[F.approx_count_distinct(c, 0.01).alias(f"u{i}") for i, c in enumerate(cols)]
+            F.count(F.lit(1)).alias("n"),
+            *[F.approx_count_distinct(c, 0.01).alias(f"u{i}") for i, c in enumerate(cols)],
+            *[F.count_if(is_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)],
         )
         per = _rows(
             row,
             [
-                F.struct(F.lit(i).alias("pos"), F.col(f"u{i}").alias("unique"),
-                         F.lit(None).cast("array<string>").alias("sample_values"))
+                F.struct(
+                    F.lit(i).alias("pos"), F.col(f"u{i}").alias("unique"), F.col(f"m{i}").alias("missing"),
+                    F.col("n").alias("rows"), F.lit(None).cast("array<string>").alias("sample_values"),
+                )
                 for i in range(len(cols))
             ],
         )
+        rows = F.col("rows")
     return (
         meta.join(per, "pos", "left")
-        .join(miss, "column", "left")
         .select(
             "column",
             "dtype",
             F.coalesce(F.col("unique"), F.lit(0)).cast("bigint").alias("unique"),
-            "missing",
-            "missing_pct",
+            F.coalesce(F.col("missing"), F.lit(0)).cast("bigint").alias("missing"),
+            _pct(F.col("missing"), rows).alias("missing_pct"),
             F.coalesce(F.col("sample_values"), F.array().cast("array<string>")).alias("sample_values"),
             "pos",
         )
@@ -213,8 +231,10 @@ def numeric_outliers(
         *[F.avg(x[c]).alias(f"mu{i}") for i, c in enumerate(cols)],
         *[F.stddev_pop(x[c]).alias(f"sd{i}") for i, c in enumerate(cols)],
         *[F.max(x[c]).alias(f"mx{i}") for i, c in enumerate(cols)],
+        *stats_columns(cols),
     ).first()
-    q = quantiles(df, {c: [0.99] for c in cols}, accuracy)
+    known = {c: (first[f"n{i}"], first[f"a{i}"], first[f"b{i}"]) for i, c in enumerate(cols)}
+    q = quantiles(df, {c: [0.99] for c in cols}, accuracy, stats=known)
     counts = []
     for i, c in enumerate(cols):
         mu, sd = first[f"mu{i}"], first[f"sd{i}"]

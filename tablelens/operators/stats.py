@@ -37,20 +37,24 @@ def exact_quantiles(
     *,
     max_candidates: int = _MAX_CANDIDATES,
     buckets: int = _BUCKETS,
+    stats: dict[str, tuple] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation between order statistics).
 
     `probs` maps column -> probabilities. Nulls and NaN are ignored. Returns
     column -> list of values aligned with `probs[column]` (None when empty).
+    `stats` may carry (count, min, max) per column from a pass the caller
+    already ran, which saves the first scan.
     """
     cols = [c for c in probs if probs[c]]
     if not cols:
         return {}
-    aggs = []
-    for i, c in enumerate(cols):
-        v = _num(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
-    head = df.agg(*aggs).first()
+    if stats is not None and all(c in stats for c in cols):
+        head = {}
+        for i, c in enumerate(cols):
+            head[f"n{i}"], head[f"a{i}"], head[f"b{i}"] = stats[c]
+    else:
+        head = df.agg(*stats_columns(cols)).first().asDict()
 
     # state per (column, rank): [lo, hi, below, inside]
     state: dict[tuple[str, int], list] = {}
@@ -155,6 +159,16 @@ def exact_quantiles(
     return out
 
 
+def stats_columns(cols: list[str]) -> list:
+    """count / min / max aggregates of the numeric reading of `cols`, named
+    n{i} / a{i} / b{i} (the first pass of `exact_quantiles`)."""
+    aggs = []
+    for i, c in enumerate(cols):
+        v = _num(c)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
+    return aggs
+
+
 def approx_quantiles(
     df: DataFrame, probs: dict[str, list[float]], accuracy: int = 10_000
 ) -> dict[str, list[float | None]]:
@@ -172,16 +186,18 @@ def approx_quantiles(
 
 
 def quantiles(
-    df: DataFrame, probs: dict[str, list[float]], accuracy: int | None = None
+    df: DataFrame, probs: dict[str, list[float]], accuracy: int | None = None,
+    stats: dict[str, tuple] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact by default; `accuracy=` switches to the one-pass sketch."""
     if accuracy:
         return approx_quantiles(df, probs, accuracy)
-    return exact_quantiles(df, probs)
+    return exact_quantiles(df, probs, stats=stats)
 
 
-def per_column_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(g, v0..vk-1, n): occurrences of each non-null value of each column.
+def per_column_counts(df: DataFrame, cols: list[str], include_nulls: bool = False) -> DataFrame:
+    """(g, v0..vk-1, n): occurrences of each value of each column (non-null
+    values only unless `include_nulls`, then null is one more group).
 
     Row g carries the value of column g in `v{g}` and nulls elsewhere, so every
     column keeps its own type (and its own ordering).
@@ -196,7 +212,10 @@ def per_column_counts(df: DataFrame, cols: list[str]) -> DataFrame:
                 members.append(F.col(c).alias(vnames[j]))
             else:
                 members.append(F.lit(None).cast(fields[other]).alias(vnames[j]))
-        structs.append(F.when(F.col(c).isNotNull(), F.struct(*members)))
+        if include_nulls:
+            structs.append(F.struct(*members))
+        else:
+            structs.append(F.when(F.col(c).isNotNull(), F.struct(*members)))
     return (
         df.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
         .select("s.*")

@@ -33,15 +33,44 @@ def _value(df: DataFrame, column: str) -> Column:
     return F.nanvl(v, F.lit(None).cast("double"))
 
 
-def _spine(periods: DataFrame, freq: str) -> DataFrame:
-    bounds = periods.agg(F.min("period").alias("a"), F.max("period").alias("b"))
+def _fill_gaps(agg: DataFrame, freq: str) -> DataFrame:
+    """Insert the empty periods between consecutive aggregated periods.
+
+    One ordered pass over the aggregated frame (one row per period, bounded
+    by the calendar span): each row emits the missing periods since its
+    predecessor (`lag`) followed by itself. No second reference to the
+    aggregate, so the source is scanned once.
+    """
     f = freq.upper()
+    prev = F.lag("period").over(Window.orderBy("period"))
     if f == "M":
-        seq = F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))
-        return bounds.select(F.explode(seq).alias("p")).select(F.last_day("p").alias("period"))
-    step = 1 if f == "D" else 7
-    seq = F.sequence(F.col("a"), F.col("b"), F.expr(f"interval {step} day"))
-    return bounds.select(F.explode(seq).alias("period"))
+        start = F.add_months(F.trunc(F.col("prev"), "month"), 1)
+        stop = F.add_months(F.trunc(F.col("period"), "month"), -1)
+        gaps = F.transform(
+            F.sequence(start, stop, F.expr("interval 1 month")), lambda d: F.last_day(d)
+        )
+        has_gap = F.months_between(F.trunc(F.col("period"), "month"), F.trunc(F.col("prev"), "month")) > 1
+    else:
+        step = 1 if f == "D" else 7
+        gaps = F.sequence(
+            F.date_add(F.col("prev"), step), F.date_sub(F.col("period"), step), F.expr(f"interval {step} day")
+        )
+        has_gap = F.datediff(F.col("period"), F.col("prev")) > step
+    empty = F.transform(
+        F.when(F.col("prev").isNotNull() & has_gap, gaps).otherwise(F.array().cast("array<date>")),
+        lambda d: F.struct(
+            d.alias("period"),
+            F.lit(None).cast("bigint").alias("n"),
+            F.lit(None).cast("double").alias("total"),
+            F.lit(None).cast("double").alias("mean"),
+            F.lit(None).cast("double").alias("qty"),
+        ),
+    )
+    own = F.array(F.struct("period", "n", "total", "mean", "qty"))
+    return (
+        agg.withColumn("prev", prev)
+        .select(F.inline(F.concat(empty, own)))
+    )
 
 
 def period_aggregate(
@@ -75,8 +104,7 @@ def period_aggregate(
         F.sum("q").cast("double").alias("qty"),
     )
     return (
-        _spine(agg, freq)
-        .join(agg, "period", "left")
+        _fill_gaps(agg, freq)
         .select(
             "period",
             F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),

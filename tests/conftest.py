@@ -15,8 +15,10 @@ def spark(tmp_path_factory):
 
     from tablelens.session import configure
 
+    warehouse = tmp_path_factory.mktemp("warehouse")
     s = (
         SparkSession.builder.master("local[*]")
+        .config("spark.sql.warehouse.dir", str(warehouse))
         .appName("tablelens-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
