@@ -24,7 +24,7 @@ from tablelens.functions.expressions import (
     to_number,
     trim_ws,
 )
-from tablelens.operators.stats import modes, quantiles
+from tablelens.operators.stats import modes, quantiles, stats_columns
 from tablelens.session import materialize
 
 REPORT_SCHEMA = "step string, column string, affected bigint, detail string"
@@ -166,10 +166,13 @@ def impute_numeric(
     spark = df.sparkSession
     if not cols:
         return df, _report(spark, [])
-    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    missing = df.agg(*[F.count_if(x[c].isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    # one pass: row count plus count / min / max per column; the missing
+    # counts and the first step of the exact medians both come from it
+    head = df.agg(F.count(F.lit(1)).alias("rows"), *stats_columns(cols)).first()
+    missing = {f"m{i}": head["rows"] - head[f"n{i}"] for i in range(len(cols))}
     need = [c for i, c in enumerate(cols) if missing[f"m{i}"]]
-    med = quantiles(df, {c: [0.5] for c in need}, accuracy)
+    known = {c: (head[f"n{i}"], head[f"a{i}"], head[f"b{i}"]) for i, c in enumerate(cols)}
+    med = quantiles(df, {c: [0.5] for c in need}, accuracy, stats=known)
     fills = {c: med[c][0] for c in need if med[c][0] is not None}
     rows = [
         ("impute_numeric", c, int(missing[f"m{cols.index(c)}"]), f"median {fills[c]!r}")
@@ -252,7 +255,6 @@ def clean(
     affected, detail))."""
     spark = df.sparkSession
     rows: list[tuple] = []
-    n0 = df.count()
     work = df
     if trim:
         strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -261,16 +263,23 @@ def clean(
     pair = bool(drop_pair_dups and id_col and ts_col and id_col in work.columns and ts_col in work.columns)
     if drop_exact_dups and pair:
         # The keep-first pair step also removes every exact copy, so the exact
-        # count is only measured, and the frame is de-duplicated once.
-        distinct_rows = work.groupBy(*[F.col(c) for c in work.columns]).count().count()
-        rows.append(("drop_exact_duplicates", None, n0 - distinct_rows, "exact duplicate rows dropped"))
-        n1 = distinct_rows
+        # count is only measured (rows and distinct rows in one aggregate),
+        # and the frame is de-duplicated once.
+        sizes = (
+            work.groupBy(*[F.col(c) for c in work.columns])
+            .agg(F.count(F.lit(1)).alias("k"))
+            .agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n0"), F.count(F.lit(1)).alias("n1"))
+            .first()
+        )
+        n0, n1 = int(sizes["n0"]), int(sizes["n1"])
+        rows.append(("drop_exact_duplicates", None, n0 - n1, "exact duplicate rows dropped"))
     elif drop_exact_dups:
+        n0 = df.count()
         work = materialize(drop_duplicates(work))
         n1 = work.count()
         rows.append(("drop_exact_duplicates", None, n0 - n1, "exact duplicate rows dropped"))
     else:
-        n1 = n0
+        n0 = n1 = df.count()
     if pair:
         work = materialize(drop_duplicates(work, [id_col, ts_col], order_by))
         n2 = work.count()

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The original tool has no streaming operator (no watermark, window, state
+or late-data handling), so this package defines none. The batch operators
+are plain DataFrame functions and apply unchanged to the micro-batch frame
+that Structured Streaming's `foreachBatch` hands over.
+"""
