@@ -151,7 +151,10 @@ def as_text(c: Column, dt: T.DataType) -> Column:
     if is_floating(dt):
         # Plain digits keep numbers visible to the digit patterns.
         return F.when(F.isnan(c) | F.abs(c).eqNullSafe(float("inf")), c.cast("string")).otherwise(
-            F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+            F.coalesce(
+                F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", ""),
+                c.cast("string"),
+            )
         )
     return c.cast("string")
 

@@ -86,10 +86,16 @@ def exact_quantiles(
         parts = []
         for j, (c, lo, hi) in enumerate(intervals):
             v = _num(c)
-            b = F.least(
-                F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)),
-                F.lit(buckets - 1),
-            ).cast("int")
+            if math.isinf(lo) or math.isinf(hi):
+                # infinite ends get buckets of their own; the finite middle
+                # bucket reports its exact min/max, so the next round has a
+                # finite width
+                b = F.when(v == F.lit(lo), F.lit(0)).when(v == F.lit(hi), F.lit(2)).otherwise(F.lit(1))
+            else:
+                b = F.least(
+                    F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)),
+                    F.lit(buckets - 1),
+                ).cast("int")
             parts.append(
                 F.when(v.between(lo, hi), F.struct(F.lit(j).alias("j"), b.alias("b"), v.alias("v")))
             )

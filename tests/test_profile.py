@@ -94,3 +94,10 @@ def test_column_profile_samples(spark):
     rows = {r["column"]: r for r in profile.column_profile(df).collect()}
     assert rows["x"]["unique"] == 3 and rows["x"]["sample_values"] == ["1", "2", "3"]
     assert rows["s"]["missing"] == 1 and rows["s"]["sample_values"] == ["a", "b", "c"]
+
+
+def test_exact_quantiles_with_infinities(spark):
+    vals = [float("-inf"), 1.0, 2.0, 3.0, 4.0, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = exact_quantiles(df, {"x": [0.25, 0.5, 0.75]}, max_candidates=2, buckets=4)["x"]
+    assert got == [1.5, 3.0, float("inf")]
