@@ -6,7 +6,10 @@
   fixed number of buckets; the bracket then shrinks to the (exact) min/max of
   the bucket holding the rank. Once a bracket holds few enough values, they
   are grouped by value and brought back (bounded by `max_candidates`).
-  Typical cost: one statistics pass plus one to three narrowing passes.
+  The first bracket comes from a fixed-memory `percentile_approx` pass,
+  checked exactly by one counting pass, so the narrowing rounds only see the
+  rows near the wanted ranks. Typical cost: a statistics pass (often shared
+  with the caller), the sketch pass, the counting pass, and one final pass.
 * `per_column_counts` — one shuffle that counts every (column, value) pair for
   many columns at once, i.e. the `Expand` Catalyst would build for several
   DISTINCT aggregates, with map-side partial aggregation so a hot value
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 _BUCKETS = 4096
 _MAX_CANDIDATES = 100_000
 _MAX_ROUNDS = 24
+_SKETCH_ACCURACY = 10_000
 
 
 def _num(name: str) -> Column:
@@ -77,6 +81,8 @@ def exact_quantiles(
         if lo == hi:
             found[key] = lo
 
+    _sketch_brackets(df, state, found, max_candidates)
+
     for _ in range(_MAX_ROUNDS):
         wide = {k: s for k, s in state.items() if k not in found and s[3] > max_candidates}
         if not wide:
@@ -165,6 +171,54 @@ def exact_quantiles(
     return out
 
 
+def _sketch_brackets(df: DataFrame, state: dict, found: dict, max_candidates: int,
+                     accuracy: int = _SKETCH_ACCURACY) -> None:
+    """Shrink wide brackets with one sketch pass and one exact counting pass.
+
+    `percentile_approx` (fixed memory) proposes, for every wanted rank, a
+    value range a little wider than its rank error; one aggregate then
+    counts exactly how many values lie below and inside each range. A range
+    that provably holds the rank replaces [min, max], so the narrowing rounds
+    that follow only ever touch the few rows inside it.
+    """
+    wide = {k: s for k, s in state.items() if k not in found and s[3] > max_candidates}
+    if not wide:
+        return
+    margin = 4.0 / accuracy
+    by_col: dict[str, list] = defaultdict(list)
+    for (c, r), s in wide.items():
+        n = s[3]
+        p = r / (n - 1) if n > 1 else 0.0
+        by_col[c].append(((c, r), max(0.0, p - margin), min(1.0, p + margin)))
+    cols = list(by_col)
+    approx = df.agg(
+        *[
+            F.percentile_approx(_num(c), [q for _, a, b in by_col[c] for q in (a, b)], accuracy).alias(f"q{i}")
+            for i, c in enumerate(cols)
+        ]
+    ).first()
+    proposals = []
+    for i, c in enumerate(cols):
+        qs = approx[f"q{i}"] or []
+        for k, (key, _a, _b) in enumerate(by_col[c]):
+            if len(qs) > 2 * k + 1 and qs[2 * k] is not None:
+                proposals.append((key, float(qs[2 * k]), float(qs[2 * k + 1])))
+    if not proposals:
+        return
+    checks = []
+    for t, (key, lo, hi) in enumerate(proposals):
+        v = _num(key[0])
+        checks += [F.count_if(v < F.lit(lo)).alias(f"lt{t}"), F.count_if(v.between(lo, hi)).alias(f"in{t}")]
+    counts = df.agg(*checks).first()
+    for t, (key, lo, hi) in enumerate(proposals):
+        below, inside = counts[f"lt{t}"], counts[f"in{t}"]
+        r = key[1]
+        if below <= r < below + inside:
+            state[key] = [lo, hi, below, inside]
+            if lo == hi:
+                found[key] = lo
+
+
 def stats_columns(cols: list[str]) -> list:
     """count / min / max aggregates of the numeric reading of `cols`, named
     n{i} / a{i} / b{i} (the first pass of `exact_quantiles`)."""
