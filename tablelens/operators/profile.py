@@ -93,7 +93,10 @@ def table_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, samples: int = 3, exact: bool = True) -> DataFrame:
+EXACT_DISTINCT_MAX_COLUMNS = 20
+
+
+def column_profile(df: DataFrame, samples: int = 3, exact: bool | None = None) -> DataFrame:
     """(column, dtype, unique, missing, missing_pct, sample_values).
 
     Exact mode (default) is one shuffle of (column, value) pairs — nulls
@@ -101,10 +104,14 @@ def column_profile(df: DataFrame, samples: int = 3, exact: bool = True) -> DataF
     counts and the `samples` smallest values (as text) are all read from
     that one aggregate, and the per-column top-k is limited inside each
     partition before its exchange. `exact=False` uses one HyperLogLog++ pass
-    (fixed memory per column) and gives no samples.
+    (fixed memory per column) and gives no samples. By default a table of
+    more than 20 columns is profiled the HyperLogLog++ way.
     """
     from pyspark.sql import Window
 
+    if exact is None:
+        exact = len(df.columns) <= EXACT_DISTINCT_MAX_COLUMNS
+
     fields = df.schema.fields
     cols = [f.name for f in fields]
     spark = df.sparkSession
