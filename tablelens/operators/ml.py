@@ -30,11 +30,14 @@ _MISSING = "__missing__"
 
 # -------------------------------------------------------------------- M1 --
 
-def guess_target(df: DataFrame, mapped_value: str | None = None, facts: list | None = None) -> str | None:
+def guess_target(
+    df: DataFrame, mapped_value: str | None = None, facts: DataFrame | None = None
+) -> str | None:
     """Mapped value column if any value is numeric; else the first target
     name present with numeric values; else the non-id-like numeric column
     with the largest (population) variance."""
-    rows = facts if facts is not None else column_facts(df).collect()
+    facts = facts if facts is not None else column_facts(df)
+    rows = facts.collect()
     info = {r["column"]: r for r in rows}
     if mapped_value and mapped_value in info and info[mapped_value]["number_parses"]:
         return mapped_value
@@ -43,7 +46,7 @@ def guess_target(df: DataFrame, mapped_value: str | None = None, facts: list | N
         col = lowered.get(cand)
         if col and info[col]["number_parses"]:
             return col
-    id_like = {r["column"] for r in infer_columns(df, ml=True).where("is_id_like").collect()}
+    id_like = {r["column"] for r in infer_columns(df, facts, ml=True).where("is_id_like").collect()}
     cands = [
         (c, info[c]["var_pop"]) for c in df.columns
         if info[c]["number_parses"] and c not in id_like and info[c]["var_pop"] is not None
@@ -87,8 +90,9 @@ def train_value_regressor(
     an 80/20 hash split and report MAE, R² and MAPE on the held-out part.
     With `out`, saves the fitted pipeline and the test predictions there."""
     mapped, mapping = auto_map(df)
-    facts = column_facts(mapped).collect()
-    target = guess_target(mapped, mapping.get("value"), facts)
+    facts_df = column_facts(mapped)
+    facts = facts_df.collect()
+    target = guess_target(mapped, mapping.get("value"), facts_df)
     if not target:
         raise ValueError("could not infer a numeric target (value, amount, revenue …)")
     features = [c for c in mapped.columns if c != target]

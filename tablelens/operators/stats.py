@@ -28,6 +28,7 @@ _BUCKETS = 4096
 _MAX_CANDIDATES = 100_000
 _MAX_ROUNDS = 24
 _SKETCH_ACCURACY = 10_000
+_MAX_GROUPING_SET_COLUMNS = 60
 
 
 def _num(name: str) -> Column:
@@ -260,8 +261,32 @@ def per_column_counts(df: DataFrame, cols: list[str], include_nulls: bool = Fals
     values only unless `include_nulls`, then null is one more group).
 
     Row g carries the value of column g in `v{g}` and nulls elsewhere, so every
-    column keeps its own type (and its own ordering).
+    column keeps its own type (and its own ordering). Built as GROUPING SETS
+    ((c0), (c1), …): Catalyst's `Expand` feeds one partially aggregated
+    shuffle for all columns.
     """
+    k = len(cols)
+    vnames = [f"v{j}" for j in range(k)]
+    if k > _MAX_GROUPING_SET_COLUMNS:
+        return _per_column_counts_generate(df, cols, include_nulls)
+    base = df.select(*[F.col(c).alias(v) for c, v in zip(cols, vnames)])
+    full = (1 << k) - 1
+    counted = base.groupingSets([[F.col(v)] for v in vnames], *[F.col(v) for v in vnames]).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid")
+    )
+    # grouping_id has a 0 bit for the one grouped column (first column = highest bit)
+    g = (F.lit(k - 1) - F.round(F.log2(F.lit(full) - F.col("_gid")))).cast("int")
+    out = counted.select(g.alias("g"), *vnames, "n")
+    if not include_nulls:
+        present = F.lit(False)
+        for i, v in enumerate(vnames):
+            present = F.when(F.col("g") == i, F.col(v).isNotNull()).otherwise(present)
+        out = out.where(present)
+    return out
+
+
+def _per_column_counts_generate(df: DataFrame, cols: list[str], include_nulls: bool) -> DataFrame:
+    # same result for very wide tables (grouping ids are limited to 64 bits)
     fields = {f.name: f.dataType for f in df.schema.fields}
     vnames = [f"v{j}" for j in range(len(cols))]
     structs = []
