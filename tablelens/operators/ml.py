@@ -133,7 +133,14 @@ def train_value_regressor(
             ],
         )
 
-    train = materialize(encode(train_raw))
+    train = encode(train_raw)
+    # boosting re-reads the training set once per tree level and iteration: an
+    # under-partitioned input (fewer splits than task slots) is spread out
+    # once; a large input already has more partitions and is left alone
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < slots:
+        train = train.repartition(slots)
+    train = materialize(train)
     test = encode(prepared.where(~flag))
 
     stages = []
