@@ -265,13 +265,10 @@ def clean(
         # The keep-first pair step also removes every exact copy, so the exact
         # count is only measured (rows and distinct rows in one aggregate),
         # and the frame is de-duplicated once.
-        sizes = (
-            work.groupBy(*[F.col(c) for c in work.columns])
-            .agg(F.count(F.lit(1)).alias("k"))
-            .agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n0"), F.count(F.lit(1)).alias("n1"))
-            .first()
-        )
-        n0, n1 = int(sizes["n0"]), int(sizes["n1"])
+        from tablelens.operators.profile import exact_row_counts
+
+        sizes = exact_row_counts(work).first()
+        n0, n1 = int(sizes["rows"]), int(sizes["distinct_rows"])
         rows.append(("drop_exact_duplicates", None, n0 - n1, "exact duplicate rows dropped"))
     elif drop_exact_dups:
         n0 = df.count()

@@ -180,24 +180,71 @@ def column_profile(df: DataFrame, samples: int = 3, exact: bool | None = None) -
 
 # ------------------------------------------------------------ A5 / A6 / A7 --
 
+# Candidate hashes are broadcast only up to this many (8 bytes each); beyond
+# it the exact count falls back to one aggregate over whole rows.
+BROADCAST_HASHES_MAX = 4_000_000
+
+
+def exact_row_counts(df: DataFrame) -> DataFrame:
+    """One row (rows, distinct_rows) with exact counts (nulls compare equal).
+
+    Phase 1 groups a 64-bit hash of each row, so only hashes cross the
+    network. Only rows whose hash occurs more than once can be duplicates;
+    phase 2 groups those candidate rows exactly, after a semi-join against
+    the candidate hashes that is broadcast only when their number is known
+    to be small. With many candidates the plain exact aggregate over whole
+    rows is used instead. Hash collisions are resolved by phase 2.
+    """
+    cols = [F.col(c) for c in df.columns]
+    h = F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
+    per_hash = df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("k"))
+    candidates = per_hash.where(F.col("k") > 1).select("_h")
+    n_candidates = candidates.count()
+    if n_candidates > BROADCAST_HASHES_MAX:
+        return (
+            df.groupBy(*cols)
+            .agg(F.count(F.lit(1)).alias("k"))
+            .agg(
+                F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows"),
+                F.count(F.lit(1)).cast("bigint").alias("distinct_rows"),
+            )
+        )
+    single = per_hash.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows"),
+        F.count_if(F.col("k") == 1).cast("bigint").alias("distinct_rows"),
+    )
+    if n_candidates == 0:
+        return single
+    multi = (
+        df.withColumn("_h", h)
+        .join(F.broadcast(candidates), "_h", "left_semi")
+        .drop("_h")
+        .groupBy(*cols)
+        .agg(F.count(F.lit(1)).alias("k"))
+        .agg(F.count(F.lit(1)).cast("bigint").alias("distinct_rows"))
+        .select(F.lit(0).cast("bigint").alias("rows"), "distinct_rows")
+    )
+    return single.unionByName(multi).agg(
+        F.sum("rows").cast("bigint").alias("rows"),
+        F.sum("distinct_rows").cast("bigint").alias("distinct_rows"),
+    )
+
+
 def duplicate_counts(
     df: DataFrame, id_col: str | None = None, ts_col: str | None = None
 ) -> DataFrame:
     """(check, rows, duplicates, ratio) for `exact` rows and, when both columns
     exist, the `pair` (id, parsed ts). Nulls compare equal; ratio null on 0 rows.
 
-    Each check is one hash aggregate on its key with map-side partial
-    aggregation, so a key holding a large share of the rows collapses in the
-    map tasks before the shuffle.
+    Exact rows go through `exact_row_counts` (hash first, whole rows only for
+    candidates). The pair check is one hash aggregate on its two-column key
+    with map-side partial aggregation, so a key holding a large share of the
+    rows collapses in the map tasks before the shuffle.
     """
-    exact = (
-        df.groupBy(*[F.col(c) for c in df.columns])
-        .agg(F.count(F.lit(1)).alias("k"))
-        .agg(
-            F.lit("exact").alias("check"),
-            F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows"),
-            F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
-        )
+    exact = exact_row_counts(df).select(
+        F.lit("exact").alias("check"),
+        "rows",
+        (F.col("rows") - F.col("distinct_rows")).alias("duplicates"),
     )
     parts = [exact]
     if id_col and ts_col and id_col in df.columns and ts_col in df.columns:

@@ -101,3 +101,14 @@ def test_exact_quantiles_with_infinities(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = exact_quantiles(df, {"x": [0.25, 0.5, 0.75]}, max_candidates=2, buckets=4)["x"]
     assert got == [1.5, 3.0, float("inf")]
+
+
+def test_exact_row_counts_both_paths(spark, monkeypatch):
+    rows = [(i % 7, None if i % 5 == 0 else f"t{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b string")
+    want = (len(rows), len(set(rows)))
+    got = profile.exact_row_counts(df).first()
+    assert (got["rows"], got["distinct_rows"]) == want
+    monkeypatch.setattr(profile, "BROADCAST_HASHES_MAX", 0)
+    got = profile.exact_row_counts(df).first()
+    assert (got["rows"], got["distinct_rows"]) == want
