@@ -351,10 +351,12 @@ def top_categories(df: DataFrame, column: str, n: int = 20) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """(bin, lo, hi, n): equal-width bins over [min, max]; the max value falls
-    in the last bin; empty bins are kept. Numbers only; nulls skipped."""
+    in the last bin; empty bins are kept. Finite numbers only; nulls skipped."""
     v = to_number(F.col(column), df.schema[column].dataType)
     v = F.nanvl(v, F.lit(None).cast("double"))
-    vals = df.select(v.alias("x")).where(F.col("x").isNotNull())
+    # ±inf has no bin on a finite axis (and NaN sorts above every number in
+    # Spark), so only finite values are binned
+    vals = df.select(v.alias("x")).where(F.col("x").isNotNull() & (F.abs(F.col("x")) != float("inf")))
     bounds = vals.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
     spark = df.sparkSession
     if bounds["a"] is None:
