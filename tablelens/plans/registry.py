@@ -844,3 +844,48 @@ def q_regression(spark, sf):
     from tablelens.operators import ml
 
     return ml.train_value_regressor(table(spark, sf, "lineitem"))["metrics"]
+
+
+# ------------------------------------------------ other provided tables ---
+
+EMBEDDINGS_COLS = [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")]
+LABELS_COLS = [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")]
+
+
+@register("missingness_embeddings", _missingness_sql("embeddings", EMBEDDINGS_COLS))
+def q_missingness_embeddings(spark, sf):
+    return profile.missingness(table(spark, sf, "embeddings"))
+
+
+def _profile_sql(source: str, cols: list[tuple[str, str]]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, count(DISTINCT {c}) AS {_q('unique')}, "
+        f"{_missing_expr(c, t)} AS missing, "
+        f"round_even(CAST({_missing_expr(c, t)} AS DOUBLE) / count(*) * 100.0, 2) AS missing_pct FROM {source}"
+        for c, t in cols
+    )
+
+
+@register("column_profile_embeddings", _profile_sql("embeddings", EMBEDDINGS_COLS))
+def q_profile_embeddings(spark, sf):
+    return profile.column_profile(table(spark, sf, "embeddings")).drop("sample_values")
+
+
+@register("column_profile_labels", _profile_sql("labels", LABELS_COLS))
+def q_profile_labels(spark, sf):
+    return profile.column_profile(table(spark, sf, "labels")).drop("sample_values")
+
+
+@register(
+    "duplicate_counts_documents",
+    "SELECT 'exact' AS \"check\", count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) "
+    "AS duplicates, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS DOUBLE) / count(*) "
+    "AS ratio FROM documents",
+)
+def q_duplicates_documents(spark, sf):
+    return profile.duplicate_counts(table(spark, sf, "documents"))
+
+
+@register("pii_scan_benchmark", _pii_sql("benchmark", ["text"]))
+def q_pii_benchmark(spark, sf):
+    return quality.pii_scan(table(spark, sf, "benchmark"))
