@@ -48,3 +48,16 @@ def test_mask(spark):
     out = [r["s"] for r in quality.mask_column(df, "s", 4).collect()]
     assert out == ["****efgh", "abcd", "ab", None]
     assert quality.mask_column(df, "missing").columns == ["s"]
+
+
+def test_card_match_implies_phone_match(spark):
+    from pyspark.sql import functions as F
+
+    from tablelens.functions.expressions import card_hit, pii_hit
+
+    texts = ["4111 1111 1111 1111", "4111-1111-1111-1111", "x 5500000000000004 y", "card: 3782 822463 10005",
+             "1234567890123", "12 34 56 78 90 12 34", "no digits", "+1 (555) 123-4567", "2025-01-01"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    rows = df.select(card_hit(F.col("s")).alias("c"), pii_hit(F.col("s")).alias("p")).collect()
+    assert all(r["p"] for r in rows if r["c"])
+    assert sum(r["c"] for r in rows) >= 5
