@@ -889,3 +889,44 @@ def q_duplicates_documents(spark, sf):
 @register("pii_scan_benchmark", _pii_sql("benchmark", ["text"]))
 def q_pii_benchmark(spark, sf):
     return quality.pii_scan(table(spark, sf, "benchmark"))
+
+
+SALES_COLS = [
+    ("order_id", "bigint"), ("entity_id", "bigint"), ("event_ts", "timestamp_ntz"),
+    ("value", "decimal(18,2)"), ("category", "string"), ("state", "string"),
+]
+SALES_ROLES = {"entity_id": "entity_id", "event_ts": "event_ts", "value": "value", "category": "category",
+               "state": "state", "order_id": "order_id"}
+
+
+@register(
+    "schema_report_sales",
+    _with(SALES_SQL)
+    + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, '{SALES_ROLES[c]}' AS role, "
+        f"(SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM sales "
+        f"WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS examples"
+        for c, t in SALES_COLS
+    ),
+)
+def q_schema_report(spark, sf):
+    from tablelens.sources.writers import schema_report
+
+    return schema_report(sales(spark, sf), SALES_ROLES)
+
+
+@register(
+    "column_profile_sales",
+    _with(SALES_SQL)
+    + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, (SELECT count(DISTINCT {c}) FROM sales) AS {_q('unique')}, "
+        f"(SELECT count(*) FILTER (WHERE {c} IS NULL) FROM sales) AS missing, "
+        f"(SELECT round_even(CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) * 100.0, 2) FROM sales) "
+        f"AS missing_pct, "
+        f"coalesce((SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM sales "
+        f"WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)), []) AS sample_values"
+        for c, t in SALES_COLS
+    ),
+)
+def q_column_profile_sales(spark, sf):
+    return profile.column_profile(sales(spark, sf))
