@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tablelens.functions.constants import OUTLIER_Z
 from tablelens.functions.expressions import (
+    is_floating,
     is_missing,
     numeric_columns,
     to_number,
@@ -196,7 +197,13 @@ def exact_row_counts(df: DataFrame) -> DataFrame:
     rows is used instead. Hash collisions are resolved by phase 2.
     """
     cols = [F.col(c) for c in df.columns]
-    h = F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
+    # grouping treats -0.0 and 0.0 as one value, so the hash must as well
+    hashed = [
+        F.when(F.col(f.name) == 0, F.lit(0.0).cast(f.dataType)).otherwise(F.col(f.name))
+        if is_floating(f.dataType) else F.col(f.name)
+        for f in df.schema.fields
+    ]
+    h = F.xxhash64(*hashed) if hashed else F.lit(0).cast("bigint")
     per_hash = df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("k"))
     candidates = per_hash.where(F.col("k") > 1).select("_h")
     n_candidates = candidates.count()

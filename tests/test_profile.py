@@ -112,3 +112,9 @@ def test_exact_row_counts_both_paths(spark, monkeypatch):
     monkeypatch.setattr(profile, "BROADCAST_HASHES_MAX", 0)
     got = profile.exact_row_counts(df).first()
     assert (got["rows"], got["distinct_rows"]) == want
+
+
+def test_negative_zero_and_nan_rows_are_duplicates(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),), (1.0,)], "x double")
+    row = profile.exact_row_counts(df).first()
+    assert (row["rows"], row["distinct_rows"]) == (5, 3)
