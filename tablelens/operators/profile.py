@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from tablelens.functions.constants import OUTLIER_Z
 from tablelens.functions.expressions import (
     is_floating,
@@ -186,10 +188,34 @@ def column_profile(df: DataFrame, samples: int = 3, exact: bool | None = None) -
 BROADCAST_HASHES_MAX = 4_000_000
 
 
+# bytes per value of the fixed-width types
+_FIXED_WIDTH = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8,
+    T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
+}
+
+
+def _narrow_rows(df: DataFrame, limit: int = 64) -> bool:
+    sizes = [_FIXED_WIDTH.get(type(f.dataType)) for f in df.schema.fields]
+    return all(s is not None for s in sizes) and sum(sizes) <= limit
+
+
+def _whole_row_counts(df: DataFrame) -> DataFrame:
+    return (
+        df.groupBy(*[F.col(c) for c in df.columns])
+        .agg(F.count(F.lit(1)).alias("k"))
+        .agg(
+            F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows"),
+            F.count(F.lit(1)).cast("bigint").alias("distinct_rows"),
+        )
+    )
+
+
 def exact_row_counts(df: DataFrame) -> DataFrame:
     """One row (rows, distinct_rows) with exact counts (nulls compare equal).
 
-    Phase 1 groups a 64-bit hash of each row, so only hashes cross the
+    Rows of at most 64 bytes of fixed-width columns are grouped whole in one
+    aggregate. Wider rows (text, nested values) go in two phases. Phase 1 groups a 64-bit hash of each row, so only hashes cross the
     network. Only rows whose hash occurs more than once can be duplicates;
     phase 2 groups those candidate rows exactly, after a semi-join against
     the candidate hashes that is broadcast only when their number is known
@@ -197,6 +223,10 @@ def exact_row_counts(df: DataFrame) -> DataFrame:
     rows is used instead. Hash collisions are resolved by phase 2.
     """
     cols = [F.col(c) for c in df.columns]
+    if _narrow_rows(df):
+        # a row no wider than two hashes: shuffling it is as cheap as
+        # shuffling its hash, so one exact aggregate does it
+        return _whole_row_counts(df)
     # grouping treats -0.0 and 0.0 as one value, so the hash must as well
     hashed = [
         F.when(F.col(f.name) == 0, F.lit(0.0).cast(f.dataType)).otherwise(F.col(f.name))
@@ -208,14 +238,7 @@ def exact_row_counts(df: DataFrame) -> DataFrame:
     candidates = per_hash.where(F.col("k") > 1).select("_h")
     n_candidates = candidates.count()
     if n_candidates > BROADCAST_HASHES_MAX:
-        return (
-            df.groupBy(*cols)
-            .agg(F.count(F.lit(1)).alias("k"))
-            .agg(
-                F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows"),
-                F.count(F.lit(1)).cast("bigint").alias("distinct_rows"),
-            )
-        )
+        return _whole_row_counts(df)
     single = per_hash.agg(
         F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows"),
         F.count_if(F.col("k") == 1).cast("bigint").alias("distinct_rows"),

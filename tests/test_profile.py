@@ -118,3 +118,12 @@ def test_negative_zero_and_nan_rows_are_duplicates(spark):
     df = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),), (1.0,)], "x double")
     row = profile.exact_row_counts(df).first()
     assert (row["rows"], row["distinct_rows"]) == (5, 3)
+
+
+def test_exact_row_counts_narrow_and_wide_agree(spark):
+    rows = [(i % 4, float(i % 3), f"s{i % 2}") for i in range(50)]
+    wide = spark.createDataFrame(rows, "a int, b double, c string")
+    narrow = wide.drop("c")
+    assert profile._narrow_rows(narrow) and not profile._narrow_rows(wide)
+    assert tuple(profile.exact_row_counts(narrow).first()) == (50, 12)
+    assert tuple(profile.exact_row_counts(wide).first()) == (50, 12)
