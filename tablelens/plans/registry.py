@@ -930,3 +930,36 @@ def q_schema_report(spark, sf):
 )
 def q_column_profile_sales(spark, sf):
     return profile.column_profile(sales(spark, sf))
+
+
+_ORDERS_AS_OF = "2001-09-01 00:00:00"
+
+
+@register(
+    "quality_checks_staleness_orders",
+    _with(
+        "ex AS (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM orders))",
+        "pr AS (SELECT count(*) AS k FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders))",
+        "n AS (SELECT count(*) AS n, max(o_orderdate) AS latest FROM orders)",
+    )
+    + f"""SELECT 'dup_exact' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(n.n - ex.k AS DOUBLE) / n.n AS observed,
+       CAST(0.05 AS DOUBLE) AS threshold, coalesce(CAST(n.n - ex.k AS DOUBLE) / n.n <= 0.05, false) AS passed FROM n, ex
+UNION ALL SELECT 'dup_pair', NULL, CAST(n.n - pr.k AS DOUBLE) / n.n, 0.02, coalesce(CAST(n.n - pr.k AS DOUBLE) / n.n <= 0.02, false) FROM n, pr
+UNION ALL """
+    + "\nUNION ALL ".join(
+        f"SELECT 'missing', '{c}', CAST({_missing_expr(c, t)} AS DOUBLE) / count(*), 0.2, "
+        f"coalesce(NOT (CAST({_missing_expr(c, t)} AS DOUBLE) / count(*) > 0.2), true) FROM orders"
+        for c, t in ORDERS_COLS
+    )
+    + f"""
+UNION ALL SELECT 'staleness', 'o_orderdate',
+       CAST(floor((epoch_us(TIMESTAMP '{_ORDERS_AS_OF}') - epoch_us(latest)) / 86400000000.0) AS DOUBLE), 30.0,
+       floor((epoch_us(TIMESTAMP '{_ORDERS_AS_OF}') - epoch_us(latest)) / 86400000000.0) <= 30 FROM n""",
+)
+def q_quality_staleness(spark, sf):
+    import datetime as _dt
+
+    return quality.quality_checks(
+        table(spark, sf, "orders"), id_col="o_custkey", ts_col="o_orderdate",
+        max_staleness_days=30, as_of=_dt.datetime.fromisoformat(_ORDERS_AS_OF),
+    )
