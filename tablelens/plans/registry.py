@@ -30,7 +30,12 @@ SQL: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def wrap(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _portable(fn(spark, sf_dir))
+
+        run.__name__ = run.__qualname__ = name
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = _decimal_rounding(sql.strip())
         return fn
@@ -38,6 +43,25 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+def _portable(df: DataFrame) -> DataFrame:
+    """Result types every client reads the same way: dates as timestamps,
+    decimals as doubles, string lists joined by `|` (the SQL twins cast the
+    same way). Applied to registered results only; operators keep their types."""
+    from pyspark.sql import types as T
+
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.DateType):
+            c = c.cast("timestamp_ntz")
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            c = F.array_join(c, "|")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
 def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Round through decimal(38,12) so ties break the same way in both engines."""
     return df.select(
@@ -377,7 +401,7 @@ def _orders_money(spark, sf):
 
 @register(
     "weekly_series_orders",
-    "WITH " + _period_sql(_WEEK, "7 DAY", _MONEY) + "\nSELECT period AS week, n, total AS value FROM p",
+    "WITH " + _period_sql(_WEEK, "7 DAY", _MONEY) + "\nSELECT CAST(period AS TIMESTAMP) AS week, n, total AS value FROM p",
 )
 def q_weekly(spark, sf):
     return timeseries.weekly_series(_orders_money(spark, sf), "o_orderdate", "o_totalprice")
@@ -387,7 +411,7 @@ def q_weekly(spark, sf):
     "weekly_count_series_events",
     "WITH " + _period_sql(
         "CAST(date_trunc('week', ts) AS DATE) + 6", "7 DAY", "CAST(NULL AS DOUBLE)", "events", "ts"
-    ) + "\nSELECT period AS week, n, CAST(n AS DOUBLE) AS value FROM p",
+    ) + "\nSELECT CAST(period AS TIMESTAMP) AS week, n, CAST(n AS DOUBLE) AS value FROM p",
 )
 def q_weekly_events(spark, sf):
     return timeseries.weekly_series(table(spark, sf, "events"), "ts", None)
@@ -396,7 +420,7 @@ def q_weekly_events(spark, sf):
 def _register_series(metric: str, freq: str):
     label, step, month = _LABELS[freq]
     value = {"count": "CAST(n AS DOUBLE)", "sum": "total", "avg": "round(mean, 6)"}[metric]
-    sql = "WITH " + _period_sql(label, step, _MONEY, month=month) + f"\nSELECT period, {value} AS value FROM p"
+    sql = "WITH " + _period_sql(label, step, _MONEY, month=month) + f"\nSELECT CAST(period AS TIMESTAMP) AS period, {value} AS value FROM p"
 
     def fn(spark, sf):
         out = timeseries.timeseries(_orders_money(spark, sf), "o_orderdate", "o_totalprice", None, metric, freq)
@@ -417,7 +441,7 @@ _RATIO_LABEL = "CAST(date_trunc('week', l_shipdate) AS DATE) + 6"
     "timeseries_ratio_w_lineitem",
     "WITH " + _period_sql(
         _RATIO_LABEL, "7 DAY", "CAST(l_extendedprice AS DECIMAL(18,2))", "lineitem", "l_shipdate", qty="l_quantity"
-    ) + "\nSELECT period, round(CASE WHEN qty <> 0 THEN total / qty END, 6) AS value FROM p",
+    ) + "\nSELECT CAST(period AS TIMESTAMP) AS period, round(CASE WHEN qty <> 0 THEN total / qty END, 6) AS value FROM p",
 )
 def q_ratio(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("l_extendedprice", F.col("l_extendedprice").cast("decimal(18,2)"))
@@ -464,7 +488,7 @@ def _anomaly_sql(metric: str, col: str) -> str:
     "anomalies_orders",
     _WEEKLY_RANKED
     + ",\nz AS (" + _anomaly_sql("count", "cnt") + "\nUNION ALL " + _anomaly_sql("value", "val") + ")"
-    + "\nSELECT metric, week, value, zscore FROM z WHERE k >= 12 AND sd > 0 AND abs(z) >= 2",
+    + "\nSELECT metric, CAST(week AS TIMESTAMP) AS week, value, zscore FROM z WHERE k >= 12 AND sd > 0 AND abs(z) >= 2",
 )
 def q_anomalies(spark, sf):
     k = insight.kpis(_orders_money(spark, sf), "o_orderdate", "o_totalprice")
@@ -735,7 +759,7 @@ def q_histogram_dirty(spark, sf):
     "timeseries_count_d_dirty_events",
     _with(DIRTY_EVENTS_SQL).rstrip() + ",\n"
     + _period_sql("CAST(ts AS DATE)", "1 DAY", "value", "d", "ts")
-    + "\nSELECT period, CAST(n AS DOUBLE) AS value FROM p",
+    + "\nSELECT CAST(period AS TIMESTAMP) AS period, CAST(n AS DOUBLE) AS value FROM p",
 )
 def q_series_dirty(spark, sf):
     return timeseries.timeseries(dirty_events(spark, sf), "ts", "value", None, "count", "D")
@@ -745,7 +769,7 @@ def q_series_dirty(spark, sf):
     "timeseries_avg_d_dirty_events",
     _with(DIRTY_EVENTS_SQL).rstrip() + ",\n"
     + _period_sql("CAST(ts AS DATE)", "1 DAY", "value", "d", "ts")
-    + "\nSELECT period, round(mean, 6) AS value FROM p",
+    + "\nSELECT CAST(period AS TIMESTAMP) AS period, round(mean, 6) AS value FROM p",
 )
 def q_series_avg_dirty(spark, sf):
     return _round(timeseries.timeseries(dirty_events(spark, sf), "ts", "value", None, "avg", "D"), {"value": 6})
@@ -788,7 +812,7 @@ def q_parse_report(spark, sf):
 
 @register(
     "business_casts_sales",
-    _with(SALES_SQL) + "SELECT CAST(order_id AS BIGINT) AS order_id, entity_id, event_ts, value, category, state FROM sales",
+    _with(SALES_SQL) + "SELECT CAST(order_id AS BIGINT) AS order_id, entity_id, event_ts, CAST(value AS DOUBLE) AS value, category, state FROM sales",
 )
 def q_business_casts(spark, sf):
     return cleaning.business_casts(sales(spark, sf))
@@ -904,8 +928,8 @@ SALES_ROLES = {"entity_id": "entity_id", "event_ts": "event_ts", "value": "value
     _with(SALES_SQL)
     + "\nUNION ALL ".join(
         f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, '{SALES_ROLES[c]}' AS role, "
-        f"(SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM sales "
-        f"WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS examples"
+        f"array_to_string((SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM sales "
+        f"WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)), '|') AS examples"
         for c, t in SALES_COLS
     ),
 )
@@ -923,8 +947,8 @@ def q_schema_report(spark, sf):
         f"(SELECT count(*) FILTER (WHERE {c} IS NULL) FROM sales) AS missing, "
         f"(SELECT round_even(CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) * 100.0, 2) FROM sales) "
         f"AS missing_pct, "
-        f"coalesce((SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM sales "
-        f"WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)), []) AS sample_values"
+        f"array_to_string(coalesce((SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM sales "
+        f"WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)), []), '|') AS sample_values"
         for c, t in SALES_COLS
     ),
 )
