@@ -856,7 +856,41 @@ def q_quality_diff(spark, sf):
 
 # ----------------------------------------------------- end to end, ML ---
 
-@register("takeaways_sales")
+_SALES_WEEKLY_RANKED = (
+    _with(SALES_SQL).rstrip() + ",\n"
+    + _period_sql("CAST(date_trunc('week', event_ts) AS DATE) + 6", "7 DAY", "value", "sales", "event_ts")
+    + ",\nr AS (SELECT period AS week, CAST(n AS DOUBLE) AS cnt, total AS val, "
+    "row_number() OVER (ORDER BY period DESC) AS rn, count(*) OVER () AS k FROM p)"
+)
+_TAKEAWAYS_SQL = (
+    _SALES_WEEKLY_RANKED
+    + ",\nch AS (" + "\nUNION ALL ".join(
+        f"SELECT '{m}' AS metric, CASE WHEN sum({c}) FILTER (WHERE rn > 4 AND rn <= 8) <> 0 THEN "
+        f"(sum({c}) FILTER (WHERE rn <= 4) - sum({c}) FILTER (WHERE rn > 4 AND rn <= 8)) "
+        f"/ sum({c}) FILTER (WHERE rn > 4 AND rn <= 8) * 100.0 END AS pct_change FROM r HAVING count(*) >= 8"
+        for m, c in (("count", "cnt"), ("value", "val"))
+    ) + ")"
+    + """,
+m AS (SELECT max(event_ts) AS hi FROM sales),
+rs AS (SELECT sales.* FROM sales, m WHERE sales.event_ts BETWEEN m.hi - INTERVAL 28 DAY AND m.hi),
+u AS (SELECT 'category' AS dimension, CAST(category AS VARCHAR) AS member, value AS v FROM rs
+      UNION ALL SELECT 'state', CAST(state AS VARCHAR), value FROM rs),
+g AS (SELECT dimension, member, CAST(sum(coalesce(v, 0)) AS DOUBLE) AS value FROM u WHERE member IS NOT NULL GROUP BY 1, 2),
+drv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY value DESC, member) AS rn FROM g) WHERE rn <= 10),
+mv AS (SELECT CASE WHEN metric = 'value' THEN 1 ELSE 2 END AS o, metric || '_move' AS kind,
+              CASE WHEN pct_change >= 0 THEN 'up' ELSE 'down' END AS direction, abs(pct_change) AS pct,
+              CAST(NULL AS VARCHAR) AS dimension, CAST(NULL AS VARCHAR) AS member FROM ch WHERE pct_change IS NOT NULL),
+td AS (SELECT 3 AS o, 'top_driver' AS kind, CAST(NULL AS VARCHAR) AS direction, CAST(NULL AS DOUBLE) AS pct, dimension, member
+       FROM drv ORDER BY value DESC, dimension DESC, member DESC LIMIT 1),
+found AS (SELECT * FROM mv UNION ALL SELECT * FROM td),
+allr AS (SELECT * FROM found
+         UNION ALL SELECT 4, 'generic', NULL, NULL, NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM found))
+SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS rank, kind, direction, round(pct, 6) AS pct, dimension, member
+FROM allr QUALIFY rank <= 3"""
+)
+
+
+@register("takeaways_sales", _TAKEAWAYS_SQL)
 def q_takeaways(spark, sf):
     s = sales(spark, sf)
     k = insight.kpis(s, "event_ts", "value")
