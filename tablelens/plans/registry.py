@@ -721,7 +721,33 @@ def q_infer_orders(spark, sf):
     return roles.infer_columns(table(spark, sf, "orders"))
 
 
-@register("default_columns_orders")
+def _defaults_sql(source: str, cols: list[tuple[str, str]]) -> str:
+    from tablelens.functions.constants import CATEGORY_PREFERENCE, TIMESTAMP_PREFERENCE
+
+    numeric = [c for c, t in cols if t in _NUMERIC]
+    var = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS {_q('column')}, var_pop(CAST({c} AS DOUBLE)) AS vp FROM {source}" for c in numeric
+    ) or f"SELECT CAST(NULL AS VARCHAR) AS {_q('column')}, CAST(NULL AS DOUBLE) AS vp"
+    pos = ", ".join(f"('{c}', {i})" for i, (c, _) in enumerate(cols))
+
+    def pref(names):
+        return "CASE " + " ".join(f"WHEN i.\"column\" = '{n}' THEN {k}" for k, n in enumerate(names)) + " ELSE 99 END"
+
+    return _with(
+        "info AS (" + _infer_sql(source, cols) + ")",
+        "v AS (" + var + ")",
+        f"pos({_q('column')}, pos) AS (VALUES {pos})",
+        "i AS (SELECT info.*, v.vp, pos.pos FROM info JOIN pos ON info.\"column\" = pos.\"column\" "
+        "LEFT JOIN v ON info.\"column\" = v.\"column\")",
+    ) + f"""SELECT 'numeric' AS kind, coalesce(
+    (SELECT "column" FROM i WHERE is_numeric AND "column" = 'value'),
+    (SELECT "column" FROM i WHERE is_numeric AND NOT is_id_like AND vp IS NOT NULL ORDER BY vp DESC, pos LIMIT 1),
+    (SELECT "column" FROM i WHERE is_numeric ORDER BY pos LIMIT 1)) AS "column"
+UNION ALL SELECT 'category', (SELECT "column" FROM i WHERE is_categorical ORDER BY {pref(CATEGORY_PREFERENCE)}, pos LIMIT 1)
+UNION ALL SELECT 'timestamp', (SELECT "column" FROM i WHERE is_datetime ORDER BY {pref(TIMESTAMP_PREFERENCE)}, pos LIMIT 1)"""
+
+
+@register("default_columns_orders", _defaults_sql("orders", ORDERS_COLS))
 def q_defaults_orders(spark, sf):
     from tablelens.operators import roles
 
