@@ -107,7 +107,8 @@ def exact_quantiles(
                 F.when(v.between(lo, hi), F.struct(F.lit(j).alias("j"), b.alias("b"), v.alias("v")))
             )
         hist = (
-            df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s"))
+            df.select(F.explode(F.array(*parts)).alias("s"))
+            .where(F.col("s").isNotNull())
             .select("s.*")
             .groupBy("j", "b")
             .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -139,7 +140,8 @@ def exact_quantiles(
             v = _num(c)
             parts.append(F.when(v.between(lo, hi), F.struct(F.lit(j).alias("j"), v.alias("v"))))
         rows = (
-            df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s"))
+            df.select(F.explode(F.array(*parts)).alias("s"))
+            .where(F.col("s").isNotNull())
             .select("s.*")
             .groupBy("j", "v")
             .agg(F.count("*").alias("n"))
@@ -302,7 +304,8 @@ def _per_column_counts_generate(df: DataFrame, cols: list[str], include_nulls: b
         else:
             structs.append(F.when(F.col(c).isNotNull(), F.struct(*members)))
     return (
-        df.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
+        df.select(F.explode(F.array(*structs)).alias("s"))
+        .where(F.col("s").isNotNull())
         .select("s.*")
         .groupBy("g", *vnames)
         .agg(F.count("*").alias("n"))

@@ -46,7 +46,8 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 17 == 0, F.lit(2)),
     )
     return (
-        base.select("*", F.explode(F.filter(copies, lambda k: k.isNotNull())).alias("copy"))
+        base.select("*", F.explode(copies).alias("copy"))
+        .where(F.col("copy").isNotNull())
         .select(
             "user_id",
             "ts",
