@@ -6,10 +6,11 @@
   fixed number of buckets; the bracket then shrinks to the (exact) min/max of
   the bucket holding the rank. Once a bracket holds few enough values, they
   are grouped by value and brought back (bounded by `max_candidates`).
-  The first bracket comes from a fixed-memory `percentile_approx` pass,
-  checked exactly by one counting pass, so the narrowing rounds only see the
-  rows near the wanted ranks. Typical cost: a statistics pass (often shared
-  with the caller), the sketch pass, the counting pass, and one final pass.
+  Typical cost: a statistics pass (often shared with the caller), one or
+  two histogram rounds, and one final pass. When a round shrinks a bracket
+  by less than 64x (values spread over many orders of magnitude), a
+  fixed-memory `percentile_approx` pass proposes a rank-based bracket,
+  checked exactly by one counting pass.
 * `per_column_counts` — one shuffle that counts every (column, value) pair for
   many columns at once, i.e. the `Expand` Catalyst would build for several
   DISTINCT aggregates, with map-side partial aggregation so a hot value
@@ -28,6 +29,7 @@ _BUCKETS = 4096
 _MAX_CANDIDATES = 100_000
 _MAX_ROUNDS = 24
 _SKETCH_ACCURACY = 10_000
+_MIN_SHRINK = 64
 _MAX_GROUPING_SET_COLUMNS = 60
 
 
@@ -81,13 +83,14 @@ def exact_quantiles(
     for key, (lo, hi, _below, _inside) in state.items():
         if lo == hi:
             found[key] = lo
-
-    _sketch_brackets(df, state, found, max_candidates)
+    totals = {c: head[f"n{i}"] for i, c in enumerate(cols)}
+    sketched = False
 
     for _ in range(_MAX_ROUNDS):
         wide = {k: s for k, s in state.items() if k not in found and s[3] > max_candidates}
         if not wide:
             break
+        before = {k: s[3] for k, s in wide.items()}
         intervals = sorted({(k[0], s[0], s[1]) for k, s in wide.items()}, key=repr)
         index = {iv: j for j, iv in enumerate(intervals)}
         parts = []
@@ -130,6 +133,14 @@ def exact_quantiles(
                         found[key] = row["lo"]
                     break
                 below += row["n"]
+        # Equal-width buckets shrink a bracket by value range; on values spread
+        # over many orders of magnitude that can be slow in rank terms. Then a
+        # rank-based bracket from the sketch takes over (once).
+        slow = [k for k in wide if k not in found and state[k][3] > max_candidates
+                and state[k][3] * _MIN_SHRINK > before[k]]
+        if slow and not sketched:
+            sketched = True
+            _sketch_brackets(df, state, found, max_candidates, totals, only=set(slow))
 
     rest = {k: s for k, s in state.items() if k not in found}
     if rest:
@@ -175,6 +186,7 @@ def exact_quantiles(
 
 
 def _sketch_brackets(df: DataFrame, state: dict, found: dict, max_candidates: int,
+                     totals: dict[str, int], only: set | None = None,
                      accuracy: int = _SKETCH_ACCURACY) -> None:
     """Shrink wide brackets with one sketch pass and one exact counting pass.
 
@@ -184,13 +196,16 @@ def _sketch_brackets(df: DataFrame, state: dict, found: dict, max_candidates: in
     that provably holds the rank replaces [min, max], so the narrowing rounds
     that follow only ever touch the few rows inside it.
     """
-    wide = {k: s for k, s in state.items() if k not in found and s[3] > max_candidates}
+    wide = {
+        k: s for k, s in state.items()
+        if k not in found and s[3] > max_candidates and (only is None or k in only)
+    }
     if not wide:
         return
     margin = 4.0 / accuracy
     by_col: dict[str, list] = defaultdict(list)
     for (c, r), s in wide.items():
-        n = s[3]
+        n = totals[c]
         p = r / (n - 1) if n > 1 else 0.0
         by_col[c].append(((c, r), max(0.0, p - margin), min(1.0, p + margin)))
     cols = list(by_col)
@@ -216,7 +231,7 @@ def _sketch_brackets(df: DataFrame, state: dict, found: dict, max_candidates: in
     for t, (key, lo, hi) in enumerate(proposals):
         below, inside = counts[f"lt{t}"], counts[f"in{t}"]
         r = key[1]
-        if below <= r < below + inside:
+        if below <= r < below + inside and inside < state[key][3]:
             state[key] = [lo, hi, below, inside]
             if lo == hi:
                 found[key] = lo

@@ -127,3 +127,14 @@ def test_exact_row_counts_narrow_and_wide_agree(spark):
     assert profile._narrow_rows(narrow) and not profile._narrow_rows(wide)
     assert tuple(profile.exact_row_counts(narrow).first()) == (50, 12)
     assert tuple(profile.exact_row_counts(wide).first()) == (50, 12)
+
+
+def test_exact_quantiles_on_values_over_many_magnitudes(spark):
+    import numpy as np
+
+    vals = [float(2.0 ** (k % 600 - 300)) * (1 + (k % 7)) for k in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.1, 0.5, 0.9]
+    got = exact_quantiles(df, {"x": probs}, max_candidates=50, buckets=8)["x"]
+    want = [float(np.quantile(np.array(vals), p)) for p in probs]
+    assert all(math.isclose(g, w, rel_tol=1e-12) for g, w in zip(got, want))
