@@ -79,10 +79,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 
 
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
 def to_number(c: Column, dt: T.DataType | None = None) -> Column:
     """Text or number -> double; anything not a plain number -> null."""
     if dt is not None and is_numeric_type(dt):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.constants import OUTLIER_Z
+from tablelens.functions.constants import HEAVY_MISSING_PCT, OUTLIER_Z
 from tablelens.functions.expressions import (
     is_floating,
     is_missing,
@@ -419,7 +419,7 @@ def validation_actions(
     outliers: DataFrame,
     id_col: str | None,
     ts_col: str | None,
-    heavy_missing_pct: float = 20.0,
+    heavy_missing_pct: float = HEAVY_MISSING_PCT,
 ) -> DataFrame:
     """(code, detail): suggested next steps from the profile results."""
     spark = missing.sparkSession

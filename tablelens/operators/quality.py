@@ -15,9 +15,6 @@ from tablelens.functions.constants import (
 from tablelens.functions.expressions import as_text, is_missing, pii_hit, to_timestamp
 from tablelens.operators.profile import duplicate_counts
 
-CHECKS_SCHEMA = "check string, column string, observed double, threshold double, passed boolean"
-
-
 def _missing_ratios(df: DataFrame, extra: list = ()) -> DataFrame:
     fields = df.schema.fields
     return df.agg(

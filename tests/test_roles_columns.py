@@ -64,3 +64,15 @@ def test_infer_id_like_and_monotonic(spark):
     info = {r["column"]: r for r in roles.infer_columns(df).collect()}
     assert info["seq"]["is_id_like"] and not info["k"]["is_id_like"]
     assert set(roles.monotonic_columns(df, ["seq", "k"])) == {"seq"}
+
+
+def test_dedupe_columns_and_nan_to_null(spark):
+    import math
+
+    from tablelens.functions.expressions import nan_to_null
+
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("c", "c", "c")
+    assert columns.dedupe_columns(df).columns == ["c", "c_1", "c_2"]
+    nan = spark.createDataFrame([(float("nan"), 1.0)], "x double, y double")
+    row = nan_to_null(nan).first()
+    assert row["x"] is None and row["y"] == 1.0 and not math.isnan(row["y"])
