@@ -71,3 +71,14 @@ def test_unparseable_ts_dropped(spark):
     df = spark.createDataFrame([("2025-01-01",), ("garbage",), (None,)], "ts string")
     out = timeseries.weekly_series(df, "ts").collect()
     assert [r["n"] for r in out] == [1]
+
+
+def test_empty_input_gives_empty_series(spark):
+    from tablelens.operators import insight
+
+    df = spark.createDataFrame([], "ts timestamp_ntz, v double")
+    assert timeseries.weekly_series(df, "ts", "v").count() == 0
+    assert timeseries.timeseries(df, "ts", "v", None, "sum", "M").count() == 0
+    k = insight.kpis(df, "ts", "v")
+    assert k["period_change"].count() == 0 and k["anomalies"].count() == 0
+    assert insight.top_drivers(df.withColumn("category", df.v.cast("string")), "ts", "v").count() == 0
