@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 
 _BUCKETS = 4096
 _MAX_CANDIDATES = 100_000
-_MAX_ROUNDS = 24
+# each round shrinks a bracket's value range at least 4096-fold; 200 rounds
+# cover the whole double range (about 2^2100 from the smallest step to the
+# largest span)
+_MAX_ROUNDS = 200
 _SKETCH_ACCURACY = 10_000
 _MIN_SHRINK = 64
 _MAX_GROUPING_SET_COLUMNS = 60
@@ -143,6 +146,8 @@ def exact_quantiles(
             _sketch_brackets(df, state, found, max_candidates, totals, only=set(slow))
 
     rest = {k: s for k, s in state.items() if k not in found}
+    if any(s[3] > max_candidates for s in rest.values()):
+        raise RuntimeError("quantile brackets did not narrow; refusing an unbounded collect")
     if rest:
         intervals = sorted({(k[0], s[0], s[1]) for k, s in rest.items()}, key=repr)
         index = {iv: j for j, iv in enumerate(intervals)}
