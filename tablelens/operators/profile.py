@@ -136,12 +136,13 @@ def column_profile(df: DataFrame, samples: int = 3, exact: bool | None = None) -
         )
         text = F.coalesce(*[F.col(v).cast("string") for v in vnames])
         # Missing values sort last and are dropped after ranking: a filter
-        # before the window would be pushed under the shared aggregate and
-        # stop Spark from reusing its exchange for this branch.
+        # before the window would be pushed under the shared aggregate, and a
+        # branch that never reads `n` would get a pruned copy of it; either
+        # way Spark could not reuse the aggregate's exchange for this branch.
         w = Window.partitionBy("g").orderBy("nullish", *[F.col(v).asc_nulls_last() for v in vnames])
         sample = (
             counts.withColumn("rn", F.row_number().over(w))
-            .where((F.col("rn") <= samples) & ~F.col("nullish"))
+            .where((F.col("rn") <= samples) & ~F.col("nullish") & (F.col("n") > 0))
             .groupBy("g")
             .agg(F.sort_array(F.collect_list(F.struct("rn", text.alias("t")))).alias("s"))
             .select("g", F.transform("s", lambda x: x["t"]).alias("sample_values"))
