@@ -138,3 +138,21 @@ def test_exact_quantiles_on_values_over_many_magnitudes(spark):
     got = exact_quantiles(df, {"x": probs}, max_candidates=50, buckets=8)["x"]
     want = [float(np.quantile(np.array(vals), p)) for p in probs]
     assert all(math.isclose(g, w, rel_tol=1e-12) for g, w in zip(got, want))
+
+
+def test_approximate_paths(spark):
+    from tablelens.operators.stats import quantiles
+
+    df = spark.createDataFrame([(i % 50, float(i)) for i in range(1000)], "k int, x double")
+    rows = {r["column"]: r for r in profile.column_profile(df, exact=False).collect()}
+    assert abs(rows["k"]["unique"] - 50) <= 2 and abs(rows["x"]["unique"] - 1000) <= 30
+    assert rows["k"]["sample_values"] == []
+    q = quantiles(df, {"x": [0.5]}, accuracy=10_000)["x"][0]
+    assert abs(q - 499.5) <= 1.0
+
+
+def test_wide_tables_default_to_hll(spark):
+    wide = spark.createDataFrame([tuple(range(25))], ", ".join(f"c{i} int" for i in range(25)))
+    rows = profile.column_profile(wide).collect()
+    assert len(rows) == 25 and all(r["unique"] == 1 for r in rows)
+    assert all(r["sample_values"] == [] for r in rows)  # HyperLogLog++ mode gives no samples
