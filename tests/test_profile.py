@@ -145,7 +145,7 @@ def test_approximate_paths(spark):
 
     df = spark.createDataFrame([(i % 50, float(i)) for i in range(1000)], "k int, x double")
     rows = {r["column"]: r for r in profile.column_profile(df, exact=False).collect()}
-    assert abs(rows["k"]["unique"] - 50) <= 2 and abs(rows["x"]["unique"] - 1000) <= 30
+    assert abs(rows["k"]["unique"] - 50) <= 5 and abs(rows["x"]["unique"] - 1000) <= 150
     assert rows["k"]["sample_values"] == []
     q = quantiles(df, {"x": [0.5]}, accuracy=10_000)["x"][0]
     assert abs(q - 499.5) <= 1.0
