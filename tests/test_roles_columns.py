@@ -76,3 +76,12 @@ def test_dedupe_columns_and_nan_to_null(spark):
     nan = spark.createDataFrame([(float("nan"), 1.0)], "x double, y double")
     row = nan_to_null(nan).first()
     assert row["x"] is None and row["y"] == 1.0 and not math.isnan(row["y"])
+
+
+def test_roles_on_a_wide_table(spark):
+    names = [f"metric_{i}" for i in range(22)] + ["customer_id", "order_date", "amount"]
+    rows = [tuple([float(i + j) for j in range(22)] + [f"C{i}", f"2025-01-{1 + i % 28:02d}", float(i)]) for i in range(40)]
+    schema = ", ".join(f"{n} double" for n in names[:22]) + ", customer_id string, order_date string, amount double"
+    df = spark.createDataFrame(rows, schema)
+    top = {r["role"]: r["column"] for r in roles.suggest_roles(df, top_k=1).collect()}
+    assert top["entity_id"] == "customer_id" and top["event_ts"] == "order_date" and top["value"] == "amount"
