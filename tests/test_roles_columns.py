@@ -85,3 +85,12 @@ def test_roles_on_a_wide_table(spark):
     df = spark.createDataFrame(rows, schema)
     top = {r["role"]: r["column"] for r in roles.suggest_roles(df, top_k=1).collect()}
     assert top["entity_id"] == "customer_id" and top["event_ts"] == "order_date" and top["value"] == "amount"
+
+
+def test_monotonic_across_partitions(spark):
+    up = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(100)], 4), "x bigint")
+    assert roles.monotonic_columns(up, ["x"]) == {"x"}
+    rows = [(i,) for i in range(50, 100)] + [(i,) for i in range(50)]
+    broken = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "x bigint")
+    assert broken.rdd.getNumPartitions() == 2
+    assert roles.monotonic_columns(broken, ["x"]) == set()
