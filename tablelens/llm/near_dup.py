@@ -10,10 +10,14 @@
    and must therefore meet in a list of the k - overlap + 1 values of either that are
    rarest in the corpus. Only those lists are kept: a frequent line or passage does not
    put all its documents into one list, unless they agree in most of their values.
-3. Each list is first reduced to a star: every member is compared with the list's smallest
-   class only, so that a dense group of n near copies costs n comparisons, not n * n.
-   The links found give first components. Then members of one list in different
-   components are compared too, so no link between components is lost.
+3. Each list is first reduced to a star: every member is compared with the list's most
+   central class only (the one whose values are the most frequent: the original among its
+   near copies), so that a dense group of n near copies costs n comparisons, not n * n.
+   The links found give first components. Members of one list in different components are
+   then compared as well, so no link between components is lost: in lists of up to `SMALL`
+   members by pairs (a bounded number per row), in larger ones by blocks of about `BLOCK`
+   classes, whose full sets are intersected by a matrix product; a pair of blocks returns a
+   spanning forest of its links, never the pairs.
 4. The union sketch of a pair (the k smallest of both sketches) estimates its similarity;
    pairs far below the threshold are dropped (`slack` standard errors), and the rest is
    verified on the full sets.
@@ -30,6 +34,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,10 @@ from .common import LOWER, byte_table, chunks, components, cut, list_column, mix
 
 #: Retained hashes of a set.
 K = 32
+#: Members up to which a list's remaining pairs are written out.
+SMALL = 32
+#: Classes in a block of larger lists.
+BLOCK = 256
 _WORD = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
 
 
@@ -120,7 +129,7 @@ def _with_sets(df: DataFrame, text_col: str, width: int, k: int | None) -> DataF
 
 
 def _lists(classes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(value, id, n): the lists in which a class can meet a similar one."""
+    """(value, id, n, central): the lists in which a class can meet a similar one."""
     flat = classes.select("id", "n", F.explode("sketch").alias("value"))
     # values of one class only lead nowhere; a value's frequency orders the others
     often = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -136,7 +145,8 @@ def _lists(classes: DataFrame, k: int, similarity: float) -> DataFrame:
         .withColumn("take", (kept - need + 1 - (kept - F.size("v"))).cast("int"))
         .where("take > 0")
     )
-    return ranked.select("id", "n", F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("e")).select("id", "n", "e.value")
+    central = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("central")
+    return ranked.select("id", "n", central, F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("e")).select("id", "n", "central", "e.value")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
@@ -161,6 +171,68 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, per
     return full.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _dense(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components inside large lists, enough to join what they join.
+
+    A class's home is the smallest head of its lists, so the near copies of one text share
+    it; a home's classes are dealt into blocks, and two blocks are compared when a list has
+    members in both."""
+    home = apart.groupBy("id").agg(F.min("head").alias("home"), F.first("root").alias("root"), F.first("n").alias("n"))
+    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    home = cut(
+        home.join(sizes, "home").select(
+            "id", "root", "n", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")
+        )
+    )
+    seen = apart.select("value", "id").join(home.select("id", "block"), "id").select("value", "block").distinct()
+    left, right = seen.alias("l"), seen.alias("r")
+    block_pairs = cut(
+        left.join(right, F.col("l.value") == F.col("r.value"))
+        .where("l.block <= r.block")
+        .select(F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+        .distinct()
+    )
+    full = home.join(sets, "id")
+    sides = block_pairs.select("i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
+        block_pairs.where("i != j").select("i", "j", F.col("j").alias("block"), F.lit(1).alias("side"))
+    )
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        side, ids, roots, size = (part[c].to_numpy() for c in ("side", "id", "root", "n"))
+        x = np.flatnonzero(side == 0)
+        y = np.flatnonzero(side == 1) if (side == 1).any() else x
+        shingles = part["shingles"].to_numpy()
+        own = np.repeat(np.arange(len(part)), [len(s) for s in shingles])
+        values, column = np.unique(np.concatenate(shingles), return_inverse=True)
+        often = np.bincount(column, minlength=len(values)) > 1
+        place = np.cumsum(often) - 1
+        common = np.zeros((len(x), len(y)), np.float32)
+        width, kept = 4096, often[column]
+        own, column = own[kept], place[column[kept]]
+        for lo in range(0, int(often.sum()), width):
+            here = (column >= lo) & (column < lo + width)
+            bits = np.zeros((len(part), width), np.float32)
+            bits[own[here], column[here] - lo] = 1
+            common += bits[x] @ bits[y].T
+        common = common.astype(np.int64)
+        linked = 100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)
+        linked &= roots[x][:, None] != roots[y][None, :]
+        # join trees of components; a link inside a tree adds nothing
+        trees, tree = np.unique(roots, return_inverse=True)
+        edges = []
+        for a in np.flatnonzero(linked.any(axis=1)):
+            near = y[np.flatnonzero(linked[a])]
+            others, at = np.unique(tree[near], return_index=True)
+            for other, b in zip(others, near[at], strict=True):
+                mine = tree[x[a]]
+                if other != mine:
+                    edges.append((ids[x[a]], ids[b]))
+                    tree[tree == other] = mine
+        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    return sides.join(full, "block").groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -184,8 +256,9 @@ def near_duplicates(
         .withColumn("id", F.monotonically_increasing_id())
     )
     lists = cut(_lists(classes, k, percent / 100))
-    head = lists.groupBy("value").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1").select("value", "a")
-    star = lists.join(head, "value").where("a != id").select("a", F.col("id").alias("b")).distinct()
+    head = lists.groupBy("value").agg(F.max(F.struct("central", "id")).alias("h"), F.count("*").alias("members")).where("members > 1")
+    head = cut(head.select("value", F.col("h.id").alias("head"), "members"))
+    star = lists.join(head, "value").where("head != id").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
     pairs = cut(star)
     # full sets only of classes that are in any pair; their texts are read once more
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -204,14 +277,10 @@ def near_duplicates(
     placed = lists.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select(
         "value", "id", "n", F.coalesce("root", "id").alias("root")
     )
-    mixed = (
-        placed.groupBy("value")
-        .agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-        .where("r0 != r1")
-        .select("value")
-    )
-    apart = cut(placed.join(mixed, "value", "left_semi"))
-    left, right = apart.alias("l"), apart.alias("r")
+    mixed = placed.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("value")
+    apart = cut(placed.join(mixed, "value", "left_semi").join(head, "value"))
+    few = apart.where(F.col("members") <= SMALL)
+    left, right = few.alias("l"), few.alias("r")
     more = (
         left.join(right, F.col("l.value") == F.col("r.value"))
         .where("l.id < r.id and l.root != r.root")
@@ -220,7 +289,7 @@ def near_duplicates(
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
-    late = cut(_verified(more, classes, sets, k, percent, slack))
+    late = cut(_verified(more, classes, sets, k, percent, slack).union(_dense(apart.where(F.col("members") > SMALL), sets, percent)))
     if not late.isEmpty():
         found = cut(components(links.union(late)))
     # smallest document of each class, then of each component
