@@ -220,7 +220,7 @@ def _bucket_spans(wanted: DataFrame, texts: DataFrame, total: int, length: int)
     per_text = cut(
         wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "seg", "c", "lo", "hi", "p")).alias("w"))
     )
-    given = texts.join(_sized(per_text, F.size("w") * 40 + 32), ["k1", "k2"]).select("k1", "k2", "text", "w")
+    given = texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "w")
     buckets = max(1, -(-total // BUCKET))
     schema = "bucket int, h bigint, seg bigint, c bigint, k1 bigint, k2 bigint, lo int, hi int, p int, raw binary"
 
@@ -269,7 +269,7 @@ def _hot_spans(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """The same for segments of anchors with very many distinct segments: every window is
     counted by its digest."""
     per_text = cut(wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("w")))
-    given = texts.join(_sized(per_text, F.size("w") * 16 + 32), ["k1", "k2"]).select("k1", "k2", "text", "w")
+    given = texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "w")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
