@@ -40,7 +40,13 @@ _LAYOUTS = [
     (r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?\s*$", "M/d/yyyy H:mm[:ss]"),
     (r"^\s*\d{1,2}\.\d{1,2}\.\d{4}\s*$", "d.M.yyyy"),
     (r"^\s*\d{8}\s*$", "yyyyMMdd"),
+    (r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} (?i:am|pm)\s*$", "M/d/yyyy h:mm a"),
+    (r"^\s*[A-Z][a-z]{2} \d{1,2}, \d{4}\s*$", "MMM d, yyyy"),
+    (r"^\s*[A-Z][a-z]{3,8} \d{1,2}, \d{4}\s*$", "MMMM d, yyyy"),
+    (r"^\s*\d{1,2}-[A-Z][a-z]{2}-\d{4}\s*$", "d-MMM-yyyy"),
 ]
+# An ISO date and time with a zone: read as an instant, given in UTC.
+_ZONED_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s*(Z|[+-]\d{2}(:?\d{2})?)\s*$"
 
 
 def is_numeric_type(dt: T.DataType) -> bool:
@@ -115,7 +121,12 @@ def to_timestamp(c: Column, dt: T.DataType, numeric_as_epoch: bool = False) -> C
     if not isinstance(dt, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     s = F.trim(c)
-    branches = [F.when(s.rlike(_ISO_TEXT), s.try_cast("timestamp_ntz"))]
+    # `+0100` and `+01` are spelled `+01:00` for the cast; UTC is the session's zone
+    zone = F.regexp_replace(F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"([ T]\d{1,2}:\S*[+-]\d{2})$", "$1:00")
+    branches = [
+        F.when(s.rlike(_ISO_TEXT), s.try_cast("timestamp_ntz")),
+        F.when(s.rlike(_ZONED_TEXT), F.to_utc_timestamp(zone.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")),
+    ]
     for pattern, layout in _LAYOUTS:
         branches.append(
             F.when(
@@ -126,9 +137,15 @@ def to_timestamp(c: Column, dt: T.DataType, numeric_as_epoch: bool = False) -> C
     return F.coalesce(*branches)
 
 
+#: The characters of the Unicode property White_Space.
+_BLANKS = "".join(
+    map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def trim_ws(c: Column) -> Column:
     """Remove Unicode whitespace at both ends (Spark `trim` strips spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def pii_hit(c: Column) -> Column:
@@ -140,7 +157,9 @@ def pii_hit(c: Column) -> Column:
     OR is decided by the email and phone searches alone; the backtracking
     card search never changes the answer and is skipped.
     """
-    return c.rlike("(?U)" + EMAIL_PATTERN) | c.rlike("(?U)" + PHONE_PATTERN)
+    # whether an address occurs does not depend on how long its local part is: one
+    # character of it keeps the search linear on long runs
+    return c.rlike("(?U)" + EMAIL_PATTERN.replace("]+@", "]@", 1)) | c.rlike("(?U)" + PHONE_PATTERN)
 
 
 def card_hit(c: Column) -> Column:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
-_NON_WORD = re.compile(r"[^0-9a-zA-Z_]+")
-_NON_ALNUM = re.compile(r"[^0-9a-zA-Z]+")
-_UNDERSCORES = re.compile(r"_+")
+_ALNUM_RUN = re.compile(r"[0-9a-zA-Z]+")
 
 
 def normalize_name(name: str) -> str:
-    """Strip, map runs of other characters to `_`, collapse `_`, trim `_`, lower."""
-    name = _NON_WORD.sub("_", name.strip())
-    name = _UNDERSCORES.sub("_", name)
-    return name.strip("_").lower()
+    """The alphanumeric runs of a name, lower-cased and joined by single underscores."""
+    return "_".join(_ALNUM_RUN.findall(name)).lower()
 
 
 def safe_table_name(name: str) -> str:
@@ -26,26 +23,21 @@ def safe_table_name(name: str) -> str:
 
 
 def tokens(name: str) -> set[str]:
-    return {t for t in _NON_ALNUM.sub(" ", name.lower()).split() if t}
+    """The distinct alphanumeric runs of a name, lower-cased."""
+    return set(_ALNUM_RUN.findall(name.lower()))
 
 
 def dedupe_names(names: list[str], sep: str = "_") -> list[str]:
-    """Second `c` becomes `c_1`, third `c_2` … (positional)."""
-    seen: dict[str, int] = {}
-    taken = set(names)
-    out = []
-    for n in names:
-        if n in seen:
-            seen[n] += 1
-            cand = f"{n}{sep}{seen[n]}"
-            while cand in taken:
-                seen[n] += 1
-                cand = f"{n}{sep}{seen[n]}"
-            taken.add(cand)
-            out.append(cand)
-        else:
-            seen[n] = 0
-            out.append(n)
+    """Later occurrences of a name get the smallest free number: `c`, `c_1`, `c_2` ..."""
+    where: dict[str, list[int]] = {}
+    for i, n in enumerate(names):
+        where.setdefault(n, []).append(i)
+    out, used = list(names), set(names)
+    for n, (_, *repeats) in where.items():
+        free = (f"{n}{sep}{k}" for k in itertools.count(1) if f"{n}{sep}{k}" not in used)
+        for i in repeats:
+            out[i] = next(free)
+            used.add(out[i])
     return out
 
 

@@ -336,23 +336,27 @@ def clean_fallback(
 # -------------------------------------------------------------------- P8 --
 
 def business_casts(df: DataFrame) -> DataFrame:
-    """`order_id` -> bigint (±inf and non-numbers null; when some values carry
-    a fraction, the digits of the text are kept instead); `review_score` ->
-    rounded (half-even) bigint."""
+    """`order_id` -> bigint (±inf and non-numbers null); integral columns stay as they are,
+    numbers with a fraction stay numbers; of texts, when some carry a fraction, the digits
+    are kept. `review_score` -> rounded (half-even) bigint; integral columns keep their value."""
     out = df
-    if "order_id" in df.columns:
+    if "order_id" in df.columns and not isinstance(df.schema["order_id"].dataType, INTEGRAL_TYPES):
         dt = df.schema["order_id"].dataType
-        x = to_number(F.col("order_id"), dt)
+        c = F.col("order_id")
+        x = to_number(c, dt)
         x = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
         fractional = df.agg(F.max((x != F.floor(x)).cast("int")).alias("f")).first()["f"]
-        if fractional:
-            digits = F.regexp_replace(F.trim(F.col("order_id").cast("string")), r"\D+", "")
-            out = out.withColumn("order_id", F.when(digits != "", digits))
-        else:
-            out = out.withColumn("order_id", x.cast("bigint"))
+        if isinstance(dt, T.StringType):
+            # integer texts are read as such: a double would merge large ids
+            whole = F.coalesce(F.trim(c).try_cast("bigint"), x.cast("bigint"))
+            digits = F.regexp_replace(F.trim(c), r"\D+", "")
+            out = out.withColumn("order_id", F.when(digits != "", digits) if fractional else F.when(x.isNotNull(), whole))
+        elif not fractional:
+            out = out.withColumn("order_id", F.when(x.isNotNull(), c.cast("decimal(38,0)")).cast("bigint") if isinstance(dt, T.DecimalType) else x.cast("bigint"))
     if "review_score" in df.columns:
         dt = df.schema["review_score"].dataType
         x = to_number(F.col("review_score"), dt)
         x = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-        out = out.withColumn("review_score", F.bround(x, 0).cast("bigint"))
+        rounded = F.col("review_score") if isinstance(dt, INTEGRAL_TYPES) else F.bround(x, 0)
+        out = out.withColumn("review_score", rounded.cast("bigint"))
     return out

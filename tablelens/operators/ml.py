@@ -175,18 +175,16 @@ def train_value_regressor(
 
 def regression_metrics(scored: DataFrame, actual: str = "actual_value", predicted: str = "predicted_value") -> DataFrame:
     """(metric, value): mae, r2, mape (%, denominator max(1e-8, |y|)), rows.
-    One pass for the sums; R² from Σ(y−p)², Σy and Σy²."""
+    One pass; R² from Σ(y−p)² and the variance of y (stable on large means)."""
     y, p = F.col(actual), F.col(predicted)
     s = scored.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(y - p)).alias("mae"),
         F.sum((y - p) * (y - p)).alias("sse"),
-        F.sum(y).alias("sy"),
-        F.sum(y * y).alias("syy"),
+        (F.var_pop(y) * F.count(y)).alias("sst"),
         (F.avg(F.abs((y - p) / F.greatest(F.lit(1e-8), F.abs(y)))) * 100.0).alias("mape"),
     )
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    r2 = F.when(sst > 0, 1 - F.col("sse") / sst)
+    r2 = F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst"))
     return s.select(
         F.inline(
             F.array(

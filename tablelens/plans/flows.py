@@ -59,7 +59,9 @@ def analyze(
     Parquet), the drivers and the schema report under that folder."""
     mapped, mapping = roles.auto_map(df)
     id_col, ts_col, value_col = mapping.get("entity_id"), mapping.get("event_ts"), mapping.get("value")
-    cleaned, report = cleaning.clean(mapped, id_col=id_col, ts_col=ts_col)
+    # keys are names, not measures: clipping them would merge and shift ids
+    keys = [c for c in ("order_id", id_col) if c and c in mapped.columns]
+    cleaned, report = cleaning.clean(mapped, id_col=id_col, ts_col=ts_col, exclude=keys)
     cleaned = materialize(cleaning.business_casts(cleaned))
     k = insight.kpis(cleaned, ts_col, value_col)
     drivers = insight.top_drivers(cleaned, ts_col, value_col)

@@ -46,34 +46,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _checkpoint_dir(spark: SparkSession) -> str | None:
+def _checkpoint_dir(spark: SparkSession) -> None:
+    """Sets the folder of `spark.checkpoint.dir`. Only a single-machine session that leaves
+    it unset gets a folder of its own."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if sc.master.startswith("local"):
-        # Only a single-machine session may use a machine-local folder.
-        path = tempfile.mkdtemp(prefix="tablelens-ckpt-")
-        sc.setCheckpointDir(path)
-        return path
-    return None
+    if sc.getCheckpointDir():
+        return
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="tablelens-ckpt-")
+    sc.setCheckpointDir(where)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame that several later jobs re-read.
-
-    Uses a reliable checkpoint in the cluster's shared `spark.checkpoint.dir`
-    so a lost executor does not force the upstream shuffles to be re-run.
-    When no shared folder is configured on a cluster, falls back to a
-    disk-backed persist (still correct after executor loss: lineage recompute).
-    """
-    from pyspark import StorageLevel
-
-    spark = df.sparkSession
-    if _checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cut the lineage of a frame that several later jobs re-read: a reliable checkpoint in
+    the shared folder, so a lost executor does not force the upstream shuffles to be re-run."""
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tablelens.functions.constants import NA_STRINGS
-from tablelens.functions.names import safe_table_name
+from tablelens.functions.names import quote, safe_table_name
 
-_INT_TEXT = r"^\s*[+-]?\d{1,18}\s*$"
+_INT_TEXT = r"^\s*[+-]?\d{1,38}\s*$"
 _FLOAT_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 _BOOL_TEXT = r"^(True|False|TRUE|FALSE|true|false)$"
 
@@ -20,8 +20,12 @@ def read_csv(
     path: str,
     na_values: list[str] | None = None,
     sep: str = ",",
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Header row, `sep`-separated. Text in the NA set becomes null; then each
+    """Header row, `sep`-separated, quotes doubled inside quoted fields; a malformed line
+    raises. With `multi_line` a quoted field may hold line breaks, at the price that a file
+    is read by one task (many files are read in parallel); switch it off for large files
+    without line breaks in fields. Text in the NA set becomes null; then each
     column becomes bigint / double / boolean when every remaining value
     reads as one, else stays string. Dates stay text (see `parse_dates`).
 
@@ -29,33 +33,39 @@ def read_csv(
     per column); the typed frame is a narrow projection on top of the scan.
     """
     try:
-        raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+        raw = (
+            spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "FAILFAST")
+            .csv(path)
+        )
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(path) from e
         raise
     na = list(NA_STRINGS if na_values is None else na_values)
     cleaned = raw.select(
-        *[F.when(F.col(c).isin(na) | F.col(c).isNull(), F.lit(None)).otherwise(F.col(c)).alias(c) for c in raw.columns]
+        *[F.when(F.col(quote(c)).isin(na), F.lit(None)).otherwise(F.col(quote(c))).alias(c) for c in raw.columns]
     )
     counts = cleaned.agg(
         *[
             agg
             for i, c in enumerate(cleaned.columns)
             for agg in (
-                F.count(F.col(c)).alias(f"n{i}"),
-                F.count_if(F.col(c).rlike(_INT_TEXT)).alias(f"i{i}"),
-                F.count_if(F.col(c).rlike(_FLOAT_TEXT)).alias(f"f{i}"),
-                F.count_if(F.col(c).rlike(_BOOL_TEXT)).alias(f"b{i}"),
+                F.count(F.col(quote(c))).alias(f"n{i}"),
+                F.count_if(F.col(quote(c)).rlike(_INT_TEXT)).alias(f"i{i}"),
+                F.count(F.trim(quote(c)).try_cast("bigint")).alias(f"l{i}"),
+                F.count_if(F.col(quote(c)).rlike(_FLOAT_TEXT)).alias(f"f{i}"),
+                F.count_if(F.col(quote(c)).rlike(_BOOL_TEXT)).alias(f"b{i}"),
             )
         ]
     ).first()
     cols = []
     for i, c in enumerate(cleaned.columns):
         n = counts[f"n{i}"]
-        x = F.col(c)
+        x = F.col(quote(c))
         if n and counts[f"i{i}"] == n:
-            cols.append(F.trim(x).cast("bigint").alias(c))
+            # integers beyond 64 bits stay exact as decimals
+            cols.append(F.trim(x).cast("bigint" if counts[f"l{i}"] == n else "decimal(38,0)").alias(c))
         elif n and counts[f"f{i}"] == n:
             cols.append(F.trim(x).try_cast("double").alias(c))
         elif n and counts[f"b{i}"] == n:
@@ -63,7 +73,7 @@ def read_csv(
         elif not n:
             cols.append(x.cast("double").alias(c))  # an all-missing column reads as float NaN
         else:
-            cols.append(x)
+            cols.append(x.alias(c))
     return cleaned.select(*cols)
 
 

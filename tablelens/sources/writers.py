@@ -33,8 +33,8 @@ def save_table(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """CSV with a header row (written in parallel, one file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header row, quotes doubled (in parallel, one file per partition)."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -45,7 +45,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 def write_drivers(drivers: DataFrame, path: str) -> str:
     """Drivers as CSV; an empty result still gets its header (one partition)."""
-    drivers.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    drivers.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
