@@ -245,8 +245,13 @@ def near_duplicates(
     """One row per input row: id, n_shingles, component_id, kept.
 
     `width` words make a shingle; sets with 100 * intersection >= percent * union link."""
+    return _decided(docs, id_col, text_col, width, percent, k, slack).drop("__text")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80, k: int = K, slack: float = 6.5) -> DataFrame:
+    """The same with `__text`, a hash of the text."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id0"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id0"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("text"))
     rows = cut(_with_sets(texts, "text", width, k))
     # one class per distinct set; the id is a number that fits the joins below
     classes = cut(
@@ -298,19 +303,19 @@ def near_duplicates(
     )
     smallest = lows.groupBy("root").agg(F.min("low").alias("component"))
     named = lows.join(smallest, "root").select(F.col("sig").alias("s"), "component")
-    out = rows.select("id0", "n_shingles", "sig").join(named, F.col("sig") == F.col("s"), "left")
+    out = rows.select("id0", "__text", "n_shingles", "sig").join(named, F.col("sig") == F.col("s"), "left")
     component = F.when(F.col("sig").isNull(), F.col("id0")).otherwise(F.col("component"))
     return out.select(
         F.col("id0").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("id0") == component, F.col("sig").isNull()).alias("kept"),
+        "__text",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of `docs` with one row per group of near duplicates: a row of the
-    smallest id stays (of rows equal in id as well, one per text that has words)."""
-    found = near_duplicates(docs, id_col, text_col, **options).where("kept")
-    ids = found.select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    """The documents of `docs` with one document per group of near duplicates: the one of the
+    smallest id stays. Rows that repeat a document's id and text are that document."""
+    kept = _decided(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__id"), F.col("__text").alias("__kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__kept")), "left_semi")
