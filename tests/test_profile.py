@@ -151,8 +151,10 @@ def test_approximate_paths(spark):
     assert abs(q - 499.5) <= 1.0
 
 
-def test_wide_tables_default_to_hll(spark):
+def test_wide_tables_are_exact_by_default(spark):
     wide = spark.createDataFrame([tuple(range(25))], ", ".join(f"c{i} int" for i in range(25)))
     rows = profile.column_profile(wide).collect()
     assert len(rows) == 25 and all(r["unique"] == 1 for r in rows)
-    assert all(r["sample_values"] == [] for r in rows)  # HyperLogLog++ mode gives no samples
+    assert all(r["sample_values"] == [str(i)] for i, r in enumerate(sorted(rows, key=lambda r: int(r["column"][1:]))))
+    approximate = profile.column_profile(wide, exact=False).collect()
+    assert all(r["sample_values"] == [] for r in approximate)  # HyperLogLog++ mode gives no samples
