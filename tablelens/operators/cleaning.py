@@ -79,13 +79,19 @@ def drop_duplicates(
 
 # -------------------------------------------------------------------- C1 --
 
-def _clip(c: Column, lo, hi) -> Column:
+#: Integers beyond this are not all doubles; such columns are clipped as decimals.
+_EXACT_DOUBLE = 1 << 53
+_WIDE = "decimal(38,6)"
+
+
+def _clip(c: Column, lo, hi, wide: bool = False) -> Column:
     x = c.cast("double")
-    out = x
+    kind = _WIDE if wide else "double"
+    out = c.cast(kind)
     if lo is not None:
-        out = F.when(x < F.lit(lo), F.lit(lo)).otherwise(out)
+        out = F.when(x < F.lit(lo), F.lit(lo).cast(kind)).otherwise(out)
     if hi is not None:
-        out = F.when(x > F.lit(hi), F.lit(hi)).otherwise(out)
+        out = F.when(x > F.lit(hi), F.lit(hi).cast(kind)).otherwise(out)
     return out
 
 
@@ -121,7 +127,9 @@ def winsorize(
 
     Returns (frame, report) where report rows are
     ('winsorize', column, values outside the bounds, 'lo=…, hi=…') for
-    columns with at least one capped value. Clipped columns become double.
+    columns with at least one capped value. Clipped columns become double, or decimal when
+    they hold integers that doubles would merge (beyond 2^53); values inside the bounds
+    stay exact.
     """
     cols = columns if columns is not None else [
         f.name for f in df.schema.fields if is_numeric_type(f.dataType)
@@ -141,15 +149,20 @@ def winsorize(
         if hi is not None:
             cond = cond | (x > F.lit(hi))
         outside.append(F.count_if(cond).alias(f"k{i}"))
+        if isinstance(df.schema[c].dataType, INTEGRAL_TYPES):
+            # no abs(): the smallest bigint has none
+            outside.append(F.greatest(F.max(c), -1 - F.min(c)).alias(f"w{i}"))
     counts = df.agg(*outside).first()
-    rows = []
+    rows, wide = [], set()
     for i, c in enumerate(cols):
+        if f"w{i}" in counts and (counts[f"w{i}"] or 0) > _EXACT_DOUBLE:
+            wide.add(c)
         k = counts[f"k{i}"]
         if k:
             lo, hi = bounds[c]
             rows.append(("winsorize", c, int(k), f"lo={lo!r}, hi={hi!r}"))
     out = df.select(
-        *[_clip(F.col(c), *bounds[c]).alias(c) if c in bounds else F.col(c) for c in df.columns]
+        *[_clip(F.col(c), *bounds[c], wide=c in wide).alias(c) if c in bounds else F.col(c) for c in df.columns]
     )
     return out, _report(spark, rows)
 

@@ -151,13 +151,13 @@ def quality_diff(
 def pii_scan(
     df: DataFrame,
     sample_rows: int | None = None,
-    all_columns: bool = False,
+    all_columns: bool = True,
 ) -> DataFrame:
     """(column, hits, rows_scanned): rows whose text holds an email, phone or
     card pattern, for columns with at least one hit.
 
-    Scans every row by default (`sample_rows` caps it); string columns only,
-    unless `all_columns` (then every plain column as text, doubles in digits).
+    Scans every row by default (`sample_rows` caps it) and every plain column as text
+    (doubles in digits); `all_columns=False` scans string columns only.
     One aggregate evaluates all patterns of all columns in a single pass.
     """
     from pyspark.sql import types as T

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.functions.constants import CARD_PATTERN, EMAIL_PATTERN, PHONE_PATTERN
 from tablelens.operators import cleaning, insight, profile, quality, timeseries
 from tablelens.plans.fixtures import (
     DIRTY_EVENTS_SQL,
@@ -317,13 +318,8 @@ def q_quality_gate(spark, sf):
     )
 
 
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-_PHONE = r"\+?\d[\d\-\s()]{7,}\d"
-_CARD = r"\b(?:\d[ -]*?){13,19}\b"
-
-
 def _pii_sql(source: str, cols: list[str]) -> str:
-    hit = " OR ".join(f"regexp_matches({{c}}, '{p}')" for p in (_EMAIL, _PHONE, _CARD))
+    hit = " OR ".join(f"regexp_matches(CAST({{c}} AS VARCHAR), '{p}')" for p in (EMAIL_PATTERN, PHONE_PATTERN, CARD_PATTERN))
     parts = [
         f"SELECT '{c}' AS {_q('column')}, {i} AS pos, count(*) FILTER (WHERE {hit.replace("{c}", c)}) AS hits, "
         f"count(*) AS rows_scanned FROM {source}"
@@ -332,22 +328,22 @@ def _pii_sql(source: str, cols: list[str]) -> str:
     return "SELECT \"column\", hits, rows_scanned FROM (" + "\nUNION ALL ".join(parts) + ") WHERE hits > 0"
 
 
-@register("pii_scan_documents", _pii_sql("documents", ["text", "lang", "source"]))
+@register("pii_scan_documents", _pii_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
 def q_pii_documents(spark, sf):
     return quality.pii_scan(table(spark, sf, "documents"))
 
 
-@register("pii_scan_pages", _pii_sql("pages", ["url", "html"]))
+@register("pii_scan_pages", _pii_sql("pages", ["page_id", "url", "html"]))
 def q_pii_pages(spark, sf):
     return quality.pii_scan(table(spark, sf, "pages"))
 
 
-@register("pii_scan_conversations", _pii_sql("conversations", ["role", "text"]))
+@register("pii_scan_conversations", _pii_sql("conversations", ["conv_id", "turn", "role", "text"]))
 def q_pii_conversations(spark, sf):
     return quality.pii_scan(table(spark, sf, "conversations"))
 
 
-@register("pii_scan_customer", _pii_sql("customer", ["c_name", "c_mktsegment"]))
+@register("pii_scan_customer", _pii_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]))
 def q_pii_customer(spark, sf):
     return quality.pii_scan(table(spark, sf, "customer"))
 
@@ -692,9 +688,10 @@ def _infer_sql(source: str, cols: list[tuple[str, str]]) -> str:
     mono = []
     for c, t in cols:
         if t in ("bigint", "int"):
+            # rows in the order of the table's key, its first column
             mono.append(
                 f"SELECT '{c}' AS {_q('column')}, coalesce(bool_and(x >= px), true) AND count(*) = count(x) AS monotonic "
-                f"FROM (SELECT {c} AS x, lag({c}) OVER () AS px FROM {source})"
+                f"FROM (SELECT {c} AS x, lag({c}) OVER (ORDER BY {cols[0][0]}) AS px FROM {source})"
             )
         else:
             mono.append(f"SELECT '{c}', false")
@@ -718,7 +715,7 @@ FROM f JOIN nm ON f."column" = nm."column" JOIN m ON f."column" = m."column\""""
 def q_infer_orders(spark, sf):
     from tablelens.operators import roles
 
-    return roles.infer_columns(table(spark, sf, "orders"))
+    return roles.infer_columns(table(spark, sf, "orders"), order_by=ORDERS_COLS[0][0])
 
 
 def _defaults_sql(source: str, cols: list[tuple[str, str]]) -> str:
@@ -751,7 +748,7 @@ UNION ALL SELECT 'timestamp', (SELECT "column" FROM i WHERE is_datetime ORDER BY
 def q_defaults_orders(spark, sf):
     from tablelens.operators import roles
 
-    return roles.default_columns(table(spark, sf, "orders"))
+    return roles.default_columns(table(spark, sf, "orders"), order_by=ORDERS_COLS[0][0])
 
 
 # --------------------------------------------------- more profile/quality ---
@@ -970,7 +967,7 @@ def q_duplicates_documents(spark, sf):
     return profile.duplicate_counts(table(spark, sf, "documents"))
 
 
-@register("pii_scan_benchmark", _pii_sql("benchmark", ["text"]))
+@register("pii_scan_benchmark", _pii_sql("benchmark", ["item_id", "text"]))
 def q_pii_benchmark(spark, sf):
     return quality.pii_scan(table(spark, sf, "benchmark"))
 

@@ -75,3 +75,18 @@ def test_names_by_contract():
     assert dedupe_names(["c", "c", "c_1", "c"]) == ["c", "c_2", "c_1", "c_3"]
     assert roles.best_name(["my_id", "ID"], ["id"]) == "ID"
     assert roles.best_name(["a", "b"], ["id"]) is None
+
+
+def test_winsorize_keeps_large_ids_apart(spark):
+    ids = [9007199254740993 + 2 * k for k in range(200)] + [-(1 << 63)]
+    df = spark.createDataFrame([(i, float(k)) for k, i in enumerate(ids)], "id bigint, v double")
+    out, _ = cleaning.winsorize(df, upper_q=1.0, lower_q=None)
+    assert sorted(int(r.id) for r in out.collect()) == sorted(ids)
+
+
+def test_pii_scan_reads_every_column(spark):
+    from tablelens.operators import quality
+
+    df = spark.createDataFrame([("none", 4111111111111111), ("none", 5)], "t string, n bigint")
+    assert [(r.column, r.hits) for r in quality.pii_scan(df).collect()] == [("n", 1)]
+    assert quality.pii_scan(df, all_columns=False).count() == 0

@@ -63,7 +63,7 @@ def test_infer_id_like_and_monotonic(spark):
     df = spark.createDataFrame([(i, i % 3, float(i % 7)) for i in range(100)], "seq bigint, k bigint, v double")
     info = {r["column"]: r for r in roles.infer_columns(df).collect()}
     assert info["seq"]["is_id_like"] and not info["k"]["is_id_like"]
-    assert set(roles.monotonic_columns(df, ["seq", "k"])) == {"seq"}
+    assert set(roles.monotonic_columns(df, ["seq", "k"], order_by="seq")) == {"seq"}
 
 
 def test_dedupe_columns_and_nan_to_null(spark):
@@ -87,10 +87,16 @@ def test_roles_on_a_wide_table(spark):
     assert top["entity_id"] == "customer_id" and top["event_ts"] == "order_date" and top["value"] == "amount"
 
 
-def test_monotonic_across_partitions(spark):
-    up = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(100)], 4), "x bigint")
-    assert roles.monotonic_columns(up, ["x"]) == {"x"}
-    rows = [(i,) for i in range(50, 100)] + [(i,) for i in range(50)]
-    broken = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "x bigint")
-    assert broken.rdd.getNumPartitions() == 2
-    assert roles.monotonic_columns(broken, ["x"]) == set()
+def test_monotonic_by_an_explicit_order_whatever_the_layout(spark):
+    rows = [(i, i // 2, 99 - i, 7, None if i == 50 else i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k bigint, up bigint, down bigint, same bigint, gap bigint")
+    cols = ["k", "up", "down", "same", "gap"]
+    for layout in (df.coalesce(1), df.repartition(7), df.orderBy("down").repartition(3, "up")):
+        assert roles.monotonic_columns(layout, cols, order_by="k") == {"k", "up", "same"}
+        assert roles.monotonic_columns(layout, cols, order_by=["same", "down"]) == {"down", "same"}
+        assert roles.monotonic_columns(layout, cols) == {"same"}
+    assert roles.monotonic_columns(df.limit(0), cols, order_by="k") == set()
+    assert roles.monotonic_columns(df.limit(0), cols) == set()
+    # equal order values: unordered among themselves
+    ties = spark.createDataFrame([(1, 2), (1, 1), (2, 2), (None, 0)], "o bigint, `x.y` bigint")
+    assert roles.monotonic_columns(ties, ["x.y"], order_by="o") == {"x.y"}
