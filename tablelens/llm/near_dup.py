@@ -5,11 +5,12 @@
    large, become one row before anything else happens. A class keeps the k smallest
    hashes: its bottom-k sketch.
 2. Inverted lists of retained values give the candidates. Two sets with Jaccard >= 0.8
-   share at least `overlap` of their k retained values (all of a small set is retained, so
-   the bound is then a certainty; for larger ones it fails with a probability below 1e-9),
-   and must therefore meet in a list of the k - overlap + 1 values of either that are
-   rarest in the corpus. Only those lists are kept: a frequent line or passage does not
-   put all its documents into one list, unless they agree in most of their values.
+   share at least `overlap` of their k retained values (for a set of at most k values the
+   worst case over the sizes of its partners, of which a larger one retains k only; for
+   larger sets the bound fails with a probability below 1e-9), and must therefore meet in a
+   list of the k - overlap + 1 values of either that are rarest in the corpus. Only those
+   lists are kept: a frequent line or passage does not put all its documents into one list,
+   unless they agree in most of their values.
 3. Each list is first reduced to a star: every member is compared with the list's most
    central class only (the one whose values are the most frequent: the original among its
    near copies), so that a dense group of n near copies costs n comparisons, not n * n.
@@ -64,6 +65,18 @@ def least_overlap(k: int, similarity: float, risk: float = 1e-9) -> int:
     return k
 
 
+def small_overlap(n: int, k: int, similarity: float) -> int:
+    """Retained values that a set of n <= k shares with any set of this similarity.
+
+    Of a partner of b values at least similarity * (n + b) / (1 + similarity) are common; a
+    partner of more than k loses b - k of its values, which may all be common ones."""
+    least, any_large = k, least_overlap(k, similarity)
+    for b in range(math.ceil(n * similarity - 1e-9), math.floor(n / similarity + 1e-9) + 1):
+        common = math.ceil(similarity * (n + b) / (1 + similarity) - 1e-9)
+        least = min(least, common if b <= k else max(common - (b - k), any_large))
+    return max(1, least)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes (uint64) of each text of a buffer."""
     data = LOWER[data]
@@ -135,8 +148,8 @@ def _lists(classes: DataFrame, k: int, similarity: float) -> DataFrame:
     often = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     overlap = least_overlap(k, similarity)
     kept = F.least("n", F.lit(k))
-    # a small set is wholly retained: shared >= similarity * union >= similarity * n
-    need = F.when(F.col("n") <= k, F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9))).otherwise(F.lit(overlap))
+    small = F.array(*[F.lit(small_overlap(n, k, similarity)) for n in range(1, k + 1)])
+    need = F.when(F.col("n") <= k, F.get(small, (F.col("n") - 1).cast("int"))).otherwise(F.lit(overlap))
     ranked = (
         flat.join(often, "value")
         .groupBy("id", "n")

@@ -64,6 +64,18 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_links_small_sets_to_larger_ones(spark):
+    # sets of 26 to 32 shingles inside one of up to a quarter more: all within 0.8
+    sizes = [(32, 39), (32, 40), (31, 38), (30, 37), (26, 32), (33, 41)]
+    rows = []
+    for k in range(240):
+        small, large = sizes[k % len(sizes)]
+        words = [f"p{k}w{j}" for j in range(large + 3)]
+        rows += [(2 * k, " ".join(words[: small + 3])), (2 * k + 1, " ".join(words))]
+    got = near_dup.near_duplicates(docs(spark, rows), width=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((4, 16))
