@@ -26,7 +26,9 @@
 Defined results: null and empty texts and texts without words have no shingles, link with
 nothing and are kept; texts with fewer words than a shingle form one shingle of all words;
 rows with equal doc_id are joined through their texts only, and the component of a class is
-the smallest non-null doc_id in it; rows of a component without any non-null doc_id get null."""
+the smallest non-null doc_id in it; rows of a component without any non-null doc_id get null.
+The document kept of a component is the one of that doc_id (of several texts under it, one);
+without any non-null doc_id it is one row."""
 
 from __future__ import annotations
 
@@ -265,12 +267,14 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     """The same with `__text`, a hash of the text."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id0"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("text"))
-    rows = cut(_with_sets(texts, "text", width, k))
+    rows = cut(_with_sets(texts.withColumn("__row", F.monotonically_increasing_id()), "text", width, k))
+    # the survivor of some rows is the smallest of these
+    rank = F.struct(F.col("id0").isNull().alias("nameless"), F.col("id0").alias("id"), F.col("__text").alias("text"), F.col("__row").alias("row"))
     # one class per distinct set; the id is a number that fits the joins below
     classes = cut(
         rows.where("sig is not null")
         .groupBy("sig")
-        .agg(F.min("id0").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min(rank).alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         .withColumn("id", F.monotonically_increasing_id())
     )
     lists = cut(_lists(classes, k, percent / 100))
@@ -314,21 +318,33 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     lows = classes.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select(
         "sig", "low", F.coalesce("root", "id").alias("root")
     )
-    smallest = lows.groupBy("root").agg(F.min("low").alias("component"))
-    named = lows.join(smallest, "root").select(F.col("sig").alias("s"), "component")
-    out = rows.select("id0", "__text", "n_shingles", "sig").join(named, F.col("sig") == F.col("s"), "left")
-    component = F.when(F.col("sig").isNull(), F.col("id0")).otherwise(F.col("component"))
+    smallest = lows.groupBy("root").agg(F.min("low").alias("best"))
+    named = lows.join(smallest, "root").select(F.col("sig").alias("s"), "best")
+    out = rows.select("id0", "__text", "__row", "n_shingles", "sig").join(named, F.col("sig") == F.col("s"), "left")
+    component = F.when(F.col("sig").isNull(), F.col("id0")).otherwise(F.col("best.id"))
+    kept = (
+        F.when(F.col("sig").isNull(), F.lit(True))
+        .when(F.col("best.nameless"), F.col("__row") == F.col("best.row"))
+        .otherwise(F.col("id0").eqNullSafe(F.col("best.id")) & (F.col("__text") == F.col("best.text")))
+    )
     return out.select(
         F.col("id0").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("id0") == component, F.col("sig").isNull()).alias("kept"),
+        kept.alias("kept"),
         "__text",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents of `docs` with one document per group of near duplicates: the one of the
-    smallest id stays. Rows that repeat a document's id and text are that document."""
-    kept = _decided(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__id"), F.col("__text").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__kept")), "left_semi")
+    smallest id stays. Rows that repeat a document's id and text are that document; rows
+    without an id are documents of their own."""
+    found = _decided(docs, id_col, text_col, **options).where("kept")
+    found = cut(found.select(F.col(id_col).alias("__id"), F.col("__text").alias("__kept"), (F.col("n_shingles") == 0).alias("__wordless")).distinct())
+    same = F.xxhash64(docs[text_col]) == F.col("__kept")
+    named = docs.where(docs[id_col].isNotNull()).join(found.where("__id is not null"), (docs[id_col] == F.col("__id")) & same, "left_semi")
+    nameless = docs.where(docs[id_col].isNull()).join(found.where("__id is null"), same).drop("__id")
+    # texts without words are no copies of each other
+    single = nameless.where("not __wordless").dropDuplicates(["__kept"])
+    return named.union(nameless.where("__wordless").union(single).drop("__kept", "__wordless"))

@@ -76,6 +76,16 @@ def test_near_duplicates_links_small_sets_to_larger_ones(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_keep_one_without_ids(spark):
+    rows = [(None, "one unique text of some words"), (None, "a pair of equal texts"), (None, "a pair of equal texts")]
+    rows += [(None, "A pair of equal texts"), (None, ""), (None, ""), (None, None), (7, "another text that has its id"), (7, "Another text that has its id")]
+    frame = docs(spark, rows)
+    assert sorted((r.text or "").lower() for r in near_dup.keep_one(frame).collect()) == [
+        "", "", "", "a pair of equal texts", "another text that has its id", "one unique text of some words",
+    ]
+    assert near_dup.near_duplicates(frame).where("kept").count() == 6
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((4, 16))
