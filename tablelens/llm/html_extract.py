@@ -6,7 +6,10 @@ host's distinct pages, the distribution of its children's layouts (presentation)
 texts (content). A node's importance is the entropy of these distributions, relative to the
 largest possible; navigation, adverts and notices that a site repeats have hardly any, the
 articles have much. Branches below `IMPORTANCE` are removed from each page of a host with at
-least `PAGES` distinct pages.
+least `PAGES` distinct pages. Pages are told apart by their content (the texts of the article
+or main elements, else of the page, without noise), so copies of one article count once. An
+article or main element and what is around it is never removed, and the branches inside it
+only if they hold less than half of the page's text: the rest is the article itself.
 
 What a page states itself comes first: an article or main element is the page's content,
 and elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
@@ -71,12 +74,13 @@ _WORDS = re.compile(r"[a-z]+")
 
 class Node:
     """An element: path in the style tree, whether the page itself calls it noise, its
-    children (nodes and texts in order)."""
+    children (nodes and texts in order), whether it is or holds an article or main."""
 
-    __slots__ = ("tag", "path", "noise", "main", "children", "key")
+    __slots__ = ("tag", "path", "noise", "main", "holds", "children", "key")
 
     def __init__(self, tag: str, path: str, noise: bool, main: bool, key: str):
         self.tag, self.path, self.noise, self.main, self.key = tag, path, noise, main, key
+        self.holds = False
         self.children: list = []
 
 
@@ -144,6 +148,12 @@ def parse(source: str) -> Node:
         main = up.main or tag in ("article", "main") or attrs.get("role") == "main"
         node = Node(tag, path, _is_noise(tag, attrs, up.main), main, key)
         up.children.append(node)
+        if main and not up.main and not node.noise:
+            node.holds = True
+            for above in reversed(stack):
+                if above.holds:
+                    break
+                above.holds = True
         if tag in VOID or m[3].endswith("/") and tag not in RAW and tag not in ENDS_P:
             continue
         stack.append(node)
@@ -172,6 +182,16 @@ def blocks(root: Node, removed=frozenset()) -> list[str]:
     """The texts of the page's blocks in order: its article or main elements, or
     the whole page if it has none, without noise and without the removed paths."""
     has_main = _any_main(root)
+    whole = _blocks(root, has_main, frozenset())
+    if not removed:
+        return whole
+    rest = _blocks(root, has_main, removed)
+    if has_main and 2 * sum(map(len, rest)) <= sum(map(len, whole)):
+        return whole
+    return rest
+
+
+def _blocks(root: Node, has_main: bool, removed: frozenset) -> list[str]:
     out: list[str] = []
     parts: list[str] = []
 
@@ -191,7 +211,7 @@ def blocks(root: Node, removed=frozenset()) -> list[str]:
             if item.tag not in INLINE:
                 flush()
             continue
-        if item.noise or item.path in removed and item.tag not in INLINE:
+        if item.noise or item.path in removed and item.tag not in INLINE and not item.holds:
             flush()
             continue
         if item.tag == "br":
@@ -222,11 +242,12 @@ def _any_main(root: Node) -> bool:
     return False
 
 
-def styles(root: Node) -> list[tuple[str, int, int]]:
-    """(path, digest of the children's layout, digest of the texts) for each style node of a
-    page; elements with one path are taken together."""
+def styles(root: Node) -> tuple[int, list[tuple[str, int, int]]]:
+    """The digest of a page's content, and (path, digest of the children's layout, digest of
+    the texts) for each style node; elements with one path are taken together."""
     layout: dict[str, list] = {}
     texts: dict[str, list] = {}
+    inside: list[str] = []
     todo = [root]
     while todo:
         node = todo.pop()
@@ -234,9 +255,13 @@ def styles(root: Node) -> list[tuple[str, int, int]]:
             continue
         if node.path:
             layout.setdefault(node.path, []).append(tuple(dict.fromkeys(c.key for c in node.children if not isinstance(c, str))))
-            texts.setdefault(node.path, []).extend(t for c in node.children if isinstance(c, str) and (t := c.strip()))
+            own = [t for c in node.children if isinstance(c, str) and (t := c.strip())]
+            texts.setdefault(node.path, []).extend(own)
+            if node.main:
+                inside += own
         todo += [c for c in reversed(node.children) if not isinstance(c, str)]
-    return [(p, hash_text(repr(layout[p])), hash_text("\n".join(texts[p]))) for p in layout]
+    content = inside or [t for own in texts.values() for t in own]
+    return hash_text("\n".join(content)), [(p, hash_text(repr(layout[p])), hash_text("\n".join(texts[p]))) for p in layout]
 
 
 def hash_text(text: str) -> int:
@@ -257,8 +282,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         for batch in batches:
             out: list[tuple] = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = hash_text(source)
-                out += [(host, path, page, layout, text) for path, layout, text in styles(parse(source))]
+                page, nodes = styles(parse(source))
+                out += [(host, path, page, layout, text) for path, layout, text in nodes]
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -266,7 +291,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             )
 
     found = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null and html != ''").mapInArrow(run, schema)
-    distinct = found.distinct()  # equal pages of a host count once
+    distinct = found.distinct()  # equal contents of a host count once
     # entropy of both distributions from grouped counts: H = log n - sum(c log c) / n
     parts = []
     for name in ("layout", "content"):

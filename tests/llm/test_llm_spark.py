@@ -225,6 +225,22 @@ def test_html_style_tree(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_html_style_tree_keeps_repeated_articles(spark):
+    page = "<html><title>{0}</title><body><nav>menu {0}</nav><div class='top'>top {0}</div><article><p>{1}</p><div class='box'>Follow us</div></article></body></html>"
+    rows = [(k, "http://a.example/", page.format(k, "one story of the host")) for k in range(10)]
+    rows += [(10, "http://a.example/own", page.format(10, "a story of its own"))]
+    # a counter inside the article makes every copy a page of its own
+    count = "<main><i>seen {} times</i><p>one story of the host that is read by many</p></main>"
+    rows += [(20 + k, "http://b.example/", count.format(k)) for k in range(12)]
+    # what a host's articles repeat still goes
+    rows += [(40 + k, "http://c.example/", page.format(k, f"story {k} of many that this host has")) for k in range(10)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert all(got[k].startswith("one story of the host") for k in range(10)) and got[10].startswith("a story of its own")
+    assert all("read by many" in got[20 + k] for k in range(12))
+    assert [got[40 + k] for k in range(10)] == [f"story {k} of many that this host has" for k in range(10)]
+
+
 def test_secrets(spark):
     secret = lambda: "".join(random.choice("0123456789abcdef") for _ in range(40))
     rows = [(k, f'set token = "{secret()}" and internationalisation words') for k in range(40)]
