@@ -65,6 +65,13 @@ DROP_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies "
     "pagination pager toolbar skip search copyright legal disclaimer".split()
 )
+#: Inside an article or main, whole class names of containers (and ids, of sections only those
+#: of reader comments: other ids there are headings), and of any element but headings.
+CONTAINERS = frozenset("div section ul ol dl table details figure fieldset center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+COMMENTS = frozenset("comment comments disqus disqus_thread respond replies".split())
+ADVERTS = frozenset("ad ads advert advertisement adverts advertising adsense sponsored".split())
+PARTS = DROP_WORDS - frozenset("header masthead banner notice notices search skip legal copyright disclaimer consent overlay reply".split()) | COMMENTS
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -97,6 +104,13 @@ def _is_noise(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
+    if in_main:
+        classes, own = attrs.get("class", "").lower().split(), attrs.get("id", "").strip().lower()
+        if tag in ("article", "main") or tag in HEADINGS:
+            return False
+        if tag in CONTAINERS and (not PARTS.isdisjoint(classes) or own in (COMMENTS if tag == "section" else PARTS)):
+            return True
+        return not ADVERTS.isdisjoint(classes)
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
     return tag not in ("html", "body", "article", "main") and not DROP_WORDS.isdisjoint(_WORDS.findall(named))
 

@@ -134,6 +134,14 @@ def test_html_blocks():
     assert html_extract.blocks(html_extract.parse(deep)) == ["x"]
 
 
+def test_html_keeps_the_article_by_names():
+    page = """<body><div class="site-menu">menu</div><article><div class="article-header"><h1>Title</h1></div>
+    <h2 id="related-work">Related work</h2><p class="notice-period">one</p><section id="legal-history"><h2 id="search">Search</h2>two</section>
+    <pre><span class="comment"># three</span></pre><div class="post-share-of-votes">four</div>
+    <div class="related">r</div><ul class="links share">s</ul><div id="comments">c</div><p class="ad">a</p></article></body>"""
+    assert " ".join(html_extract.blocks(html_extract.parse(page))) == "Title Related work one Search two # three four"
+
+
 def test_runs_do_not_cross_rows():
     flag = np.array([1, 1, 0, 1, 1, 1], bool)
     s, e, r = runs(flag, np.array([0, 4, 4, 6]))
