@@ -1,6 +1,10 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more token characters. Its features: length; shares of
+A candidate is a run of 16 or more token characters, or a value of any length and any
+characters that is assigned (=, : or =>) to a name for a secret: in quotes up to the closing
+one, else up to white space or the next name of a query string, without punctuation behind
+it. A leading name= is no part of a candidate. Runs inside a quoted value with white space
+are candidates as well. Its features: length; shares of
 digits, upper and lower case; transitions between character classes and between repeated
 classes; entropy of its characters; the share of it that dictionary words cover (words
 that many documents of the corpus hold); signs of a path or address; and the neighbouring
@@ -8,8 +12,8 @@ words before it, hashed. A forest is trained on labelled findings.
 
 Labelled findings: a table (doc_id, start, label) may be given. Without one, findings are
 labelled by what is certain: an assignment to a name for a secret, in quotes and with
-digits, is one; a candidate that dictionary words or letters alone make up is none; all
-others are left to the forest. Training uses all labelled findings up to `SAMPLE_ROWS`,
+digits, is one; a candidate that dictionary words or letters alone (no digit, no sign other
+than those of tokens) make up is none; all others are left to the forest. Training uses all labelled findings up to `SAMPLE_ROWS`,
 else about that many, chosen by a hash.
 
 Only DataFrame and Spark ML (JVM) functions run. Defined results: null and empty texts
@@ -21,11 +25,11 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .native import matches
+from .native import let, matches
 
 #: Labelled findings used for training, at most (in expectation).
 SAMPLE_ROWS = 20_000
@@ -33,16 +37,49 @@ SAMPLE_ROWS = 20_000
 DICTIONARY = 20
 #: Hashed neighbouring words.
 NEIGHBOURS = 64
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+_TOKEN = "A-Za-z0-9+/_=-"
+CANDIDATE = rf"(?<![{_TOKEN}])[{_TOKEN}]{{16,}}+"
 # Names of secrets in assignments that count as labelled findings.
 NAMES = "token|secret|password|passwd|pwd|api_key|apikey|access_key|auth"
+# The name's end and the sign of an assignment, and the values (no group is repeated with
+# backtracking, so long ones need no stack).
+_GIVEN = rf"(?i:{NAMES})[\"'`]?\s*+(?:=>|[=:]{{1,2}}+)"
+_QUOTED = "|".join(rf"{q}(?:[^{q}\\\n]++|\\.)++{q}" for q in "\"'`")
+ASSIGNED = rf"(?<![{_TOKEN}])[{_TOKEN}]*?{_GIVEN}(?:\s*+(?:{_QUOTED})|[\x20\t]*+[\"'`]?[^\s\"'`](?:(?!&[A-Za-z0-9_]++=)\S)*+)"
+#: What stands before the value in a match.
+_HEAD = rf"^(?:[{_TOKEN}]*?{_GIVEN}\s*+[\"'`]?|-*+[A-Za-z_][A-Za-z0-9_-]*+=++(?=[^=]))"
 _NUMERIC = ["length", "digits", "upper", "lower", "changes", "entropy", "covered", "slashes", "dots", "quoted", "assigned"]
 
 
+def _value(m: Column) -> Column:
+    """struct<start, value> of a match, without name, quotes and punctuation around it."""
+
+    def inner(head: Column) -> Column:
+        body = F.substring(m["value"], F.char_length(head) + 1, F.char_length(m["value"]))
+        quote = F.regexp_extract(head, "[\"'`]$", 0)
+        closed = (quote != "") & F.endswith(body, quote) & (F.char_length(body) > 1)
+        return F.struct(
+            (m["start"] + F.char_length(head)).alias("start"),
+            F.when(closed, F.substring(body, F.lit(1), F.char_length(body) - 1)).otherwise(F.rtrim(body, F.lit("\"'`,;.)]}>"))).alias("value"),
+        )
+
+    return let(F.regexp_extract(m["value"], _HEAD, 0), inner)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate: id, start, end, value, before (40 characters), after (8)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = texts.select("id", "text", F.explode(matches(F.col("text"), CANDIDATE, "secret", 0)).alias("m"))
+    text = F.col("text")
+    # most texts assign nothing and need the plain pattern only
+    found = F.when(text.rlike(_GIVEN), matches(text, f"{ASSIGNED}|{CANDIDATE}", "secret", 0)).otherwise(matches(text, CANDIDATE, "secret", 0))
+    values = texts.select("id", "text", F.explode(F.transform(found, _value)).alias("m"))
+    # a quoted sentence may hold runs of its own
+    runs = F.transform(
+        matches(F.col("m.value"), CANDIDATE, "secret", 0, F.col("m.value").rlike(r"\s")),
+        lambda g: _value(F.struct((g["start"] + F.col("m.start")).alias("start"), g["value"].alias("value"))),
+    )
+    rows = values.select("id", "text", F.explode(F.concat(F.array("m"), runs)).alias("m")).where("m.value != ''")
+    rows = rows.select("id", "text", F.struct("m.start", (F.col("m.start") + F.char_length("m.value")).alias("end"), "m.value").alias("m"))
     return rows.select(
         "id",
         F.col("m.start").alias("start"),
@@ -97,7 +134,7 @@ def certain_labels(rows: DataFrame) -> DataFrame:
     secret = (
         F.lower("before").rlike(rf"(?:{NAMES})\s*[=:]\s*[\"'`]$") & (F.col("quoted") == 1) & (F.col("digits") > 0) & (F.col("entropy") >= 3)
     )
-    none = (F.col("covered") >= 0.5) | (F.col("digits") == 0)
+    none = (F.col("covered") >= 0.5) | ((F.col("digits") == 0) & ~F.col("value").rlike(rf"[^\p{{L}}\s{_TOKEN}]"))
     return rows.withColumn("label", F.when(secret, 1.0).when(none, 0.0)).where("label is not null")
 
 

@@ -252,6 +252,25 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_assigned_values(spark):
+    hexes = "0123456789abcdef0123"
+    cases = [
+        ('password = "hunter2Xy9" and', ["hunter2Xy9"]), ("my pwd: 'p@ss!W0rd$ 1'", ["p@ss!W0rd$ 1"]), ("curl ?token=Ab1.c2&x=1", ["Ab1.c2"]),
+        (f"run token={hexes}.", [hexes]), (f"run --session={hexes}", [hexes]), ('{"api_key": "k3y!"}', ["k3y!"]), (r'secret="a\"b1"', [r"a\"b1"]),
+        (f"x /opt/mytoken={hexes}!é", [f"{hexes}!é"]), (f'auth: "see {hexes} there"', [f"see {hexes} there", hexes]), (f"é😀 {hexes}==", [f"{hexes}=="]),
+        ("password:", []), ("no token here", []), ('passwd="' + "a1!" * 40_000 + '"', ["a1!" * 40_000]),
+    ]
+    found = secrets.candidates(docs(spark, [(k, t) for k, (t, _) in enumerate(cases)])).collect()
+    for k, (t, want) in enumerate(cases):
+        got = [r for r in found if r.id == k]
+        assert sorted(r.value for r in got) == sorted(want), t
+        assert all(t[r.start : r.end] == r.value for r in got)
+    short = lambda k: "".join(random.sample("abcdefgXYZ", 6)) + f"{k % 10}{(k + 3) % 10}{k % 7}"
+    rows = [(k, f'set password = "{short(k)}" and internationalisation words') for k in range(40)]
+    rows += [(k, "plain internationalisation words of extraordinarycharacteristics") for k in range(40, 80)]
+    assert {r.doc_id for r in secrets.scan(docs(spark, rows)).collect()} == set(range(40))
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SMALL).collect()
     source = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
