@@ -6,8 +6,9 @@ disclose it. Over the whole corpus, with N documents, the information that term
 entity e is PMI(t, e) = log2(N * c(t, e) / (c(t) * c(e))), where c(t) counts documents with
 the term, c(e) with the entity, c(t, e) with the term in the entity's context; the entity's
 own information is IC(e) = log2(N / c(e)). A term whose PMI reaches `GENERALISE` of IC is
-generalised where it stands in the entity's context, one that reaches `REMOVE` is removed;
-pairs seen in fewer than `SUPPORT` documents prove nothing. Only DataFrame functions run.
+generalised wherever it stands in the corpus, one that reaches `REMOVE` is removed (the
+largest share over all entities counts); pairs seen in fewer than `SUPPORT` documents prove
+nothing. Terms that touch a base span are part of it. Only DataFrame functions run.
 
 Defined results: a null text counts as empty and has no spans (`sanitise` leaves it null);
 equal texts have equal spans; rows with equal ids are judged one by one."""
@@ -26,6 +27,8 @@ GENERALISE, REMOVE = 0.8, 0.95
 SUPPORT = 2
 #: Characters on either side of an entity that are its context.
 CONTEXT = 120
+#: Disclosing terms, and texts with such terms, up to this size are sent to all tasks.
+BROADCAST_BYTES = 8 << 20
 
 # The patterns (possessive where that changes no match, so that they are
 # linear on any text).
@@ -69,28 +72,32 @@ def _terms(window: Column, offset: Column, base: Column) -> Column:
     return F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
 
+def _keys(text: Column) -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(text, F.lit(1)).alias("__k1"), F.xxhash64(F.lit(2), text).alias("__k2")]
+
+
 def _with_base(docs: DataFrame, text_col: str) -> DataFrame:
     """Adds the base spans, their contexts, and two hashes that stand for the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def context(m: Column) -> Column:
         begin = F.greatest(m["start"] - CONTEXT, F.lit(0))
-        left = F.substring(text, begin + 1, m["start"] - begin)
-        right = F.substring(text, m["end"] + 1, F.lit(CONTEXT))
-        # words cut by the window's edge do not count
+        # one character more shows whether the window's edge cuts a word, which does not count
+        left = F.substring(text, F.greatest(begin, F.lit(1)), m["start"] - F.greatest(begin - 1, F.lit(0)))
+        right = F.substring(text, m["end"] + 1, F.lit(CONTEXT + 1))
         return F.struct(
             F.concat_ws(":", m["kind"], m["value"]).alias("entity"),
             m["start"].alias("start"),
             m["end"].alias("end"),
-            F.when(begin > 0, F.regexp_replace(left, r"^[^\s]+", "")).otherwise(left).alias("left"),
-            F.when(m["end"] + CONTEXT < F.char_length(text), F.regexp_replace(right, r"[^\s]+$", "")).otherwise(right).alias("right"),
+            F.when(begin > 0, F.regexp_replace(left, r"(?s)^(?:\p{L}++|.)", "")).otherwise(left).alias("left"),
+            F.when(m["end"] + CONTEXT < F.char_length(text), F.regexp_replace(right, r"(?s)(?:\p{L}++|.)\z", "")).otherwise(right).alias("right"),
         )
 
     return (
         docs.withColumn("__base", base_spans(text))
         .withColumn("__contexts", F.transform("__base", context))
-        .withColumn("__k1", F.xxhash64(text, F.lit(1)))
-        .withColumn("__k2", F.xxhash64(F.lit(2), text))
+        .select("*", *_keys(text))
     )
 
 
@@ -118,8 +125,7 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, text_col: str = "text
         .where(F.col("c") >= SUPPORT)
     )
     entities = mentions.select("__row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ce"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("ct")).where(F.col("ct") >= SUPPORT)
+    terms = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("ct")).where(F.col("ct") >= SUPPORT)
     n = F.lit(float(max(total, 1)))
     pmi = F.log2(n * F.col("c") / (F.col("ct") * F.col("ce")))
     ic = F.log2(n / F.col("ce"))
@@ -132,20 +138,32 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, text_col: str = "text
     )
 
 
-def _term_spans(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
-    """(__k1, __k2, __terms): for every text with base spans, its disclosing terms."""
-    mentions = cut(_mentions(hits))
-    pairs = disclosing_terms(docs, mentions, text_col)
-    return (
-        mentions.select("__k1", "__k2", "entity", F.explode("terms").alias("t"))
-        .select("__k1", "__k2", "entity", "t.term", "t.start", "t.end")
-        .distinct()
-        .join(pairs, ["entity", "term"])
-        .groupBy("__k1", "__k2", "start", "end")
-        .agg(F.max("share").alias("share"))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _sent(df: DataFrame, size: Column) -> DataFrame:
+    """The frame, marked for broadcast if its rows of `size` bytes each are few."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def _disclosed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(__k1, __k2, __terms, __shares): for every text with disclosing terms, these, wherever
+    they stand and whether or not the text has an entity."""
+    rows = cut(_with_base(docs.select(text_col), text_col).drop(text_col))
+    mentions = cut(_mentions(rows.where(F.size("__base") > 0)))
+    terms = cut(disclosing_terms(docs, mentions, text_col).groupBy("term").agg(F.max("share").alias("share")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    words = docs.select(*_keys(text), F.explode(_words(text)).alias("term"))
+    # copies of a text give equal rows, which the set takes once before they are dealt out
+    hits = (
+        words.join(_sent(terms, F.octet_length("term") + 64), "term")
         .groupBy("__k1", "__k2")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("__terms"))
+        .agg(F.sort_array(F.collect_set(F.struct("term", "share"))).alias("hits"))
     )
+    return cut(hits.select("__k1", "__k2", F.col("hits.term").alias("__terms"), F.col("hits.share").alias("__shares")))
 
 
 def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -153,20 +171,31 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> Dat
     spans have the kinds of KINDS, disclosing terms the kind `term`. A clashing column is
     overwritten. Without `keep_text` the text column goes."""
     docs = docs.drop("pii")
-    rows = _with_base(docs, text_col)
-    rows = cut(rows if keep_text else rows.drop(text_col))
-    spans = cut(_term_spans(docs, rows.where(F.size("__base") > 0), text_col))
-    has = F.size("__base") > 0
-    joined = rows.where(has).join(spans, ["__k1", "__k2"], "left")
+    hits = _disclosed(docs, text_col)
+    hits = _sent(hits, F.octet_length(F.array_join("__terms", ",")) + 16 * F.size("__terms") + 64)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # the spans are found below the join, so that they are computed once
+    rows = docs.select("*", base_spans(text).alias("__base"), *_keys(text)).join(hits, ["__k1", "__k2"], "left")
     base = F.transform("__base", lambda b: F.struct(b["start"], b["rank"], b["end"], b["kind"], b["value"], F.lit(1.0).alias("share")))
+    found = F.filter(
+        matches(text, TERM, "term", 4, F.col("__terms").isNotNull()),
+        lambda t: F.array_contains(F.col("__terms"), F.lower(t["value"]))
+        & ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+    )
     terms = F.transform(
-        F.coalesce("__terms", F.array().cast("array<struct<start:int,end:int,share:double>>")),
-        lambda t: F.struct(t["start"], F.lit(4).alias("rank"), t["end"], F.lit("term").alias("kind"), F.lit("").alias("value"), t["share"]),
+        found,
+        lambda t: F.struct(
+            t["start"],
+            t["rank"],
+            t["end"],
+            t["kind"],
+            F.lit("").alias("value"),
+            F.get("__shares", (F.array_position(F.col("__terms"), F.lower(t["value"])) - 1).cast("int")).alias("share"),
+        ),
     )
-    names = [c for c in rows.columns if not c.startswith("__")]
+    names = [c for c in docs.columns if keep_text or c != text_col]
     kind = "array<struct<start:int,rank:int,end:int,kind:string,value:string,share:double>>"
-    with_hits = joined.select(*names, F.array_sort(F.concat(base, terms)).cast(kind).alias("pii"))
-    return with_hits.union(rows.where(~has).select(*names, F.array().cast(kind).alias("pii")))
+    return rows.select(*names, F.array_sort(F.concat(base.cast(kind), terms.cast(kind))).alias("pii"))
 
 
 def _listed(spans: Column) -> Column:

@@ -168,6 +168,23 @@ def test_pii_disclosing_terms_and_sanitising(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def test_pii_disclosing_terms_everywhere(spark, monkeypatch):
+    far = "nothing of note " * 40
+    rows = [(k, f"the report of zanzibar to joe@corp.com about weather {k}. {far}Zanzibar again, xzanzibar not") for k in range(3)]
+    # text without white space, cut at the window's edge inside a word
+    rows += [(k, f'{{"k":"{"abcd" * 40}","who":"quixote","mail":"sue@corp.com","{"efgh" * 40}"}}') for k in range(3, 6)]
+    rows += [(k, "the weather report about nothing of note") for k in range(6, 70)]
+    rows += [(70, "no address, but Zanzibar."), (71, None)]
+    for limit in (pii.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
+        found = {r.doc_id: r for r in pii.find(docs(spark, rows).drop("pii")).collect()}
+        said = {k: [r.text[s.start : s.end].lower() for s in r.pii if s.kind == "term"] for k, r in found.items()}
+        assert said[0] == ["zanzibar", "zanzibar"] and said[70] == ["zanzibar"] and said[8] == said[71] == []
+        assert "quixote" in said[3] and "abcd" * 40 not in said[3]
+    out = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert "xzanzibar not" in out[0] and "zanzibar" not in out[0].replace("xzanzibar", "").lower() and "zanzibar" not in out[70].lower()
+
+
 def test_decontaminate_spans_and_blocks(spark, monkeypatch):
     text = "Intro here. The quick brown fox jumps over the lazy dog tonight again. Tail é."
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog tonight"), (2, "tail É"), (3, None), (4, "intro")], "item_id bigint, text string")
