@@ -1,77 +1,228 @@
 """Value regressor: target guess, feature split, encoding, gradient-boosted
 trees, metrics, persistence — on Spark ML.
 
-Scale notes: category pooling keeps only members holding at least 1 % of the
-training rows (so at most 100 labels per column ever reach the driver-side
-StringIndexer model); the split is a hash of the row, so it does not depend
-on partitioning; the prepared training frame is checkpointed before the
-boosting iterations re-read it.
+Scale notes: a fitted category map keeps indicator columns only for members
+holding at least 1 % of the training rows (at most 100 per column, the only
+names that reach the driver); the rarer members stay a distributed table. The
+split is a hash of the row, so it does not depend on partitioning. Features are
+assembled to vectors once, and the checkpointed vectors are what the boosting
+iterations read.
 """
 
 from __future__ import annotations
 
-import os
+import json
+from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions.constants import RARE_CATEGORY_SHARE, TARGET_CANDIDATES
 from tablelens.functions.expressions import to_number
+from tablelens.functions.names import quote
 from tablelens.operators.roles import auto_map, column_facts, infer_columns
-from tablelens.operators.stats import per_column_counts
+from tablelens.operators.stats import exact_quantiles, per_column_counts, stats_columns
 from tablelens.session import materialize
 
-_OTHER = "__infrequent__"
-_MISSING = "__missing__"
-
 
 # -------------------------------------------------------------------- M1 --
 
-def guess_target(
-    df: DataFrame, mapped_value: str | None = None, facts: DataFrame | None = None
-) -> str | None:
-    """Mapped value column if any value is numeric; else the first target
-    name present with numeric values; else the non-id-like numeric column
-    with the largest (population) variance."""
+def target_ranking(df: DataFrame, mapped_value: str | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """(column, tier, place): how each column with numeric values ranks as a target, best
+    first. Tier 0 is the mapped value column, tier 1 a target name (place: its order among
+    the names; of two columns of one lowered name the later), tier 2 a column that is not
+    id-like (place: by falling population variance, equal ones in column order)."""
     facts = facts if facts is not None else column_facts(df)
-    rows = facts.collect()
-    info = {r["column"]: r for r in rows}
-    if mapped_value and mapped_value in info and info[mapped_value]["number_parses"]:
-        return mapped_value
-    lowered = {c.lower(): c for c in df.columns}
-    for cand in TARGET_CANDIDATES:
-        col = lowered.get(cand)
-        if col and info[col]["number_parses"]:
-            return col
-    id_like = {r["column"] for r in infer_columns(df, facts, ml=True).where("is_id_like").collect()}
-    cands = [
-        (c, info[c]["var_pop"]) for c in df.columns
-        if info[c]["number_parses"] and c not in id_like and info[c]["var_pop"] is not None
-    ]
-    cands.sort(key=lambda x: -x[1])
-    return cands[0][0] if cands else None
+    ids = infer_columns(df, facts, ml=True).select("column", "is_id_like")
+    name = F.lower("column")
+    known = F.array_position(F.array(*map(F.lit, TARGET_CANDIDATES)), name)
+    tier = (
+        F.when(F.col("column") == F.lit(mapped_value), 0)
+        .when(known > 0, 1)
+        .when(~F.col("is_id_like") & F.col("var_pop").isNotNull(), 2)
+    )
+    place = F.when(F.col("tier") == 1, F.struct(known.cast("double").alias("a"), (-F.col("pos")).alias("b"))).otherwise(
+        F.struct((-F.col("var_pop")).alias("a"), F.col("pos").alias("b"))
+    )
+    return (
+        facts.where("number_parses > 0")
+        .join(F.broadcast(ids), "column")
+        .withColumn("tier", tier)
+        .where("tier is not null")
+        .select("column", "tier", place.alias("place"))
+        .orderBy("tier", "place")
+    )
+
+
+def guess_target(df: DataFrame, mapped_value: str | None = None, facts: DataFrame | None = None) -> str | None:
+    """The best column of `target_ranking`, or None."""
+    best = target_ranking(df, mapped_value, facts).first()
+    return best["column"] if best else None
 
 
 # -------------------------------------------------------------------- M2 --
 
-def split_features(columns: list[str], facts: list) -> tuple[list[str], list[str]]:
-    """Numeric when more than half of all rows read as a number, else categorical."""
-    info = {r["column"]: r for r in facts}
-    num, cat = [], []
-    for c in columns:
-        r = info[c]
-        share = r["number_parses"] / r["rows"] if r["rows"] else 0.0
-        (num if share > 0.5 else cat).append(c)
-    return num, cat
+def feature_kinds(facts: DataFrame) -> DataFrame:
+    """(column, kind): numeric when more than half of all rows read as a number, else categorical."""
+    share = F.try_divide(F.col("number_parses").cast("double"), F.col("rows"))
+    kind = F.when(share > 0.5, "numeric").otherwise("categorical")
+    return facts.orderBy("pos").select("column", kind.alias("kind"))
+
+
+def split_features(columns: list[str], facts: DataFrame) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) of `columns` by `feature_kinds`, in their order."""
+    kind = {r["column"]: r["kind"] for r in feature_kinds(facts).collect()}
+    return [c for c in columns if kind[c] == "numeric"], [c for c in columns if kind[c] == "categorical"]
+
+
+# -------------------------------------------------------------------- M3 --
+
+@dataclass
+class CategoryMap:
+    """What each categorical column's members become.
+
+    `frequent`: column -> members with an indicator of their own (null is a member like any
+    other), sorted, null first. `rare`: (column, member) of the members met in training that
+    share the pooled indicator; a distributed table, as a column may have any number of them."""
+
+    frequent: dict[str, list[str | None]]
+    pooled: list[str]
+    rare: DataFrame = field(repr=False)
+
+    def indicators(self) -> list[tuple[str, str, str | None]]:
+        """(column, kind, member) of every indicator in order; a column's pooled one comes last."""
+        out: list[tuple[str, str, str | None]] = []
+        for c, own in self.frequent.items():
+            out += [(c, "own", m) for m in own]
+            if c in self.pooled:
+                out.append((c, "pooled", None))
+        return out
+
+
+def fit_categories(train: DataFrame, columns: list[str], share: float = RARE_CATEGORY_SHARE) -> CategoryMap:
+    """The category map of the training rows: a member in fewer than `share` of all rows is rare."""
+    if not columns:
+        return CategoryMap({}, [], train.sparkSession.createDataFrame([], "column string, member string"))
+    text = train.select(*[F.col(quote(c)).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    counts = materialize(
+        per_column_counts(text, text.columns, include_nulls=True).select(
+            F.element_at(F.array(*map(F.lit, columns)), F.col("g") + 1).alias("column"),
+            F.coalesce(*[F.col(f"v{i}") for i in range(len(columns))]).alias("member"),
+            "n",
+        )
+    )
+    least = F.lit(share) * F.lit(train.count())
+    rare = counts.where(F.col("n") < least).select("column", "member")
+    frequent: dict[str, list[str | None]] = {c: [] for c in columns}
+    for r in counts.where(F.col("n") >= least).collect():  # at most 1 / share members a column
+        frequent[r["column"]].append(r["member"])
+    for own in frequent.values():
+        own.sort(key=lambda m: (m is not None, m or ""))
+    some = {r["column"] for r in rare.select("column").distinct().collect()}
+    return CategoryMap(frequent, [c for c in columns if c in some], rare)
+
 
+def category_codes(df: DataFrame, fitted: CategoryMap, met: bool = False) -> DataFrame:
+    """`df` with `<column>__kind` for each mapped column: `own` (a member with an indicator),
+    `pooled` (rare in training) or null (never met in training).
 
-# ---------------------------------------------------------- M3 / M4 / M5 --
+    With `met` every member is known to come from the training rows, so nothing is looked
+    up. Else members without an indicator are looked up in the table of rare ones; rows that
+    need no look-up get a dealt-out key, so they do not meet in one task of the join."""
+    rows = df
+    for c, own in fitted.frequent.items():
+        value = F.col(quote(c)).cast("string")
+        named = [m for m in own if m is not None]
+        is_own = (value.isin(named) if named else F.lit(False)) & value.isNotNull()
+        is_own = F.coalesce(is_own | value.isNull() if None in own else is_own, F.lit(False))
+        if met or c not in fitted.pooled:
+            rest = F.lit("pooled" if met else None).cast("string")
+            rows = rows.withColumn(f"{c}__kind", F.when(is_own, F.lit("own")).otherwise(rest))
+            continue
+        dealt = F.concat(F.lit("d"), F.pmod(F.xxhash64(*[F.col(quote(x)) for x in df.columns]), F.lit(1009)).cast("string"))
+        key = F.when(is_own, dealt).when(value.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), value))
+        known = fitted.rare.where(F.col("column") == c).select(
+            F.when(F.col("member").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("member"))).alias("__key"),
+            F.lit("pooled").alias("__met"),
+        )
+        rows = (
+            rows.withColumn("__key", key)
+            .withColumn("__own", is_own)
+            .join(known, "__key", "left")
+            .withColumn(f"{c}__kind", F.when(F.col("__own"), F.lit("own")).otherwise(F.col("__met")))
+            .drop("__key", "__own", "__met")
+        )
+    return rows
+
+
+def indicator_columns(fitted: CategoryMap) -> list[Column]:
+    """0 / 1 indicators over a frame with `category_codes`, named ind0, ind1, … in the order
+    of `CategoryMap.indicators`; a member never met in training has none set."""
+    out = []
+    for i, (c, kind, m) in enumerate(fitted.indicators()):
+        hit = F.col(quote(f"{c}__kind")).eqNullSafe(kind)
+        if kind == "own":
+            hit &= F.col(quote(c)).cast("string").eqNullSafe(F.lit(m).cast("string"))
+        out.append(hit.cast("double").alias(f"ind{i}"))
+    return out
+
+
+# --------------------------------------------------------------- M4 / M5 --
+
+@dataclass
+class ValueModel:
+    """Boosted trees with everything needed to score raw rows."""
+
+    target: str
+    numeric: list[str]
+    categorical: list[str]
+    medians: dict[str, float]
+    categories: CategoryMap
+    trees: GBTRegressionModel
+
+    def features(self, df: DataFrame, keep: list[str], met: bool = False) -> DataFrame:
+        """`keep` and the assembled vector `features` of prepared rows."""
+        coded = category_codes(df, self.categories, met)
+        values = [F.coalesce(F.col(quote(c)), F.lit(self.medians.get(c, 0.0))).alias(f"num{i}") for i, c in enumerate(self.numeric)]
+        marks = indicator_columns(self.categories)
+        names = [f"num{i}" for i in range(len(values))] + [f"ind{i}" for i in range(len(marks))]
+        rows = coded.select(*[F.col(quote(k)) for k in keep], *values, *marks)
+        return VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Rows of the feature columns (others are kept) with a column `prediction`."""
+        fields = {f.name: f.dataType for f in df.schema.fields}
+        rows = df.withColumns({c: _number(c, fields) for c in self.numeric})
+        return self.trees.transform(self.features(rows, df.columns)).drop("features")
 
-def _in_train(cols: list[str], test_fraction: float, seed: int):
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+    def save(self, path: str) -> None:
+        spec = {
+            "target": self.target, "numeric": self.numeric, "categorical": self.categorical, "medians": self.medians,
+            "frequent": self.categories.frequent, "pooled": self.categories.pooled,
+        }
+        spark = self.categories.rare.sparkSession
+        self.trees.write().overwrite().save(f"{path}/trees")
+        self.categories.rare.write.mode("overwrite").parquet(f"{path}/rare")
+        spark.createDataFrame([(json.dumps(spec),)], "spec string").write.mode("overwrite").parquet(f"{path}/spec")
+
+    @staticmethod
+    def load(path: str) -> ValueModel:
+        spark = SparkSession.active()
+        spec = json.loads(spark.read.parquet(f"{path}/spec").first()["spec"])
+        fitted = CategoryMap(spec["frequent"], spec["pooled"], spark.read.parquet(f"{path}/rare"))
+        trees = GBTRegressionModel.load(f"{path}/trees")
+        return ValueModel(spec["target"], spec["numeric"], spec["categorical"], spec["medians"], fitted, trees)
+
+
+def _number(c: str, fields: dict) -> Column:
+    return F.nanvl(to_number(F.col(quote(c)), fields[c]), F.lit(None).cast("double"))
+
+
+def in_train(cols: list[str], test_fraction: float, seed: int) -> Column:
+    """A hash of the row decides, so the split depends on neither partitions nor order."""
+    h = F.xxhash64(F.lit(seed), *[F.col(quote(c)) for c in cols])
     u = (h.bitwiseAND(F.lit(0x7FFFFFFF))).cast("double") / float(0x7FFFFFFF)
     return u >= test_fraction
 
@@ -88,88 +239,50 @@ def train_value_regressor(
 ) -> dict:
     """Auto-map, guess the target, fit GBT (100 trees, depth 3, rate 0.1) on
     an 80/20 hash split and report MAE, R² and MAPE on the held-out part.
-    With `out`, saves the fitted pipeline and the test predictions there."""
+    With `out`, saves the fitted model and the test predictions there."""
     mapped, mapping = auto_map(df)
     facts_df = column_facts(mapped)
-    facts = facts_df.collect()
     target = guess_target(mapped, mapping.get("value"), facts_df)
     if not target:
         raise ValueError("could not infer a numeric target (value, amount, revenue …)")
-    features = [c for c in mapped.columns if c != target]
-    num, cat = split_features(features, facts)
+    num, cat = split_features([c for c in mapped.columns if c != target], facts_df)
     fields = {f.name: f.dataType for f in mapped.schema.fields}
     prepared = mapped.select(
-        F.nanvl(to_number(F.col(target), fields[target]), F.lit(None).cast("double")).alias("label"),
-        *[F.nanvl(to_number(F.col(c), fields[c]), F.lit(None).cast("double")).alias(c) for c in num],
-        *[F.coalesce(F.col(c).cast("string"), F.lit(_MISSING)).alias(c) for c in cat],
+        _number(target, fields).alias("label"),
+        *[_number(c, fields).alias(c) for c in num],
+        *[F.col(quote(c)).cast("string").alias(c) for c in cat],
     ).where(F.col("label").isNotNull())
-    known = prepared.count()
-    if known < 10:
-        raise ValueError(f"not enough known targets in {target!r} to train (found {known})")
-    keys = ["label", *num, *cat]
-    flag = _in_train(keys, test_fraction, seed)
-    train_raw = prepared.where(flag)
-    n_train = train_raw.count()
-
-    # pool categories holding < 1 % of the training rows (bounded label sets)
-    frequent: dict[str, list] = {c: [] for c in cat}
-    if cat:
-        counts = per_column_counts(train_raw, cat)
-        vnames = [f"v{j}" for j in range(len(cat))]
-        keep = counts.where(F.col("n") >= F.lit(RARE_CATEGORY_SHARE * n_train)).select(
-            "g", F.coalesce(*[F.col(v) for v in vnames]).alias("member")
-        )
-        for r in keep.collect():
-            frequent[cat[r["g"]]].append(r["member"])
-
-    def encode(frame: DataFrame) -> DataFrame:
-        return frame.select(
-            "label",
-            *num,
-            *[
-                F.when(F.col(c).isin(frequent[c]), F.col(c)).otherwise(F.lit(_OTHER)).alias(c)
-                if frequent[c] else F.lit(_OTHER).alias(c)
-                for c in cat
-            ],
-        )
+    flag = in_train(["label", *num, *cat], test_fraction, seed)
+    # one pass: rows on both sides, and count, min and max of the training rows' numbers
+    train = prepared.where(flag)
+    sides = prepared.agg(F.count(F.lit(1)).alias("rows"), F.count_if(flag).alias("train")).first()
+    if sides["rows"] < 10:
+        raise ValueError(f"not enough known targets in {target!r} to train (found {sides['rows']})")
+    head = train.agg(*stats_columns(num)).first() if num else {}
+    known = {c: (head[f"n{i}"], head[f"a{i}"], head[f"b{i}"]) for i, c in enumerate(num)}
+    gaps = [c for c in num if known[c][0] < sides["train"]]
+    medians = {c: q[0] for c, q in exact_quantiles(train, {c: [0.5] for c in gaps}, stats=known).items() if q[0] is not None}
+    fitted = fit_categories(train, cat)
+    model = ValueModel(target, num, cat, medians, fitted, None)
 
-    train = encode(train_raw)
-    # boosting re-reads the training set once per tree level and iteration: an
-    # under-partitioned input (fewer splits than task slots) is spread out
-    # once; a large input already has more partitions and is left alone
+    # boosting re-reads the training vectors once per tree level and iteration: an input of
+    # fewer splits than task slots is spread out once; a larger one is left alone
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if train.rdd.getNumPartitions() < slots:
-        train = train.repartition(slots)
-    train = materialize(train)
-    test = encode(prepared.where(~flag))
-
-    stages = []
-    num_out = [f"{c}__num" for c in num]
-    if num:
-        stages.append(Imputer(inputCols=num, outputCols=num_out, strategy="median"))
-    idx_out = [f"{c}__idx" for c in cat]
-    vec_out = [f"{c}__vec" for c in cat]
-    if cat:
-        stages.append(StringIndexer(inputCols=cat, outputCols=idx_out, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx_out, outputCols=vec_out, dropLast=True))
-    stages.append(VectorAssembler(inputCols=num_out + vec_out, outputCol="features", handleInvalid="keep"))
-    stages.append(
-        GBTRegressor(
-            featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
-            stepSize=step_size, seed=seed,
-        )
-    )
-    model = Pipeline(stages=stages).fit(train)
-    scored = model.transform(test).select(
-        *num, *cat, F.col("label").alias("actual_value"), F.col("prediction").alias("predicted_value")
+    vectors = model.features(train, ["label"], met=True)
+    parts = train.select(F.spark_partition_id().alias("p")).distinct().count()
+    vectors = materialize(vectors.repartition(slots) if parts < slots else vectors)
+    model.trees = GBTRegressor(
+        featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed,
+    ).fit(vectors)
+    scored = model.trees.transform(model.features(prepared.where(~flag), ["label", *num, *cat])).select(
+        *[F.col(quote(c)) for c in [*num, *cat]], F.col("label").alias("actual_value"), F.col("prediction").alias("predicted_value")
     )
-    metrics = regression_metrics(scored)
     result = {"target": target, "features": {"numeric": num, "categorical": cat},
-              "metrics": metrics, "predictions": scored, "model": model}
+              "metrics": regression_metrics(scored), "predictions": scored, "model": model}
     if out:
-        model.write().overwrite().save(os.path.join(out, "model"))
-        scored.write.mode("overwrite").option("header", True).csv(os.path.join(out, "predictions"))
-        result["paths"] = {"model": os.path.join(out, "model"), "predictions": os.path.join(out, "predictions")}
+        model.save(f"{out}/model")
+        scored.write.mode("overwrite").option("header", True).csv(f"{out}/predictions")
+        result["paths"] = {"model": f"{out}/model", "predictions": f"{out}/predictions"}
     return result
 
 
@@ -197,5 +310,5 @@ def regression_metrics(scored: DataFrame, actual: str = "actual_value", predicte
     )
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> ValueModel:
+    return ValueModel.load(path)

@@ -10,6 +10,8 @@ literals — no cross join, no broadcast of data-sized state.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -392,8 +394,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     if bounds["a"] is None:
         return spark.createDataFrame([], "bin int, lo double, hi double, n bigint")
     a, b = float(bounds["a"]), float(bounds["b"])
-    width = (b - a) / bins if b > a else 0.0
-    if b > a:
+    width = b / bins - a / bins if math.isinf(b - a) else (b - a) / bins
+    if math.isinf(b - a):  # the span is beyond the largest double: halves have a finite one
+        idx = F.least(F.floor((F.col("x") / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) * F.lit(bins)), F.lit(bins - 1))
+    elif b > a:
         idx = F.least(F.floor((F.col("x") - F.lit(a)) / F.lit(b - a) * F.lit(bins)), F.lit(bins - 1))
     else:
         idx = F.lit(0)

@@ -1,16 +1,15 @@
 """Distributed statistics with bounded memory.
 
 * `exact_quantiles` — exact linear-interpolated quantiles without ever holding
-  a column's distinct values in one task. Each round is one aggregate that
-  histograms the values inside the current bracket of every wanted rank into a
-  fixed number of buckets; the bracket then shrinks to the (exact) min/max of
-  the bucket holding the rank. Once a bracket holds few enough values, they
-  are grouped by value and brought back (bounded by `max_candidates`).
-  Typical cost: a statistics pass (often shared with the caller), one or
-  two histogram rounds, and one final pass. When a round shrinks a bracket
-  by less than 64x (values spread over many orders of magnitude), a
-  fixed-memory `percentile_approx` pass proposes a rank-based bracket,
-  checked exactly by one counting pass.
+  a column's distinct values in one task or on the driver. Each round is one
+  aggregate that histograms the values inside the current bracket of every
+  wanted rank; the bracket then shrinks to the (exact) min/max of the bucket
+  holding the rank. Buckets have equal widths first; a bracket that shrinks too
+  little (values over many orders of magnitude) gets buckets of equal ratios.
+  What is left is decided in Spark: values inside the brackets are counted,
+  range-partitioned and cumulated, and only the values at the wanted ranks come
+  back. The driver sees at most `_DRIVER_ROWS` bucket counts a round, for all
+  columns together, and one value per wanted rank.
 * `per_column_counts` — one shuffle that counts every (column, value) pair for
   many columns at once, i.e. the `Expand` Catalyst would build for several
   DISTINCT aggregates, with map-side partial aggregation so a hot value
@@ -22,18 +21,20 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.session import materialize
+
 _BUCKETS = 4096
+# bucket counts of all brackets that one round may bring to the driver
+_DRIVER_ROWS = 1 << 16
+# values in all brackets together that are ranked without range partitions
 _MAX_CANDIDATES = 100_000
-# each round shrinks a bracket's value range at least 4096-fold; 200 rounds
-# cover the whole double range (about 2^2100 from the smallest step to the
-# largest span)
-_MAX_ROUNDS = 200
-_SKETCH_ACCURACY = 10_000
 _MIN_SHRINK = 64
+_MAX_ROUNDS = 6
 _MAX_GROUPING_SET_COLUMNS = 60
+_WIDTH, _RATIO, _STUCK = range(3)
 
 
 def _num(name: str) -> Column:
@@ -41,6 +42,20 @@ def _num(name: str) -> Column:
     return F.nanvl(v, F.lit(None).cast("double"))
 
 
+class _Bracket:
+    """The values [lo, hi] that hold a wanted rank: `below` smaller ones, `inside` in it."""
+
+    def __init__(self, lo: float, hi: float, inside: int):
+        self.lo, self.hi, self.below, self.inside, self.scale = lo, hi, 0, inside, _WIDTH
+
+    @property
+    def done(self) -> bool:
+        return self.lo == self.hi
+
+    def interval(self, column: str) -> tuple:
+        return column, self.lo, self.hi, self.scale
+
+
 def exact_quantiles(
     df: DataFrame,
     probs: dict[str, list[float]],
@@ -59,187 +74,146 @@ def exact_quantiles(
     cols = [c for c in probs if probs[c]]
     if not cols:
         return {}
-    if stats is not None and all(c in stats for c in cols):
-        head = {}
-        for i, c in enumerate(cols):
-            head[f"n{i}"], head[f"a{i}"], head[f"b{i}"] = stats[c]
-    else:
-        head = df.agg(*stats_columns(cols)).first().asDict()
+    if stats is None or any(c not in stats for c in cols):
+        row = df.agg(*stats_columns(cols)).first()
+        stats = {c: (row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
 
-    # state per (column, rank): [lo, hi, below, inside]
-    state: dict[tuple[str, int], list] = {}
-    plan: dict[str, list[tuple[int, int, float]]] = {}
-    for i, c in enumerate(cols):
-        n = head[f"n{i}"]
-        plan[c] = []
+    plan: dict[str, list[tuple[int, int, float] | None]] = {c: [] for c in cols}
+    ranks: dict[tuple[str, int], _Bracket] = {}
+    for c in cols:
+        n, least, most = stats[c]
         for p in probs[c]:
             if n == 0:
-                plan[c].append((-1, -1, 0.0))
+                plan[c].append(None)
                 continue
-            h = (n - 1) * float(p)
-            r_lo, r_hi = int(math.floor(h)), int(math.ceil(h))
-            plan[c].append((r_lo, r_hi, h - r_lo))
-            for r in (r_lo, r_hi):
-                state.setdefault((c, r), [head[f"a{i}"], head[f"b{i}"], 0, n])
-
-    found: dict[tuple[str, int], float] = {}
-    for key, (lo, hi, _below, _inside) in state.items():
-        if lo == hi:
-            found[key] = lo
-    totals = {c: head[f"n{i}"] for i, c in enumerate(cols)}
-    sketched = False
+            at = (n - 1) * float(p)
+            plan[c].append((math.floor(at), math.ceil(at), at - math.floor(at)))
+            for r in (math.floor(at), math.ceil(at)):
+                ranks.setdefault((c, r), _Bracket(least, most, n))
 
     for _ in range(_MAX_ROUNDS):
-        wide = {k: s for k, s in state.items() if k not in found and s[3] > max_candidates}
-        if not wide:
+        left = {k: b for k, b in ranks.items() if not b.done}
+        sizes = {b.interval(k[0]): b.inside for k, b in left.items()}
+        if sum(sizes.values()) <= max_candidates:
+            break
+        left = {k: b for k, b in left.items() if b.scale != _STUCK and b.inside * len(sizes) > max_candidates}
+        if not left:
             break
-        before = {k: s[3] for k, s in wide.items()}
-        intervals = sorted({(k[0], s[0], s[1]) for k, s in wide.items()}, key=repr)
-        index = {iv: j for j, iv in enumerate(intervals)}
-        parts = []
-        for j, (c, lo, hi) in enumerate(intervals):
-            v = _num(c)
-            if math.isinf(lo) or math.isinf(hi):
-                # infinite ends get buckets of their own; the finite middle
-                # bucket reports its exact min/max, so the next round has a
-                # finite width
-                b = F.when(v == F.lit(lo), F.lit(0)).when(v == F.lit(hi), F.lit(2)).otherwise(F.lit(1))
-            else:
-                b = F.least(
-                    F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)),
-                    F.lit(buckets - 1),
-                ).cast("int")
-            parts.append(
-                F.when(v.between(lo, hi), F.struct(F.lit(j).alias("j"), b.alias("b"), v.alias("v")))
-            )
-        hist = (
-            df.select(F.explode(F.array(*parts)).alias("s"))
-            .where(F.col("s").isNotNull())
-            .select("s.*")
-            .groupBy("j", "b")
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect()
-        )
-        by_interval: dict[int, list] = defaultdict(list)
-        for row in hist:
-            by_interval[row["j"]].append(row)
-        for rows in by_interval.values():
-            rows.sort(key=lambda r: r["b"])
-        for key, s in wide.items():
-            c, r = key
-            rows = by_interval[index[(c, s[0], s[1])]]
-            below = s[2]
-            for row in rows:
-                if below + row["n"] > r:
-                    state[key] = [row["lo"], row["hi"], below, row["n"]]
-                    if row["lo"] == row["hi"]:
-                        found[key] = row["lo"]
-                    break
-                below += row["n"]
-        # Equal-width buckets shrink a bracket by value range; on values spread
-        # over many orders of magnitude that can be slow in rank terms. Then a
-        # rank-based bracket from the sketch takes over (once).
-        slow = [k for k in wide if k not in found and state[k][3] > max_candidates
-                and state[k][3] * _MIN_SHRINK > before[k]]
-        if slow and not sketched:
-            sketched = True
-            _sketch_brackets(df, state, found, max_candidates, totals, only=set(slow))
-
-    rest = {k: s for k, s in state.items() if k not in found}
-    if any(s[3] > max_candidates for s in rest.values()):
-        raise RuntimeError("quantile brackets did not narrow; refusing an unbounded collect")
-    if rest:
-        intervals = sorted({(k[0], s[0], s[1]) for k, s in rest.items()}, key=repr)
-        index = {iv: j for j, iv in enumerate(intervals)}
-        parts = []
-        for j, (c, lo, hi) in enumerate(intervals):
-            v = _num(c)
-            parts.append(F.when(v.between(lo, hi), F.struct(F.lit(j).alias("j"), v.alias("v"))))
-        rows = (
-            df.select(F.explode(F.array(*parts)).alias("s"))
-            .where(F.col("s").isNotNull())
-            .select("s.*")
-            .groupBy("j", "v")
-            .agg(F.count("*").alias("n"))
-            .collect()
-        )
-        values: dict[int, list] = defaultdict(list)
-        for row in rows:
-            values[row["j"]].append((row["v"], row["n"]))
-        for vals in values.values():
-            vals.sort()
-        for key, s in rest.items():
-            c, r = key
-            below = s[2]
-            for v, n in values[index[(c, s[0], s[1])]]:
-                if below + n > r:
-                    found[key] = v
-                    break
-                below += n
+        _narrow(df, left, buckets)
 
+    _select(df, {k: b for k, b in ranks.items() if not b.done}, max_candidates)
     out: dict[str, list[float | None]] = {}
     for c in cols:
-        res = []
-        for r_lo, r_hi, frac in plan[c]:
-            if r_lo < 0:
-                res.append(None)
-                continue
-            a, b = found[(c, r_lo)], found[(c, r_hi)]
-            res.append(a if r_lo == r_hi else a + (b - a) * frac)
-        out[c] = res
+        ends = [p and (ranks[c, p[0]].lo, ranks[c, p[1]].lo, p[2]) for p in plan[c]]
+        out[c] = [None if e is None else e[0] if e[0] == e[1] else e[0] + (e[1] - e[0]) * e[2] for e in ends]
     return out
 
 
-def _sketch_brackets(df: DataFrame, state: dict, found: dict, max_candidates: int,
-                     totals: dict[str, int], only: set | None = None,
-                     accuracy: int = _SKETCH_ACCURACY) -> None:
-    """Shrink wide brackets with one sketch pass and one exact counting pass.
+def _narrow(df: DataFrame, left: dict[tuple[str, int], _Bracket], buckets: int) -> None:
+    """One histogram round: every bracket shrinks to the bucket that holds its rank."""
+    intervals = sorted({b.interval(c) for (c, _), b in left.items()}, key=repr)
+    buckets = max(2, min(buckets, _DRIVER_ROWS // len(intervals)))
+    index = {interval: j for j, interval in enumerate(intervals)}
+    parts = []
+    for j, (c, lo, hi, scale) in enumerate(intervals):
+        v = _num(c)
+        inside = F.struct(F.lit(j).alias("j"), _bucket(v, lo, hi, scale, buckets).alias("b"), v.alias("v"))
+        parts.append(F.when(v.between(lo, hi), inside))
+    hist: dict[int, list] = defaultdict(list)
+    for row in (
+        df.select(F.explode(F.array(*parts)).alias("s"))
+        .where(F.col("s").isNotNull())
+        .select("s.*")
+        .groupBy("j", "b")
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .orderBy("j", "b")
+        .collect()
+    ):
+        hist[row["j"]].append(row)
+    for (c, r), bracket in left.items():
+        endless = math.isinf(bracket.lo) or math.isinf(bracket.hi)
+        before = bracket.inside
+        for row in hist[index[bracket.interval(c)]]:
+            if bracket.below + row["n"] > r:
+                bracket.lo, bracket.hi, bracket.inside = row["lo"], row["hi"], row["n"]
+                break
+            bracket.below += row["n"]
+        if not endless and bracket.inside * min(_MIN_SHRINK, buckets // 2) > before:
+            bracket.scale += 1
 
-    `percentile_approx` (fixed memory) proposes, for every wanted rank, a
-    value range a little wider than its rank error; one aggregate then
-    counts exactly how many values lie below and inside each range. A range
-    that provably holds the rank replaces [min, max], so the narrowing rounds
-    that follow only ever touch the few rows inside it.
-    """
-    wide = {
-        k: s for k, s in state.items()
-        if k not in found and s[3] > max_candidates and (only is None or k in only)
-    }
-    if not wide:
-        return
-    margin = 4.0 / accuracy
-    by_col: dict[str, list] = defaultdict(list)
-    for (c, r), s in wide.items():
-        n = totals[c]
-        p = r / (n - 1) if n > 1 else 0.0
-        by_col[c].append(((c, r), max(0.0, p - margin), min(1.0, p + margin)))
-    cols = list(by_col)
-    approx = df.agg(
-        *[
-            F.percentile_approx(_num(c), [q for _, a, b in by_col[c] for q in (a, b)], accuracy).alias(f"q{i}")
-            for i, c in enumerate(cols)
-        ]
-    ).first()
-    proposals = []
-    for i, c in enumerate(cols):
-        qs = approx[f"q{i}"] or []
-        for k, (key, _a, _b) in enumerate(by_col[c]):
-            if len(qs) > 2 * k + 1 and qs[2 * k] is not None:
-                proposals.append((key, float(qs[2 * k]), float(qs[2 * k + 1])))
-    if not proposals:
+
+def _bucket(v: Column, lo: float, hi: float, scale: int, buckets: int) -> Column:
+    """A bucket number that never falls as v rises from lo to hi."""
+    if math.isinf(lo) or math.isinf(hi):
+        # infinite ends get buckets of their own; the finite middle bucket reports its
+        # exact min/max, so the next round has a finite width
+        return F.when(v == F.lit(lo), F.lit(0)).when(v == F.lit(hi), F.lit(2)).otherwise(F.lit(1))
+    if scale == _RATIO:
+        # signed binary logarithm, shifted beyond the smallest positive double
+        def log(x):
+            size = F.log2(F.abs(x)) + F.lit(1100.0)
+            return F.when(x == 0, F.lit(0.0)).when(x > 0, size).otherwise(-size)
+
+        x, a, b = log(v), _log(lo), _log(hi)
+    else:  # halves, as hi - lo can be beyond the largest double
+        x, a, b = v / 2, lo / 2, hi / 2
+    if not b > a:
+        return F.lit(0)
+    place = F.floor((x - F.lit(a)) / F.lit(b - a) * F.lit(float(buckets)))
+    return F.greatest(F.lit(0), F.least(place, F.lit(buckets - 1))).cast("int")
+
+
+def _log(x: float) -> float:
+    return 0.0 if x == 0 else math.copysign(math.log2(abs(x)) + 1100.0, x)
+
+
+def _select(df: DataFrame, left: dict[tuple[str, int], _Bracket], max_candidates: int) -> None:
+    """Finish in Spark: the values at the wanted ranks of the remaining brackets.
+
+    Up to `max_candidates` values are ranked bracket by bracket. More are dealt over range
+    partitions of (bracket, value): the counts per partition tell which partition holds a
+    rank, and only those partitions are cumulated."""
+    if not left:
         return
-    checks = []
-    for t, (key, lo, hi) in enumerate(proposals):
-        v = _num(key[0])
-        checks += [F.count_if(v < F.lit(lo)).alias(f"lt{t}"), F.count_if(v.between(lo, hi)).alias(f"in{t}")]
-    counts = df.agg(*checks).first()
-    for t, (key, lo, hi) in enumerate(proposals):
-        below, inside = counts[f"lt{t}"], counts[f"in{t}"]
-        r = key[1]
-        if below <= r < below + inside and inside < state[key][3]:
-            state[key] = [lo, hi, below, inside]
-            if lo == hi:
-                found[key] = lo
+    intervals = sorted({(c, b.lo, b.hi) for (c, _), b in left.items()}, key=repr)
+    index = {interval: j for j, interval in enumerate(intervals)}
+    parts = []
+    for j, (c, lo, hi) in enumerate(intervals):
+        v = _num(c)
+        parts.append(F.when(v.between(lo, hi), F.struct(F.lit(j).alias("j"), v.alias("v"))))
+    values = (
+        df.select(F.explode(F.array(*parts)).alias("s"))
+        .where(F.col("s").isNotNull())
+        .select("s.*")
+        .groupBy("j", "v")
+        .agg(F.count("*").alias("n"))
+    )
+    asked = [(index[c, b.lo, b.hi], r - b.below) for (c, r), b in left.items()]
+    wanted = df.sparkSession.createDataFrame(asked, "j int, rank bigint")
+    sizes = {(c, b.lo, b.hi): b.inside for (c, _), b in left.items()}
+    key = ["j"]
+    if sum(sizes.values()) > max_candidates:
+        key = ["j", "part"]
+        values = materialize(values.repartitionByRange("j", "v").withColumn("part", F.spark_partition_id()))
+        earlier = Window.partitionBy("j").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = values.groupBy(*key).agg(F.sum("n").alias("m"))
+        places = counts.withColumn("start", F.coalesce(F.sum("m").over(earlier), F.lit(0))).join(F.broadcast(wanted), "j")
+        # one row per wanted rank: the partition that holds it
+        wanted = places.where((F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("m"))).drop("m")
+        values = values.join(F.broadcast(wanted.select(*key).distinct()), key, "left_semi")
+    else:
+        wanted = wanted.withColumn("start", F.lit(0))
+    upto = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.col("rank") - F.col("start")
+    found = (
+        values.withColumn("upto", F.sum("n").over(upto))
+        .join(F.broadcast(wanted), key)
+        .where((at < F.col("upto")) & (at >= F.col("upto") - F.col("n")))
+        .select("j", "rank", "v")
+    )
+    value = {(row["j"], row["rank"]): row["v"] for row in found.collect()}
+    for (c, r), b in left.items():
+        b.lo = b.hi = value[index[c, b.lo, b.hi], r - b.below]
 
 
 def stats_columns(cols: list[str]) -> list:
@@ -278,6 +252,13 @@ def quantiles(
     return exact_quantiles(df, probs, stats=stats)
 
 
+def quantile_table(df: DataFrame, columns: list[str], probs: list[float], accuracy: int | None = None) -> DataFrame:
+    """(column, prob, value): quantiles of each column, null without any value."""
+    found = quantiles(df, {c: list(probs) for c in columns}, accuracy)
+    rows = [(c, float(p), v) for c in columns for p, v in zip(probs, found[c])]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+
+
 def per_column_counts(df: DataFrame, cols: list[str], include_nulls: bool = False) -> DataFrame:
     """(g, v0..vk-1, n): occurrences of each value of each column (non-null
     values only unless `include_nulls`, then null is one more group).
@@ -308,28 +289,26 @@ def per_column_counts(df: DataFrame, cols: list[str], include_nulls: bool = Fals
 
 
 def _per_column_counts_generate(df: DataFrame, cols: list[str], include_nulls: bool) -> DataFrame:
-    # same result for very wide tables (grouping ids are limited to 64 bits)
+    # same result for very wide tables (grouping ids are limited to 64 bits): one slot per
+    # data type, so a row grows with the number of columns, not with its square
     fields = {f.name: f.dataType for f in df.schema.fields}
-    vnames = [f"v{j}" for j in range(len(cols))]
+    kinds = list({fields[c].simpleString(): fields[c] for c in cols}.items())
+    slot = {name: f"s{t}" for t, (name, _) in enumerate(kinds)}
     structs = []
     for i, c in enumerate(cols):
-        members = [F.lit(i).alias("g")]
-        for j, other in enumerate(cols):
-            if i == j:
-                members.append(F.col(c).alias(vnames[j]))
-            else:
-                members.append(F.lit(None).cast(fields[other]).alias(vnames[j]))
-        if include_nulls:
-            structs.append(F.struct(*members))
-        else:
-            structs.append(F.when(F.col(c).isNotNull(), F.struct(*members)))
-    return (
+        own = fields[c].simpleString()
+        slots = [(F.col(c) if name == own else F.lit(None).cast(kind)).alias(slot[name]) for name, kind in kinds]
+        one = F.struct(F.lit(i).alias("g"), *slots)
+        structs.append(one if include_nulls else F.when(F.col(c).isNotNull(), one))
+    counted = (
         df.select(F.explode(F.array(*structs)).alias("s"))
         .where(F.col("s").isNotNull())
         .select("s.*")
-        .groupBy("g", *vnames)
+        .groupBy("g", *slot.values())
         .agg(F.count("*").alias("n"))
     )
+    values = [F.when(F.col("g") == j, F.col(slot[fields[c].simpleString()])).alias(f"v{j}") for j, c in enumerate(cols)]
+    return counted.select("g", *values, "n")
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:

@@ -85,7 +85,7 @@ def analyze(
             "clean_csv": writers.write_csv(cleaned, os.path.join(out, "clean_csv")),
             "clean_parquet": writers.write_parquet(cleaned, os.path.join(out, "clean_parquet")),
             "drivers": writers.write_drivers(drivers, os.path.join(out, "drivers")),
-            "schema": writers.write_json(writers.schema_report(cleaned, mapping), os.path.join(out, "schema")),
+            "schema": writers.write_json(writers.schema_report(cleaned, mapping), os.path.join(out, "schema"), one_file=True),
         }
     if save_table:
         result["table"] = writers.save_table(cleaned, save_table, database="clean")

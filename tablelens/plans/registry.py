@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions.constants import CARD_PATTERN, EMAIL_PATTERN, PHONE_PATTERN
+from tablelens.functions.names import quote
 from tablelens.operators import cleaning, insight, profile, quality, timeseries
 from tablelens.plans.fixtures import (
     DIRTY_EVENTS_SQL,
@@ -52,7 +53,7 @@ def _portable(df: DataFrame) -> DataFrame:
 
     cols = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = F.col(quote(f.name))
         if isinstance(f.dataType, T.DateType):
             c = c.cast("timestamp_ntz")
         elif isinstance(f.dataType, T.DecimalType):

@@ -7,6 +7,7 @@ fill gaps (tests and local runs).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(where)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the one that all executors share."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that several later jobs re-read: a reliable checkpoint in
     the shared folder, so a lost executor does not force the upstream shuffles to be re-run."""

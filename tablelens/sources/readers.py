@@ -15,41 +15,73 @@ _FLOAT_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan)
 _BOOL_TEXT = r"^(True|False|TRUE|FALSE|true|false)$"
 
 
+def open_quotes(spark: SparkSession, path: str) -> int:
+    """Lines of text files with an odd number of quote characters: where a quoted field
+    runs over a line break its first line has one (and so may stray quotes)."""
+    odd = F.octet_length(F.regexp_replace("value", '[^"]++', "")) % 2 == 1
+    return _found(path, lambda: spark.read.text(path).agg(F.count_if(F.col("value").contains('"') & odd)).first()[0])
+
+
+def _found(path: str, read):
+    try:
+        return read()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            raise FileNotFoundError(path) from e
+        raise
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     na_values: list[str] | None = None,
     sep: str = ",",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
+    malformed: str = "raise",
 ) -> DataFrame:
-    """Header row, `sep`-separated, quotes doubled inside quoted fields; a malformed line
-    raises. With `multi_line` a quoted field may hold line breaks, at the price that a file
-    is read by one task (many files are read in parallel); switch it off for large files
-    without line breaks in fields. Text in the NA set becomes null; then each
+    """Header row, `sep`-separated, quotes doubled inside quoted fields.
+
+    Files are split at line breaks and read by many tasks, unless a quoted field holds a
+    line break; then a file must be read by one task (many files still in parallel). By
+    default a scan for open quotes decides; `multi_line=True` skips it, and with
+    `multi_line=False` an open quote raises, as splitting there would cut a field.
+    `malformed`: `raise` on a line of the wrong number of fields, or `keep` it in a column
+    `_corrupt_record` (null for good lines; missing fields are null).
+
+    Text in the NA set becomes null; then each
     column becomes bigint / double / boolean when every remaining value
     reads as one, else stays string. Dates stay text (see `parse_dates`).
 
     Typing costs one aggregate over the string columns (three pattern counts
     per column); the typed frame is a narrow projection on top of the scan.
     """
-    try:
-        raw = (
-            spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-            .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "FAILFAST")
-            .csv(path)
-        )
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            raise FileNotFoundError(path) from e
-        raise
+    if malformed not in ("raise", "keep"):
+        raise ValueError("malformed: raise or keep")
+    if not multi_line:
+        n = open_quotes(spark, path)
+        if n and multi_line is False:
+            raise ValueError(f"{n} lines of {path} have an open quote; read it with multi_line=True")
+        multi_line = n > 0
+    reader = (
+        spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+        .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    )
+    raw = _found(path, lambda: reader.option("mode", "FAILFAST").csv(path))
+    kept: list[str] = []
+    if malformed == "keep":
+        kept = ["_corrupt_record"]
+        schema = raw.schema.add("_corrupt_record", "string")
+        raw = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
     na = list(NA_STRINGS if na_values is None else na_values)
     cleaned = raw.select(
-        *[F.when(F.col(quote(c)).isin(na), F.lit(None)).otherwise(F.col(quote(c))).alias(c) for c in raw.columns]
+        *[F.when(F.col(quote(c)).isin(na), F.lit(None)).otherwise(F.col(quote(c))).alias(c) for c in raw.columns if c not in kept],
+        *kept,
     )
     counts = cleaned.agg(
         *[
             agg
             for i, c in enumerate(cleaned.columns)
+            if c not in kept
             for agg in (
                 F.count(F.col(quote(c))).alias(f"n{i}"),
                 F.count_if(F.col(quote(c)).rlike(_INT_TEXT)).alias(f"i{i}"),
@@ -61,8 +93,11 @@ def read_csv(
     ).first()
     cols = []
     for i, c in enumerate(cleaned.columns):
-        n = counts[f"n{i}"]
         x = F.col(quote(c))
+        if c in kept:
+            cols.append(x)
+            continue
+        n = counts[f"n{i}"]
         if n and counts[f"i{i}"] == n:
             # integers beyond 64 bits stay exact as decimals
             cols.append(F.trim(x).cast("bigint" if counts[f"l{i}"] == n else "decimal(38,0)").alias(c))
@@ -100,12 +135,7 @@ def load(
         df = read_csv(spark, path)
     else:
         fmt = "json" if low.endswith(".json") else "orc" if low.endswith(".orc") else "parquet"
-        try:
-            df = spark.read.format(fmt).load(path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-                raise FileNotFoundError(path) from e
-            raise
+        df = _found(path, lambda: spark.read.format(fmt).load(path))
     return df.limit(limit) if limit else df
 
 
@@ -114,7 +144,9 @@ def preview(df: DataFrame, n: int = 5) -> dict:
     return {"head": df.limit(n), "rows": df.count(), "columns": list(df.columns)}
 
 
-def ingest_csv(spark: SparkSession, path: str, table: str, mode: str = "overwrite") -> tuple[str, int]:
+def ingest_csv(
+    spark: SparkSession, path: str, table: str, mode: str = "overwrite", location: str | None = None
+) -> tuple[str, int]:
     """CSV -> normalised column names -> date parsing by name hint -> table."""
     from tablelens.operators.columns import normalize_columns, parse_dates
     from tablelens.sources.writers import save_table
@@ -123,5 +155,5 @@ def ingest_csv(spark: SparkSession, path: str, table: str, mode: str = "overwrit
     name = safe_table_name(table)
     if "." in name:
         db, tbl = name.split(".", 1)
-        return save_table(df, tbl, database=db, mode=mode)
-    return save_table(df, name, database=None, mode=mode)
+        return save_table(df, tbl, database=db, mode=mode, location=location)
+    return save_table(df, name, database=None, mode=mode, location=location)

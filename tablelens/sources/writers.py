@@ -9,11 +9,12 @@ from tablelens.functions.names import quote, safe_table_name
 
 
 def save_table(
-    df: DataFrame, table: str, database: str | None = "staging", mode: str = "overwrite"
+    df: DataFrame, table: str, database: str | None = "staging", mode: str = "overwrite", location: str | None = None
 ) -> tuple[str, int]:
     """Write `df` as a catalog table, creating the database when missing.
     A dotted `table` overrides `database`. Modes: overwrite, append, error,
-    ignore. Returns (qualified name, rows in the table)."""
+    ignore. With `location` the table's files lie in that folder (an external
+    table), else in the warehouse. Returns (qualified name, rows in the table)."""
     spark = df.sparkSession
     name = table.strip()
     if "." in name:
@@ -27,7 +28,8 @@ def save_table(
     else:
         qualified = name
         target = quote(name)
-    df.write.mode(mode).saveAsTable(target)
+    writer = df.write.mode(mode)
+    (writer.option("path", location) if location else writer).saveAsTable(target)
     rows = spark.table(target).count()
     return qualified, rows
 
@@ -66,6 +68,7 @@ def schema_report(
     )
 
 
-def write_json(df: DataFrame, path: str) -> str:
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, one_file: bool = False) -> str:
+    """JSON lines, one file per partition; `one_file` only for small frames (one task)."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").json(path)
     return path

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tablelens.operators import ml
 
 
@@ -24,7 +26,7 @@ def test_target_guess_and_feature_split(spark):
 
     facts = column_facts(df)
     assert ml.guess_target(df, None, facts) == "amount"
-    num, cat = ml.split_features(["ref", "x", "segment"], facts.collect())
+    num, cat = ml.split_features(["ref", "x", "segment"], facts)
     assert num == ["ref", "x"] and cat == ["segment"]
 
 
@@ -37,4 +39,34 @@ def test_beats_mean_and_is_deterministic(spark, tmp_path):
     assert ma["r2"] > 0.9
     assert ma == mb
     model = ml.load_model(a["paths"]["model"])
-    assert model.transform(a["predictions"].drop("predicted_value").withColumnRenamed("actual_value", "label")).count() > 0
+    rows = a["predictions"].select("quantity", "x", "category", F.col("predicted_value").alias("before"))
+    again = model.transform(rows)
+    assert again.count() == rows.count() > 0
+    assert again.where("not (prediction <=> before)").count() == 0
+
+
+def test_category_map_pools_rare_members_and_ignores_unseen_ones(spark):
+    seen = ["a"] * 50 + ["b"] * 40 + [None] * 6 + ["c", "d", "(pooled)", "n"]
+    train = spark.createDataFrame([(m,) for m in seen], "seg string")
+    fitted = ml.fit_categories(train, ["seg"], share=0.05)
+    assert fitted.frequent == {"seg": [None, "a", "b"]} and fitted.pooled == ["seg"]
+    test = spark.createDataFrame([("a", 1), ("c", 2), ("unseen", 3), (None, 4), ("(pooled)", 5), ("", 6), ("n", 7), ("d1", 8)], "seg string, k int")
+    marks = ml.indicator_columns(fitted)
+    rows = ml.category_codes(test, fitted).select("k", *marks).orderBy("k").collect()
+    assert [tuple(int(x) for x in r[1:]) for r in rows] == [
+        (0, 1, 0, 0), (0, 0, 0, 1), (0, 0, 0, 0), (1, 0, 0, 0), (0, 0, 0, 1), (0, 0, 0, 0), (0, 0, 0, 1), (0, 0, 0, 0),
+    ]
+    own = ml.category_codes(train, fitted, met=True).groupBy("seg__kind").count().collect()
+    assert {r["seg__kind"]: r["count"] for r in own} == {"own": 96, "pooled": 4}
+    none = ml.fit_categories(train.limit(0), ["seg"])
+    assert none.indicators() == [] and ml.fit_categories(train, []).indicators() == []
+
+
+def test_target_tiers(spark):
+    df = spark.createDataFrame([(1.0, 5, "3", 100.0), (2.0, 9, "x", 500.0), (2.0, 9, "4", 900.0)], "w double, n int, Amount string, big double")
+    from tablelens.operators.roles import column_facts
+
+    facts = column_facts(df)
+    ranked = ml.target_ranking(df, "w", facts).collect()
+    assert [(r["column"], r["tier"]) for r in ranked] == [("w", 0), ("Amount", 1), ("n", 2)]  # big: all values differ
+    assert ml.guess_target(df.select("big"), None, column_facts(df.select("big"))) is None
