@@ -166,8 +166,8 @@ def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
 class Ranks:
     """A rank file with its pair table and a bounded cache of merged pieces."""
 
-    #: Cached pieces; beyond this the cache starts anew (results do not depend on it).
-    CACHE = 400_000
+    #: Bytes of cached pieces and ids; beyond this the cache starts anew (results do not depend on it).
+    CACHE = 24 << 20
     #: Pieces up to this length are merged together; longer ones one by one with a heap.
     WIDTH = 48
 
@@ -197,6 +197,7 @@ class Ranks:
 
     def clear(self) -> None:
         self.cache: dict[bytes, int] = {}
+        self.held = 0
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
@@ -281,6 +282,7 @@ class Ranks:
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
             self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
             self.cache.update(zip(members, range(base, base + len(members)), strict=True))
+            self.held += sum(map(len, members)) + 100 * len(members) + 4 * len(flat)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a buffer, and the number of ids of each text."""
@@ -290,7 +292,7 @@ class Ranks:
         raw = data.tobytes()
         first, which = distinct_slices(data, starts, ends)
         slices = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.cache) > self.CACHE:
+        if self.held > self.CACHE:
             self.clear()
         if new := list(dict.fromkeys(p for p in slices if p not in self.cache)):
             self._learn(new)

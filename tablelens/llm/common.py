@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task (one longer text is handled alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -94,18 +94,25 @@ def runs(flag: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+#: Powers kept in a worker; longer buffers (one long text) get their own for the time being.
+_KEPT = 1 << 20
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
 
 
+def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
+    power, inverse = np.full(n, _MULT, np.uint64), np.full(n, pow(_MULT, -1, 1 << 64), np.uint64)
+    power[0] = inverse[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(power, out=power), np.cumprod(inverse, out=inverse)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
+    if n > _KEPT:
+        return _made(n)
     if len(_POW) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(_MULT, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _POW = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, _MULT, np.uint64))])
-            _INV = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, inverse, np.uint64))])
+        _POW, _INV = _made(_KEPT)
     return _POW[:n], _INV[:n]
 
 

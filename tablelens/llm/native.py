@@ -38,6 +38,50 @@ def prefix_sums(values: Column) -> Column:
     )
 
 
+def earlier_max(values: Column) -> Column:
+    """The largest of all earlier elements (0 for the first one) for every element of a
+    non-empty array of non-negative int, itself a variable or column."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")),
+        lambda b: F.array_max(F.slice(values, b * _BLOCK + 1, _BLOCK)),
+    )
+    # the largest of all blocks before each block
+    before = F.aggregate(
+        blocks,
+        F.struct(F.array(F.lit(0)).alias("seen"), F.lit(0).alias("last")),
+        lambda a, x: F.struct(
+            F.concat(a["seen"], F.array(F.greatest(a["last"], x))).alias("seen"), F.greatest(a["last"], x).alias("last")
+        ),
+    )["seen"]
+    return let(
+        before,
+        lambda seen: F.transform(
+            values,
+            lambda _, i: F.greatest(
+                F.get(seen, F.floor(i / _BLOCK).cast("int")),
+                F.array_max(F.slice(values, (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), (i % _BLOCK).cast("int"))),
+            ),
+        ),
+    )
+
+
+#: Code points of a piece of text.
+_PIECE = 512
+
+
+def pieces(text: Column) -> Column:
+    """The text cut into equal pieces, so that a part of it is reached without walking there."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def part(cut: Column, start: Column, length: Column) -> Column:
+    """`length` code points from `start` (from 0) of a text cut by `pieces`."""
+    first = F.floor(start / _PIECE)
+    count = F.floor((start + length - 1) / _PIECE) - first + 1
+    few = F.array_join(F.slice(cut, (first + 1).cast("int"), count.cast("int")), "")
+    return F.substring(few, (start % _PIECE + 1).cast("int"), length.cast("int"))
+
+
 def matches(text: Column, pattern: str, kind: str, rank: int, maybe: Column | None = None) -> Column:
     """array<struct<start, rank, end, kind, value>> of the leftmost non-overlapping matches,
     in code points, end exclusive. `maybe` is a cheap test that every text with a match

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .native import matches
+from .native import earlier_max, let, matches, part, pieces, prefix_sums
 
 #: Share of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -33,7 +33,7 @@ BROADCAST_BYTES = 8 << 20
 # The patterns (possessive where that changes no match, so that they are
 # linear on any text).
 _LOCAL = r"A-Za-z0-9._%+-"
-EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -63,13 +63,49 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def _terms(window: Column, offset: Column, base: Column) -> Column:
-    """Terms of a context window that do not touch a base span, with text positions."""
+#: Stretches of base spans that can lie within CONTEXT on either side (the shortest has 5 characters).
+_NEAR = CONTEXT // 5 + 1
+
+
+def _covered(base: Column) -> Column:
+    """struct<spans, at> of a non-empty array of base spans: the disjoint stretches that they
+    cover, in order, and the number (from 1) of the stretch of every span."""
+
+    def stretches(marks: Column) -> Column:
+        last = F.array_max(F.transform(base, lambda b: b["end"]))
+        return let(
+            F.filter(marks, lambda m: m["first"]),
+            lambda firsts: F.transform(
+                firsts, lambda f, k: F.struct(f["start"].alias("start"), F.coalesce(F.get(firsts, k + 1)["past"], last).alias("end"))
+            ),
+        )
+
+    def marked(past: Column) -> Column:
+        return F.transform(
+            base,
+            lambda b, i: F.struct(
+                b["start"].alias("start"), F.get(past, i).alias("past"), ((i == 0) | (b["start"] > F.get(past, i))).alias("first")
+            ),
+        )
+
+    ends = F.transform(base, lambda b: b["end"])
+    marks = let(ends, lambda e: let(earlier_max(e), marked))
+    return let(
+        marks,
+        lambda m: F.struct(
+            stretches(m).alias("spans"),
+            let(F.transform(m, lambda x: x["first"].cast("int")), prefix_sums).alias("at"),
+        ),
+    )
+
+
+def _terms(window: Column, offset: Column, near: Column) -> Column:
+    """Terms of a context window that do not touch a covered stretch, with text positions."""
     found = F.transform(
         matches(window, TERM, "term", 4),
         lambda m: F.struct((m["start"] + offset).alias("start"), (m["end"] + offset).alias("end"), F.lower(m["value"]).alias("term")),
     )
-    return F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return F.filter(found, lambda t: ~F.exists(near, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
 
 def _keys(text: Column) -> list[Column]:
@@ -78,25 +114,40 @@ def _keys(text: Column) -> list[Column]:
 
 
 def _with_base(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds the base spans, their contexts, and two hashes that stand for the text."""
+    """Adds the base spans, the terms in their contexts, and two hashes that stand for the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
-    def context(m: Column) -> Column:
+    def context(m: Column, i: Column, length: Column) -> Column:
         begin = F.greatest(m["start"] - CONTEXT, F.lit(0))
         # one character more shows whether the window's edge cuts a word, which does not count
-        left = F.substring(text, F.greatest(begin, F.lit(1)), m["start"] - F.greatest(begin - 1, F.lit(0)))
-        right = F.substring(text, m["end"] + 1, F.lit(CONTEXT + 1))
+        more = F.greatest(begin - 1, F.lit(0))
+        left = part(F.col("__pieces"), more, m["start"] - more)
+        left = F.when(begin > 0, F.regexp_replace(left, r"(?s)^(?:\p{L}++|.)", "")).otherwise(left)
+        right = part(F.col("__pieces"), m["end"], F.lit(CONTEXT + 1))
+        right = F.when(m["end"] + CONTEXT < length, F.regexp_replace(right, r"(?s)(?:\p{L}++|.)\z", "")).otherwise(right)
+        # only the stretches around the mention are compared with its terms
+        near = F.slice(F.col("__covered.spans"), F.greatest(F.get(F.col("__covered.at"), i) - _NEAR, F.lit(1)), F.lit(2 * _NEAR + 1))
+        terms = let(
+            near,
+            lambda spans: F.concat(
+                let(left, lambda window: _terms(window, m["start"] - F.char_length(window), spans)),
+                let(right, lambda window: _terms(window, m["end"], spans)),
+            ),
+        )
         return F.struct(
-            F.concat_ws(":", m["kind"], m["value"]).alias("entity"),
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            F.when(begin > 0, F.regexp_replace(left, r"(?s)^(?:\p{L}++|.)", "")).otherwise(left).alias("left"),
-            F.when(m["end"] + CONTEXT < F.char_length(text), F.regexp_replace(right, r"(?s)(?:\p{L}++|.)\z", "")).otherwise(right).alias("right"),
+            F.concat_ws(":", m["kind"], m["value"]).alias("entity"), F.array_distinct(F.transform(terms, lambda t: t["term"])).alias("terms")
         )
 
+    some = F.size("__base") > 0
     return (
         docs.withColumn("__base", base_spans(text))
-        .withColumn("__contexts", F.transform("__base", context))
+        .withColumn("__covered", F.when(some, _covered(F.col("__base"))))
+        .withColumn("__pieces", F.when(some, pieces(text)))
+        .withColumn(
+            "__contexts",
+            F.when(some, let(F.char_length(text), lambda length: F.transform("__base", lambda m, i: context(m, i, length)))),
+        )
+        .drop("__covered", "__pieces")
         .select("*", *_keys(text))
     )
 
@@ -105,12 +156,7 @@ def _mentions(rows: DataFrame) -> DataFrame:
     """One row per base span: row number, text hashes, entity, and the context's terms."""
     # numbered before the rows are multiplied: counts are of documents
     rows = rows.withColumn("__row", F.monotonically_increasing_id())
-    m = rows.select("__k1", "__k2", "__row", "__base", F.explode("__contexts").alias("m"))
-    terms = F.concat(
-        _terms(F.col("m.left"), F.col("m.start") - F.char_length("m.left"), F.col("__base")),
-        _terms(F.col("m.right"), F.col("m.end"), F.col("__base")),
-    )
-    return m.select("__k1", "__k2", "__row", F.col("m.entity").alias("entity"), terms.alias("terms"))
+    return rows.select("__k1", "__k2", "__row", F.explode("__contexts").alias("m")).select("__k1", "__k2", "__row", "m.entity", "m.terms")
 
 
 def disclosing_terms(docs: DataFrame, mentions: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,7 +164,7 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, text_col: str = "text
     information. Counts are documents, over the whole corpus."""
     total = docs.count()
     pairs = (
-        mentions.select("__row", "entity", F.explode("terms.term").alias("term"))
+        mentions.select("__row", "entity", F.explode("terms").alias("term"))
         .distinct()
         .groupBy("entity", "term")
         .agg(F.count("*").alias("c"))
@@ -179,8 +225,7 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> Dat
     base = F.transform("__base", lambda b: F.struct(b["start"], b["rank"], b["end"], b["kind"], b["value"], F.lit(1.0).alias("share")))
     found = F.filter(
         matches(text, TERM, "term", 4, F.col("__terms").isNotNull()),
-        lambda t: F.array_contains(F.col("__terms"), F.lower(t["value"]))
-        & ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+        lambda t: F.array_contains(F.col("__terms"), F.lower(t["value"])),
     )
     terms = F.transform(
         found,
@@ -193,9 +238,35 @@ def find(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> Dat
             F.get("__shares", (F.array_position(F.col("__terms"), F.lower(t["value"])) - 1).cast("int")).alias("share"),
         ),
     )
-    names = [c for c in docs.columns if keep_text or c != text_col]
     kind = "array<struct<start:int,rank:int,end:int,kind:string,value:string,share:double>>"
-    return rows.select(*names, F.array_sort(F.concat(base.cast(kind), terms.cast(kind))).alias("pii"))
+    own = base.cast(kind)
+    spans = F.when(F.size("__found") == 0, own).otherwise(_untouched(F.array_sort(F.concat(own, F.col("__found")))))
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    return rows.withColumn("__found", terms.cast(kind)).select(*names, spans.alias("pii"))
+
+
+def _untouched(spans: Column) -> Column:
+    """Sorted spans without the terms that touch a base span. A base span that touches a
+    term starts before it and ends inside (the largest earlier end tells), or starts inside
+    it and is then the next span."""
+
+    def keep(sorted_: Column, past: Column) -> Column:
+        return F.filter(
+            sorted_,
+            lambda s, i: (s["kind"] != "term")
+            | (
+                (F.get(past, i) <= s["start"])
+                & ~F.coalesce((F.get(sorted_, i + 1)["kind"] != "term") & (F.get(sorted_, i + 1)["start"] < s["end"]), F.lit(False))
+            ),
+        )
+
+    return let(
+        spans,
+        lambda both: let(
+            F.transform(both, lambda s: F.when(s["kind"] != "term", s["end"]).otherwise(0)),
+            lambda ends: let(earlier_max(ends), lambda past: keep(both, past)),
+        ),
+    )
 
 
 def _listed(spans: Column) -> Column:
@@ -214,29 +285,25 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced: base spans by their kind (`<EMAIL>`),
     generalised terms by `<TERM>`, removed terms by nothing. Of overlapping spans the
     parts are replaced once, under the first span's name."""
-    found = find(docs, text_col)
+    found = find(docs, text_col).withColumn("__pieces", F.when(F.size("pii") > 0, pieces(F.col(text_col))))
     text = F.col(text_col)
-    # merge overlapping spans: (start, end, replacement), in order
-    named = F.transform(
-        "pii",
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-            .when(s["share"] >= REMOVE, F.lit(""))
-            .otherwise(F.lit("<TERM>"))
-            .alias("name"),
-        ),
-    )
-    merged = F.aggregate(
-        named,
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["name"])).alias("out"), s["end"].alias("at")
-            ),
-        ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
-    )
-    whole = F.concat(F.array_join(merged["out"], ""), F.substring(text, merged["at"] + 1, F.char_length(text)))
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, whole).otherwise(text)).drop("pii")
+
+    def name(s: Column) -> Column:
+        kind = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.when(s["kind"] != "term", kind).when(s["share"] >= REMOVE, F.lit("")).otherwise(F.lit("<TERM>"))
+
+    def replaced(past: Column) -> Column:
+        # the text since the furthest earlier end, then the span's name; nothing for a span inside
+        return F.transform(
+            "pii",
+            lambda s, i: F.when(
+                (i == 0) | (s["start"] >= F.get(past, i)),
+                F.concat(part(F.col("__pieces"), F.get(past, i), s["start"] - F.get(past, i)), name(s)),
+            ).otherwise(F.lit("")),
+        )
+
+    ends = F.transform("pii", lambda s: s["end"])
+    parts = let(ends, lambda e: let(earlier_max(e), replaced))
+    last = F.array_max(ends)
+    whole = F.concat(F.array_join(parts, ""), part(F.col("__pieces"), last, F.char_length(text) - last))
+    return found.withColumn(text_col, F.when(F.size("pii") > 0, whole).otherwise(text)).drop("pii", "__pieces")
