@@ -7,6 +7,7 @@ replaced; and the texts are encoded as byte-level BPE ids."""
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablelens.llm import bpe, decontaminate, near_dup, pii, toxicity
 from tablelens.llm.common import shared_dir
+from tablelens.session import configure
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +51,23 @@ def _counted(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def _stage(function):
+    """The stage in a session with the library's defaults (Arrow batches are bounded by bytes)."""
+
+    @functools.wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return function(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", cut_benchmark),
-    ("pii", sanitise),
-    ("byte_bpe", tokenize),
+    ("toxicity", _stage(drop_toxic)),
+    ("near_duplicates", _stage(drop_near_duplicates)),
+    ("decontamination", _stage(cut_benchmark)),
+    ("pii", _stage(sanitise)),
+    ("byte_bpe", _stage(tokenize)),
 ]
 
 #: Model scores and merges of byte pairs have no SQL form; the tests compare with brute force.

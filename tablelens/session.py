@@ -19,6 +19,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # rows reach Python in batches of at most about this much, whatever their number
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
