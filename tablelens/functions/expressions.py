@@ -15,6 +15,7 @@ from tablelens.functions.constants import (
     EMAIL_PATTERN,
     PHONE_PATTERN,
 )
+from tablelens.functions.names import quote
 
 NUMERIC_TYPES = (
     T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -63,7 +64,7 @@ def is_datetime_type(dt: T.DataType) -> bool:
 
 def is_missing(name: str, dt: T.DataType) -> Column:
     """Null, or NaN for floating columns (both count as missing)."""
-    c = F.col(name)
+    c = F.col(quote(name))
     if is_floating(dt):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -73,7 +74,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """Normalise NaN to null once, so every later aggregate skips it."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = F.col(quote(f.name))
         if is_floating(f.dataType):
             cols.append(F.nanvl(c, F.lit(None).cast(f.dataType)).alias(f.name))
         else:

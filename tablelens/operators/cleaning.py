@@ -24,6 +24,7 @@ from tablelens.functions.expressions import (
     to_number,
     trim_ws,
 )
+from tablelens.functions.names import quote
 from tablelens.operators.stats import modes, quantiles, stats_columns
 from tablelens.session import materialize
 
@@ -46,7 +47,7 @@ def trim_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
     }
     return df.select(
-        *[trim_ws(F.col(c)).alias(c) if c in targets else F.col(c) for c in df.columns]
+        *[trim_ws(F.col(quote(c))).alias(c) if c in targets else F.col(quote(c)) for c in df.columns]
     )
 
 
@@ -70,10 +71,10 @@ def drop_duplicates(
         return df.dropDuplicates(subset)
     names = {c: f"_o{i}" for i, c in enumerate(order)}
     names.update({c: f"_t{i}" for i, c in enumerate(tail)})
-    packed = F.struct(*[F.col(c).alias(names[c]) for c in order + tail])
-    kept = df.groupBy(*[F.col(c) for c in subset]).agg(F.min(packed).alias("_kept"))
+    packed = F.struct(*[F.col(quote(c)).alias(names[c]) for c in order + tail])
+    kept = df.groupBy(*[F.col(quote(c)) for c in subset]).agg(F.min(packed).alias("_kept"))
     return kept.select(
-        *[F.col(c) if c in subset else F.col(f"_kept.{names[c]}").alias(c) for c in df.columns]
+        *[F.col(quote(c)) if c in subset else F.col(f"_kept.{names[c]}").alias(c) for c in df.columns]
     )
 
 
@@ -142,7 +143,7 @@ def winsorize(
     outside = []
     for i, c in enumerate(cols):
         lo, hi = bounds[c]
-        x = F.col(c).cast("double")
+        x = F.col(quote(c)).cast("double")
         cond = F.lit(False)
         if lo is not None:
             cond = cond | (x < F.lit(lo))
@@ -151,7 +152,7 @@ def winsorize(
         outside.append(F.count_if(cond).alias(f"k{i}"))
         if isinstance(df.schema[c].dataType, INTEGRAL_TYPES):
             # no abs(): the smallest bigint has none
-            outside.append(F.greatest(F.max(c), -1 - F.min(c)).alias(f"w{i}"))
+            outside.append(F.greatest(F.max(quote(c)), -1 - F.min(quote(c))).alias(f"w{i}"))
     counts = df.agg(*outside).first()
     rows, wide = [], set()
     for i, c in enumerate(cols):
@@ -162,7 +163,7 @@ def winsorize(
             lo, hi = bounds[c]
             rows.append(("winsorize", c, int(k), f"lo={lo!r}, hi={hi!r}"))
     out = df.select(
-        *[_clip(F.col(c), *bounds[c], wide=c in wide).alias(c) if c in bounds else F.col(c) for c in df.columns]
+        *[_clip(F.col(quote(c)), *bounds[c], wide=c in wide).alias(c) if c in bounds else F.col(quote(c)) for c in df.columns]
     )
     return out, _report(spark, rows)
 
@@ -191,13 +192,13 @@ def impute_numeric(
         ("impute_numeric", c, int(missing[f"m{cols.index(c)}"]), f"median {fills[c]!r}")
         for c in need if c in fills
     ]
-    out = df.select(*[_fill_numeric(df, c, fills[c]) if c in fills else F.col(c) for c in df.columns])
+    out = df.select(*[_fill_numeric(df, c, fills[c]) if c in fills else F.col(quote(c)) for c in df.columns])
     return out, _report(spark, rows)
 
 
 def _fill_numeric(df: DataFrame, c: str, value: float) -> Column:
     dt = df.schema[c].dataType
-    col = F.col(c)
+    col = F.col(quote(c))
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         col = F.nanvl(col, F.lit(None).cast(dt))
         return F.coalesce(col, F.lit(value).cast(dt)).alias(c)
@@ -219,7 +220,7 @@ def impute_categorical(
     spark = df.sparkSession
     if not cols:
         return df, _report(spark, [])
-    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    missing = df.agg(*[F.count_if(F.col(quote(c)).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     need = [c for i, c in enumerate(cols) if missing[f"m{i}"]]
     mode = modes(df, need)
     fills = {}
@@ -235,8 +236,8 @@ def impute_categorical(
     ]
     out = df.select(
         *[
-            F.coalesce(F.col(c), F.lit(fills[c]).cast(df.schema[c].dataType)).alias(c)
-            if c in fills else F.col(c)
+            F.coalesce(F.col(quote(c)), F.lit(fills[c]).cast(df.schema[c].dataType)).alias(c)
+            if c in fills else F.col(quote(c))
             for c in df.columns
         ]
     )
@@ -335,7 +336,7 @@ def clean_fallback(
     if id_col and ts_col and id_col in work.columns and ts_col in work.columns:
         from tablelens.functions.expressions import to_timestamp
 
-        work = work.withColumn(ts_col, to_timestamp(F.col(ts_col), work.schema[ts_col].dataType))
+        work = work.withColumn(ts_col, to_timestamp(F.col(quote(ts_col)), work.schema[ts_col].dataType))
         work = drop_duplicates(work, [id_col, ts_col], order_by)
     else:
         work = drop_duplicates(work)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.constants import DATE_NAME_HINTS
 from tablelens.functions.expressions import to_number, to_timestamp
-from tablelens.functions.names import dedupe_names, normalize_name
+from tablelens.functions.names import dedupe_names, normalize_name, quote
 
 
 # -------------------------------------------------------------------- P1 --
@@ -47,16 +47,16 @@ def parse_dates(
     for c in df.columns:
         dt = fields[c]
         if c in targets and (numeric_as_epoch or not isinstance(dt, T.NumericType)):
-            out.append(to_timestamp(F.col(c), dt, numeric_as_epoch).alias(c))
+            out.append(to_timestamp(F.col(quote(c)), dt, numeric_as_epoch).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(quote(c)))
     return df.select(*out)
 
 
 def parse_report(df: DataFrame, column: str) -> DataFrame:
     """(column, from_type, to_type, missing_after) for parsing one column."""
     dt = df.schema[column].dataType
-    parsed = to_timestamp(F.col(column), dt)
+    parsed = to_timestamp(F.col(quote(column)), dt)
     return df.agg(F.count_if(parsed.isNull()).alias("missing_after")).select(
         F.lit(column).alias("column"),
         F.lit(dt.simpleString()).alias("from_type"),
@@ -71,5 +71,5 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Turn the given columns into double; anything not a plain number -> null."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     return df.select(
-        *[to_number(F.col(c), fields[c]).alias(c) if c in columns else F.col(c) for c in df.columns]
+        *[to_number(F.col(quote(c)), fields[c]).alias(c) if c in columns else F.col(quote(c)) for c in df.columns]
     )

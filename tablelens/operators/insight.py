@@ -13,6 +13,7 @@ from tablelens.functions.constants import (
     DRIVER_WINDOW_DAYS,
 )
 from tablelens.functions.expressions import to_timestamp
+from tablelens.functions.names import quote
 from tablelens.operators.profile import totals
 from tablelens.operators.timeseries import _value, anomalies, period_change, weekly_series
 
@@ -61,7 +62,7 @@ def top_drivers(
     dims = [d for d in (dimensions or DRIVER_DIMENSIONS) if d in df.columns]
     if not ts_col or ts_col not in df.columns or not dims:
         return empty
-    ts = to_timestamp(F.col(ts_col), df.schema[ts_col].dataType)
+    ts = to_timestamp(F.col(quote(ts_col)), df.schema[ts_col].dataType)
     latest = df.agg(F.max(ts).alias("m")).first()["m"]
     if latest is None:
         return empty

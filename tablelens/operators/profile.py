@@ -24,6 +24,7 @@ from tablelens.functions.expressions import (
     to_number,
     to_timestamp,
 )
+from tablelens.functions.names import quote
 from tablelens.operators.stats import per_column_counts, quantiles, stats_columns
 
 
@@ -153,7 +154,7 @@ def column_profile(df: DataFrame, samples: int = 3, exact: bool = True) -> DataF
     else:
         row = df.agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.approx_count_distinct(c, APPROX_DISTINCT_RSD).alias(f"u{i}") for i, c in enumerate(cols)],
+            *[F.approx_count_distinct(quote(c), APPROX_DISTINCT_RSD).alias(f"u{i}") for i, c in enumerate(cols)],
             *[F.count_if(is_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)],
         )
         per = _rows(
@@ -204,7 +205,7 @@ def _narrow_rows(df: DataFrame, limit: int = 64) -> bool:
 
 def _whole_row_counts(df: DataFrame) -> DataFrame:
     return (
-        df.groupBy(*[F.col(c) for c in df.columns])
+        df.groupBy(*[F.col(quote(c)) for c in df.columns])
         .agg(F.count(F.lit(1)).alias("k"))
         .agg(
             F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows"),
@@ -224,15 +225,15 @@ def exact_row_counts(df: DataFrame) -> DataFrame:
     to be small. With many candidates the plain exact aggregate over whole
     rows is used instead. Hash collisions are resolved by phase 2.
     """
-    cols = [F.col(c) for c in df.columns]
+    cols = [F.col(quote(c)) for c in df.columns]
     if _narrow_rows(df):
         # a row no wider than two hashes: shuffling it is as cheap as
         # shuffling its hash, so one exact aggregate does it
         return _whole_row_counts(df)
     # grouping treats -0.0 and 0.0 as one value, so the hash must as well
     hashed = [
-        F.when(F.col(f.name) == 0, F.lit(0.0).cast(f.dataType)).otherwise(F.col(f.name))
-        if is_floating(f.dataType) else F.col(f.name)
+        F.when(F.col(quote(f.name)) == 0, F.lit(0.0).cast(f.dataType)).otherwise(F.col(quote(f.name)))
+        if is_floating(f.dataType) else F.col(quote(f.name))
         for f in df.schema.fields
     ]
     h = F.xxhash64(*hashed) if hashed else F.lit(0).cast("bigint")
@@ -282,7 +283,7 @@ def duplicate_counts(
     if id_col and ts_col and id_col in df.columns and ts_col in df.columns:
         ts_type = df.schema[ts_col].dataType
         pair = (
-            df.select(F.col(id_col).alias("i"), to_timestamp(F.col(ts_col), ts_type).alias("t"))
+            df.select(F.col(quote(id_col)).alias("i"), to_timestamp(F.col(quote(ts_col)), ts_type).alias("t"))
             .groupBy("i", "t")
             .agg(F.count(F.lit(1)).alias("k"))
             .agg(
@@ -312,7 +313,7 @@ def numeric_outliers(
     schema = "column string, outlier_count bigint, p99 double, max double"
     if not cols:
         return spark.createDataFrame([], schema)
-    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    x = {c: F.nanvl(F.col(quote(c)).cast("double"), F.lit(None).cast("double")) for c in cols}
     first = df.agg(
         *[F.avg(x[c]).alias(f"mu{i}") for i, c in enumerate(cols)],
         *[F.stddev_pop(x[c]).alias(f"sd{i}") for i, c in enumerate(cols)],
@@ -374,7 +375,7 @@ def top_categories(df: DataFrame, column: str, n: int = 20) -> DataFrame:
     only `n` rows per task reach the final merge.
     """
     return (
-        df.groupBy(F.col(column).cast("string").alias("member"))
+        df.groupBy(F.col(quote(column)).cast("string").alias("member"))
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), F.asc_nulls_first("member"))
         .limit(n)
@@ -384,7 +385,7 @@ def top_categories(df: DataFrame, column: str, n: int = 20) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """(bin, lo, hi, n): equal-width bins over [min, max]; the max value falls
     in the last bin; empty bins are kept. Finite numbers only; nulls skipped."""
-    v = to_number(F.col(column), df.schema[column].dataType)
+    v = to_number(F.col(quote(column)), df.schema[column].dataType)
     v = F.nanvl(v, F.lit(None).cast("double"))
     # ±inf has no bin on a finite axis (and NaN sorts above every number in
     # Spark), so only finite values are binned

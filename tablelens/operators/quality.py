@@ -13,6 +13,7 @@ from tablelens.functions.constants import (
     GATE_MAX_MISSING,
 )
 from tablelens.functions.expressions import as_text, is_missing, pii_hit, to_timestamp
+from tablelens.functions.names import quote
 from tablelens.operators.profile import duplicate_counts
 
 def _missing_ratios(df: DataFrame, extra: list = ()) -> DataFrame:
@@ -59,7 +60,7 @@ def quality_checks(
     extra = []
     stale = bool(ts_col and ts_col in df.columns and max_staleness_days is not None)
     if stale:
-        extra.append(F.max(to_timestamp(F.col(ts_col), df.schema[ts_col].dataType)).alias("latest"))
+        extra.append(F.max(to_timestamp(F.col(quote(ts_col)), df.schema[ts_col].dataType)).alias("latest"))
     stats = _missing_ratios(df, extra)
     miss_rows = stats.select(
         F.inline(
@@ -174,7 +175,7 @@ def pii_scan(
     stats = src.agg(
         F.count(F.lit(1)).alias("n"),
         *[
-            F.count_if(F.coalesce(pii_hit(as_text(F.col(f.name), f.dataType)), F.lit(False))).alias(f"h{i}")
+            F.count_if(F.coalesce(pii_hit(as_text(F.col(quote(f.name)), f.dataType)), F.lit(False))).alias(f"h{i}")
             for i, f in enumerate(fields)
         ],
     )
@@ -207,4 +208,4 @@ def mask_column(df: DataFrame, column: str, keep_last: int = 4) -> DataFrame:
 
     if column not in df.columns:
         return df
-    return df.withColumn(column, mask(F.col(column).cast("string"), keep_last))
+    return df.withColumn(column, mask(F.col(quote(column)).cast("string"), keep_last))

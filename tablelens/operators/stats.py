@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.session import materialize
+from tablelens.functions.names import quote
 
 _BUCKETS = 4096
 # bucket counts of all brackets that one round may bring to the driver
@@ -38,7 +39,7 @@ _WIDTH, _RATIO, _STUCK = range(3)
 
 
 def _num(name: str) -> Column:
-    v = F.col(name).cast("double")
+    v = F.col(quote(name)).cast("double")
     return F.nanvl(v, F.lit(None).cast("double"))
 
 
@@ -272,7 +273,7 @@ def per_column_counts(df: DataFrame, cols: list[str], include_nulls: bool = Fals
     vnames = [f"v{j}" for j in range(k)]
     if k > _MAX_GROUPING_SET_COLUMNS:
         return _per_column_counts_generate(df, cols, include_nulls)
-    base = df.select(*[F.col(c).alias(v) for c, v in zip(cols, vnames)])
+    base = df.select(*[F.col(quote(c)).alias(v) for c, v in zip(cols, vnames)])
     full = (1 << k) - 1
     counted = base.groupingSets([[F.col(v)] for v in vnames], *[F.col(v) for v in vnames]).agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid")
@@ -297,9 +298,9 @@ def _per_column_counts_generate(df: DataFrame, cols: list[str], include_nulls: b
     structs = []
     for i, c in enumerate(cols):
         own = fields[c].simpleString()
-        slots = [(F.col(c) if name == own else F.lit(None).cast(kind)).alias(slot[name]) for name, kind in kinds]
+        slots = [(F.col(quote(c)) if name == own else F.lit(None).cast(kind)).alias(slot[name]) for name, kind in kinds]
         one = F.struct(F.lit(i).alias("g"), *slots)
-        structs.append(one if include_nulls else F.when(F.col(c).isNotNull(), one))
+        structs.append(one if include_nulls else F.when(F.col(quote(c)).isNotNull(), one))
     counted = (
         df.select(F.explode(F.array(*structs)).alias("s"))
         .where(F.col("s").isNotNull())

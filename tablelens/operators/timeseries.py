@@ -20,6 +20,7 @@ from tablelens.functions.constants import (
     CHANGE_WINDOW_WEEKS,
 )
 from tablelens.functions.expressions import period_label, to_number, to_timestamp
+from tablelens.functions.names import quote
 
 METRICS = ("count", "sum", "avg")
 
@@ -28,8 +29,8 @@ def _value(df: DataFrame, column: str) -> Column:
     """Numeric view of a column; decimals stay decimal so sums are exact."""
     dt = df.schema[column].dataType
     if isinstance(dt, T.DecimalType):
-        return F.col(column)
-    v = to_number(F.col(column), dt)
+        return F.col(quote(column))
+    v = to_number(F.col(quote(column)), dt)
     return F.nanvl(v, F.lit(None).cast("double"))
 
 
@@ -85,7 +86,7 @@ def period_aggregate(
     Rows whose timestamp does not parse are dropped first. Empty periods get
     n = 0, total = 0, mean = null, qty = 0.
     """
-    ts = to_timestamp(F.col(ts_col), df.schema[ts_col].dataType)
+    ts = to_timestamp(F.col(quote(ts_col)), df.schema[ts_col].dataType)
     cols = [period_label(ts, freq).alias("period")]
     if value_col and value_col in df.columns:
         cols.append(_value(df, value_col).alias("v"))
@@ -163,7 +164,7 @@ def period_change(series: DataFrame, metric: str, value_col: str = "value",
     series; no row when the series has fewer than `min_periods` periods.
     `pct_change` is null when the prior sum is 0."""
     rn = F.row_number().over(Window.orderBy(F.desc(order_col)))
-    ranked = series.select(F.col(value_col).alias("v"), rn.alias("rn"))
+    ranked = series.select(F.col(quote(value_col)).alias("v"), rn.alias("rn"))
     agg = ranked.agg(
         F.count(F.lit(1)).alias("k"),
         F.sum(F.when(F.col("rn") <= window, F.col("v"))).alias("recent"),
@@ -185,9 +186,9 @@ def anomalies(series: DataFrame, metric: str, value_col: str = "value",
     """(metric, week, value, zscore) for periods with |z| >= 2 (sample std),
     only when the series has at least 12 periods and a non-zero spread."""
     whole = Window.partitionBy(F.lit(0))
-    v = F.col(value_col).cast("double")
+    v = F.col(quote(value_col)).cast("double")
     s = series.select(
-        F.col(order_col).alias("week"),
+        F.col(quote(order_col)).alias("week"),
         v.alias("value"),
         F.avg(v).over(whole).alias("mu"),
         F.stddev_samp(v).over(whole).alias("sd"),
