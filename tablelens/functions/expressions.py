@@ -149,6 +149,32 @@ def trim_ws(c: Column) -> Column:
     return F.trim(c, F.lit(_BLANKS))
 
 
+def _plain_text(c: Column, dt: T.DataType) -> Column:
+    """Text of a value that no other value of its type has (equal values have equal texts:
+    -0.0 is 0.0); null for null."""
+    if is_floating(dt):
+        return F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
+    if isinstance(dt, T.BinaryType):
+        return F.hex(c)
+    if isinstance(dt, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _framed(_plain_text(x, dt.elementType))), ""), F.lit("]"))
+    if isinstance(dt, T.StructType):
+        parts = [_framed(_plain_text(c[f.name], f.dataType)) for f in dt.fields]
+        return F.when(c.isNotNull(), F.concat(F.lit("("), *parts, F.lit(")")))
+    return c.cast("string")
+
+
+def _framed(text: Column) -> Column:
+    return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a whole row: equal rows (nulls equal) have equal digests, and that two
+    different rows share one is out of reach (below 2^-128 for any table)."""
+    parts = [_framed(_plain_text(F.col(quote(f.name)), f.dataType)) for f in df.schema.fields]
+    return F.unhex(F.sha2(F.concat(F.lit("row"), *parts), 256))
+
+
 def pii_hit(c: Column) -> Column:
     """True when the text contains an email, a phone number or a card number.
 

@@ -25,7 +25,7 @@ from tablelens.functions.expressions import (
     trim_ws,
 )
 from tablelens.functions.names import quote
-from tablelens.operators.stats import modes, quantiles, stats_columns
+from tablelens.operators.stats import interpolate, modes, order_statistics, quantiles, stats_columns
 from tablelens.session import materialize
 
 REPORT_SCHEMA = "step string, column string, affected bigint, detail string"
@@ -139,10 +139,13 @@ def winsorize(
     spark = df.sparkSession
     if not cols:
         return df, _report(spark, [])
-    bounds = winsorize_bounds(df, cols, lower_q, upper_q, accuracy)
+    return _winsorized(df, winsorize_bounds(df, cols, lower_q, upper_q, accuracy))
+
+
+def _winsorized(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> tuple[DataFrame, DataFrame]:
+    """The clipped frame and its report, from known bounds: one aggregate."""
     outside = []
-    for i, c in enumerate(cols):
-        lo, hi = bounds[c]
+    for i, (c, (lo, hi)) in enumerate(bounds.items()):
         x = F.col(quote(c)).cast("double")
         cond = F.lit(False)
         if lo is not None:
@@ -155,17 +158,15 @@ def winsorize(
             outside.append(F.greatest(F.max(quote(c)), -1 - F.min(quote(c))).alias(f"w{i}"))
     counts = df.agg(*outside).first()
     rows, wide = [], set()
-    for i, c in enumerate(cols):
+    for i, (c, (lo, hi)) in enumerate(bounds.items()):
         if f"w{i}" in counts and (counts[f"w{i}"] or 0) > _EXACT_DOUBLE:
             wide.add(c)
-        k = counts[f"k{i}"]
-        if k:
-            lo, hi = bounds[c]
-            rows.append(("winsorize", c, int(k), f"lo={lo!r}, hi={hi!r}"))
+        if counts[f"k{i}"]:
+            rows.append(("winsorize", c, int(counts[f"k{i}"]), f"lo={lo!r}, hi={hi!r}"))
     out = df.select(
         *[_clip(F.col(quote(c)), *bounds[c], wide=c in wide).alias(c) if c in bounds else F.col(quote(c)) for c in df.columns]
     )
-    return out, _report(spark, rows)
+    return out, _report(df.sparkSession, rows)
 
 
 # ---------------------------------------------------------------- C2 / C3 --
@@ -188,12 +189,13 @@ def impute_numeric(
     known = {c: (head[f"n{i}"], head[f"a{i}"], head[f"b{i}"]) for i, c in enumerate(cols)}
     med = quantiles(df, {c: [0.5] for c in need}, accuracy, stats=known)
     fills = {c: med[c][0] for c in need if med[c][0] is not None}
-    rows = [
-        ("impute_numeric", c, int(missing[f"m{cols.index(c)}"]), f"median {fills[c]!r}")
-        for c in need if c in fills
-    ]
+    return _filled_numeric(df, fills, {c: int(missing[f"m{cols.index(c)}"]) for c in fills})
+
+
+def _filled_numeric(df: DataFrame, fills: dict[str, float], missing: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    rows = [("impute_numeric", c, missing[c], f"median {value!r}") for c, value in fills.items()]
     out = df.select(*[_fill_numeric(df, c, fills[c]) if c in fills else F.col(quote(c)) for c in df.columns])
-    return out, _report(spark, rows)
+    return out, _report(df.sparkSession, rows)
 
 
 def _fill_numeric(df: DataFrame, c: str, value: float) -> Column:
@@ -220,8 +222,12 @@ def impute_categorical(
     spark = df.sparkSession
     if not cols:
         return df, _report(spark, [])
-    missing = df.agg(*[F.count_if(F.col(quote(c)).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    need = [c for i, c in enumerate(cols) if missing[f"m{i}"]]
+    found = df.agg(*[F.count_if(F.col(quote(c)).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return _filled_categorical(df, {c: found[f"m{i}"] for i, c in enumerate(cols) if found[f"m{i}"]}, fill_text)
+
+
+def _filled_categorical(df: DataFrame, missing: dict[str, int], fill_text: str) -> tuple[DataFrame, DataFrame]:
+    need = list(missing)
     mode = modes(df, need)
     fills = {}
     for c in need:
@@ -230,10 +236,7 @@ def impute_categorical(
             value = fill_text
         if value is not None:
             fills[c] = value
-    rows = [
-        ("impute_categorical", c, int(missing[f"m{cols.index(c)}"]), f"fill {fills[c]!s}")
-        for c in need if c in fills
-    ]
+    rows = [("impute_categorical", c, int(missing[c]), f"fill {fills[c]!s}") for c in need if c in fills]
     out = df.select(
         *[
             F.coalesce(F.col(quote(c)), F.lit(fills[c]).cast(df.schema[c].dataType)).alias(c)
@@ -241,7 +244,7 @@ def impute_categorical(
             for c in df.columns
         ]
     )
-    return out, _report(spark, rows)
+    return out, _report(df.sparkSession, rows)
 
 
 # -------------------------------------------------------------------- C4 --
@@ -293,32 +296,68 @@ def clean(
         n0 = n1 = df.count()
     if pair:
         work = materialize(drop_duplicates(work, [id_col, ts_col], order_by))
-        n2 = work.count()
-        rows.append(("drop_pair_duplicates", f"{id_col},{ts_col}", n1 - n2, "keep first per (id, ts)"))
-    elif drop_pair_dups:
-        rows.append(("drop_pair_duplicates", None, 0, "skipped: id or ts column not given"))
-        if not drop_exact_dups:
-            work = materialize(work)
     elif not drop_exact_dups:
         work = materialize(work)
+    numeric = [f.name for f in work.schema.fields if is_numeric_type(f.dataType)]
+    plain = [f.name for f in work.schema.fields if not is_numeric_type(f.dataType) and _plain(f.dataType)]
+    # one pass over the de-duplicated rows: their number, count / min / max of every number,
+    # and the gaps of the other columns; clipping changes none of the gaps
+    head = work.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *stats_columns(numeric),
+        *[F.count_if(F.col(quote(c)).isNull()).alias(f"m{i}") for i, c in enumerate(plain)],
+    ).first()
+    if pair:
+        rows.append(("drop_pair_duplicates", f"{id_col},{ts_col}", n1 - head["rows"], "keep first per (id, ts)"))
+    elif drop_pair_dups:
+        rows.append(("drop_pair_duplicates", None, 0, "skipped: id or ts column not given"))
     reports = [_report(spark, rows)]
-    if winsorize_numeric:
-        work, rep = winsorize(work, lower_q=lower_q, upper_q=upper_q, exclude=exclude, accuracy=accuracy)
+    known = {c: (head[f"n{i}"], head[f"a{i}"], head[f"b{i}"]) for i, c in enumerate(numeric)}
+    clipped = [c for c in numeric if c not in set(exclude)] if winsorize_numeric else []
+    gaps = {c: head["rows"] - known[c][0] for c in numeric if known[c][0] < head["rows"]} if impute_num else {}
+    # the clipping bounds and the medians come from one set of quantile passes: clipping
+    # keeps the order, so the median of the clipped values follows from the same two values
+    asked = [q for q in (lower_q, upper_q) if q is not None]
+    probs = {c: (asked if c in clipped else []) + ([0.5] if c in gaps else []) for c in numeric}
+    ends = _ends(work, {c: p for c, p in probs.items() if p}, known, accuracy)
+    bounds: dict[str, tuple[float | None, float | None]] = {}
+    for c in clipped:
+        values = [None if e is None else interpolate(*e) for e in ends.get(c, [None, None])]
+        bounds[c] = (values[0] if lower_q is not None else None, values[len(asked) - 1] if upper_q is not None else None)
+    medians = {}
+    for c in gaps:
+        if ends[c][-1] is not None:
+            a, b, share = ends[c][-1]
+            lo, hi = bounds.get(c, (None, None))
+            medians[c] = interpolate(_within(a, lo, hi), _within(b, lo, hi), share)
+    if bounds:
+        work, rep = _winsorized(work, bounds)
         reports.append(rep)
     if impute_num:
-        work, rep = impute_numeric(work, accuracy=accuracy)
+        work, rep = _filled_numeric(work, medians, {c: int(n) for c, n in gaps.items()})
         reports.append(rep)
     if impute_cat:
-        work, rep = impute_categorical(work, fill_text=fill_text)
+        work, rep = _filled_categorical(work, {c: head[f"m{i}"] for i, c in enumerate(plain) if head[f"m{i}"]}, fill_text)
         reports.append(rep)
-    n_final = work.count()
-    reports.append(_report(spark, [("rows", None, n_final, f"rows before {n0}, after {n_final}")]))
+    reports.append(_report(spark, [("rows", None, head["rows"], f"rows before {n0}, after {head['rows']}")]))
     report = reports[0]
     for r in reports[1:]:
         report = report.unionByName(r)
     return work, report
 
 
+def _within(x: float, lo: float | None, hi: float | None) -> float:
+    x = lo if lo is not None and x < lo else x
+    return hi if hi is not None and x > hi else x
+
+
+def _ends(df: DataFrame, probs: dict[str, list[float]], known: dict[str, tuple], accuracy: int | None) -> dict[str, list]:
+    """The values beside each quantile; a sketch (`accuracy`) gives one value for both."""
+    if not accuracy:
+        return order_statistics(df, probs, stats=known)
+    return {c: [None if v is None else (v, v, 0.0) for v in found] for c, found in quantiles(df, probs, accuracy).items()}
+
+
 # -------------------------------------------------------------------- C5 --
 
 def clean_fallback(

@@ -21,6 +21,7 @@ from tablelens.functions.expressions import (
     is_floating,
     is_missing,
     numeric_columns,
+    row_digest,
     to_number,
     to_timestamp,
 )
@@ -186,11 +187,6 @@ def column_profile(df: DataFrame, samples: int = 3, exact: bool = True) -> DataF
 
 # ------------------------------------------------------------ A5 / A6 / A7 --
 
-# Candidate hashes are broadcast only up to this many (8 bytes each); beyond
-# it the exact count falls back to one aggregate over whole rows.
-BROADCAST_HASHES_MAX = 4_000_000
-
-
 # bytes per value of the fixed-width types
 _FIXED_WIDTH = {
     T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8,
@@ -217,50 +213,13 @@ def _whole_row_counts(df: DataFrame) -> DataFrame:
 def exact_row_counts(df: DataFrame) -> DataFrame:
     """One row (rows, distinct_rows) with exact counts (nulls compare equal).
 
-    Rows of at most 64 bytes of fixed-width columns are grouped whole in one
-    aggregate. Wider rows (text, nested values) go in two phases. Phase 1 groups a 64-bit hash of each row, so only hashes cross the
-    network. Only rows whose hash occurs more than once can be duplicates;
-    phase 2 groups those candidate rows exactly, after a semi-join against
-    the candidate hashes that is broadcast only when their number is known
-    to be small. With many candidates the plain exact aggregate over whole
-    rows is used instead. Hash collisions are resolved by phase 2.
+    Rows of at most 64 bytes of fixed-width columns are grouped whole. Of wider rows (text,
+    nested values) the 32-byte digest is grouped: one pass, one shuffle of at most 32 bytes a
+    row after map-side counting, whatever the share of duplicates or the width of the rows.
     """
-    cols = [F.col(quote(c)) for c in df.columns]
-    if _narrow_rows(df):
-        # a row no wider than two hashes: shuffling it is as cheap as
-        # shuffling its hash, so one exact aggregate does it
-        return _whole_row_counts(df)
-    # grouping treats -0.0 and 0.0 as one value, so the hash must as well
-    hashed = [
-        F.when(F.col(quote(f.name)) == 0, F.lit(0.0).cast(f.dataType)).otherwise(F.col(quote(f.name)))
-        if is_floating(f.dataType) else F.col(quote(f.name))
-        for f in df.schema.fields
-    ]
-    h = F.xxhash64(*hashed) if hashed else F.lit(0).cast("bigint")
-    per_hash = df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("k"))
-    candidates = per_hash.where(F.col("k") > 1).select("_h")
-    n_candidates = candidates.count()
-    if n_candidates > BROADCAST_HASHES_MAX:
+    if _narrow_rows(df) or any(isinstance(f.dataType, T.MapType) for f in df.schema.fields):
         return _whole_row_counts(df)
-    single = per_hash.agg(
-        F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows"),
-        F.count_if(F.col("k") == 1).cast("bigint").alias("distinct_rows"),
-    )
-    if n_candidates == 0:
-        return single
-    multi = (
-        df.withColumn("_h", h)
-        .join(F.broadcast(candidates), "_h", "left_semi")
-        .drop("_h")
-        .groupBy(*cols)
-        .agg(F.count(F.lit(1)).alias("k"))
-        .agg(F.count(F.lit(1)).cast("bigint").alias("distinct_rows"))
-        .select(F.lit(0).cast("bigint").alias("rows"), "distinct_rows")
-    )
-    return single.unionByName(multi).agg(
-        F.sum("rows").cast("bigint").alias("rows"),
-        F.sum("distinct_rows").cast("bigint").alias("distinct_rows"),
-    )
+    return _whole_row_counts(df.select(row_digest(df).alias("row")))
 
 
 def duplicate_counts(

@@ -72,6 +72,24 @@ def exact_quantiles(
     `stats` may carry (count, min, max) per column from a pass the caller
     already ran, which saves the first scan.
     """
+    found = order_statistics(df, probs, max_candidates=max_candidates, buckets=buckets, stats=stats)
+    return {c: [None if e is None else interpolate(*e) for e in ends] for c, ends in found.items()}
+
+
+def interpolate(a: float, b: float, share: float) -> float:
+    return a if a == b else a + (b - a) * share
+
+
+def order_statistics(
+    df: DataFrame,
+    probs: dict[str, list[float]],
+    *,
+    max_candidates: int = _MAX_CANDIDATES,
+    buckets: int = _BUCKETS,
+    stats: dict[str, tuple] | None = None,
+) -> dict[str, list[tuple[float, float, float] | None]]:
+    """For every probability the two neighbouring values and the share between them, of which
+    `interpolate` makes the quantile (so that a caller may clip the values first)."""
     cols = [c for c in probs if probs[c]]
     if not cols:
         return {}
@@ -103,11 +121,7 @@ def exact_quantiles(
         _narrow(df, left, buckets)
 
     _select(df, {k: b for k, b in ranks.items() if not b.done}, max_candidates)
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        ends = [p and (ranks[c, p[0]].lo, ranks[c, p[1]].lo, p[2]) for p in plan[c]]
-        out[c] = [None if e is None else e[0] if e[0] == e[1] else e[0] + (e[1] - e[0]) * e[2] for e in ends]
-    return out
+    return {c: [p and (ranks[c, p[0]].lo, ranks[c, p[1]].lo, p[2]) for p in plan[c]] for c in cols}
 
 
 def _narrow(df: DataFrame, left: dict[tuple[str, int], _Bracket], buckets: int) -> None:

@@ -53,11 +53,13 @@ def analyze(
     save_table: str | None = None,
     bins: int = 50,
     top_n: int = 20,
+    mapped: tuple[DataFrame, dict] | None = None,
 ) -> dict:
     """auto-map → clean → business casts → KPIs → drivers → quality diff →
     takeaways → chart data; with `out`, also writes the cleaned table (CSV and
-    Parquet), the drivers and the schema report under that folder."""
-    mapped, mapping = roles.auto_map(df)
+    Parquet), the drivers and the schema report under that folder. `mapped` is
+    the result of `auto_map`, if a caller has it already."""
+    mapped, mapping = mapped or roles.auto_map(df)
     id_col, ts_col, value_col = mapping.get("entity_id"), mapping.get("event_ts"), mapping.get("value")
     # keys are names, not measures: clipping them would merge and shift ids
     keys = [c for c in ("order_id", id_col) if c and c in mapped.columns]
@@ -127,7 +129,7 @@ def run_gated(df: DataFrame, force: bool = False, out: str | None = None) -> dic
         result["status"] = "stopped by quality gate"
         return result
     result["status"] = "completed"
-    result["analysis"] = analyze(df, out=out)
+    result["analysis"] = analyze(df, out=out, mapped=(mapped, mapping))
     return result
 
 
@@ -158,7 +160,8 @@ def run_flow(
         "checks": checks,
         "gate": quality.quality_gate(checks),
         "pii": quality.pii_scan(df),
-        "analysis": analyze(df, out=out),
+        # the facts of the raw table serve the role suggestions as well
+        "analysis": analyze(df, out=out, mapped=roles.auto_map(df, facts=facts)),
     }
 
 

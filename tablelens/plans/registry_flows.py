@@ -16,7 +16,12 @@ from tablelens.plans.registry import (
     _MODE,
     _PAIR_SQL,
     _TRIM,
+    DIRTY_COLS,
     LINEITEM_NUMERIC,
+    ORDERS_COLS,
+    _change_sql,
+    _missing_expr,
+    _period_sql,
     _q,
     _round,
     _with,
@@ -371,3 +376,138 @@ def q_fallback(spark, sf):
     return _round(cleaning.clean_fallback(dirty_events(spark, sf), id_col="user_id", ts_col="ts"), {"user_id": 6, "value": 6})
 
 
+
+
+# what `analyze` makes of sales: the order number becomes the quantity, the rest keeps its name
+_MAPPED = [
+    SALES_SQL,
+    "mp AS (SELECT CAST(order_id AS DOUBLE) AS quantity, entity_id, event_ts, CAST(value AS DOUBLE) AS value, category, state FROM sales)",
+    "kp AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, event_ts ORDER BY quantity, value, category, state) AS rn FROM mp) WHERE rn = 1)",
+    "qs AS (SELECT quantile_cont(quantity, 0.0) AS ql, quantile_cont(quantity, 0.99) AS qh, quantile_cont(value, 0.0) AS vl, quantile_cont(value, 0.99) AS vh FROM kp)",
+    "an AS (SELECT least(greatest(quantity, ql), qh) AS quantity, entity_id, event_ts, least(greatest(value, vl), vh) AS value, category, state FROM kp, qs)",
+]
+
+
+@register(
+    "analyze_cleaned_sales",
+    _with(*_MAPPED) + "SELECT round(quantity, 6) AS quantity, entity_id, event_ts, round(value, 6) AS value, category, state FROM an",
+)
+def q_analyze_cleaned(spark, sf):
+    return _round(flows.analyze(sales(spark, sf))["cleaned"], {"quantity": 6, "value": 6})
+
+
+@register(
+    "analyze_drivers_sales",
+    _with(*_MAPPED)
+    + """, m AS (SELECT max(event_ts) AS hi FROM an),
+r AS (SELECT an.* FROM an, m WHERE an.event_ts BETWEEN m.hi - INTERVAL 28 DAY AND m.hi),
+u AS (SELECT 'category' AS dimension, category AS member, value AS v FROM r UNION ALL SELECT 'state', state, value FROM r),
+g AS (SELECT dimension, member, sum(v) AS value FROM u WHERE member IS NOT NULL GROUP BY 1, 2)
+SELECT dimension, member, round(value, 2) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY value DESC, member) AS rn FROM g) WHERE rn <= 10""",
+)
+def q_analyze_drivers(spark, sf):
+    return _round(flows.analyze(sales(spark, sf))["drivers"], {"value": 2})
+
+
+@register(
+    "analyze_change_sales",
+    _with(*_MAPPED).rstrip() + ",\n"
+    + _period_sql("CAST(date_trunc('week', event_ts) AS DATE) + 6", "7 DAY", "value", "an", "event_ts")
+    + ",\nr AS (SELECT period AS week, CAST(n AS DOUBLE) AS cnt, total AS val, "
+    "row_number() OVER (ORDER BY period DESC) AS rn, count(*) OVER () AS k FROM p)\n"
+    + _change_sql("count", "cnt") + "\nUNION ALL " + _change_sql("value", "val"),
+)
+def q_analyze_change(spark, sf):
+    change = flows.analyze(sales(spark, sf))["kpis"]["period_change"]
+    return _round(change, {"recent_4w": 2, "prior_4w": 2, "abs_change": 2, "pct_change": 6})
+
+
+_AN_COLS = [("quantity", "double"), ("entity_id", "bigint"), ("event_ts", "timestamp_ntz"), ("value", "double"), ("category", "string"), ("state", "string")]
+
+
+def _stage_sql(stage: str, src: str) -> str:
+    missing = "\nUNION ALL ".join(
+        f"SELECT '{stage}', 'missing_ratio', '{c}', round_even(CAST({_missing_expr(c, t)} AS DOUBLE) / count(*), 4), '{t}' FROM {src}" for c, t in _AN_COLS
+    )
+    rows = f"(SELECT count(*) FROM {src})"
+    return (
+        f"SELECT '{stage}' AS stage, 'rows' AS metric, CAST(NULL AS VARCHAR) AS \"column\", CAST(count(*) AS DOUBLE) AS value, "
+        f"CAST(NULL AS VARCHAR) AS detail FROM {src}\nUNION ALL {missing}\n"
+        f"UNION ALL SELECT '{stage}', 'dup_exact_ratio', NULL, CAST({rows} - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS DOUBLE) / {rows}, NULL\n"
+        f"UNION ALL SELECT '{stage}', 'dup_pair_ratio', NULL, "
+        f"CAST({rows} - (SELECT count(*) FROM (SELECT DISTINCT entity_id, event_ts FROM {src})) AS DOUBLE) / {rows}, NULL"
+    )
+
+
+@register("analyze_quality_diff_sales", _with(*_MAPPED) + _stage_sql("raw", "mp") + "\nUNION ALL " + _stage_sql("cleaned", "an"))
+def q_analyze_diff(spark, sf):
+    return flows.analyze(sales(spark, sf))["quality_diff"]
+
+
+@register(
+    "analyze_charts_sales",
+    _with(*_MAPPED).rstrip() + ",\n"
+    + _period_sql("CAST(date_trunc('week', event_ts) AS DATE) + 6", "7 DAY", "value", "an", "event_ts", qty="quantity")
+    + """
+SELECT 'top_categories' AS chart, category AS label, CAST(count(*) AS DOUBLE) AS value FROM an GROUP BY 2
+UNION ALL SELECT 'timeseries', strftime(CAST(period AS DATE), '%Y-%m-%d'), round(total, 2) FROM p""",
+)
+def q_analyze_charts(spark, sf):
+    """The category and the time chart's data."""
+    charts = flows.analyze(sales(spark, sf))["charts"]
+    top = charts["top_categories"].select(F.lit("top_categories").alias("chart"), F.col("member").alias("label"), F.col("n").cast("double").alias("value"))
+    line = charts["timeseries"].select(F.lit("timeseries").alias("chart"), F.date_format("period", "yyyy-MM-dd").alias("label"), "value")
+    return top.unionByName(_round(line, {"value": 2}))
+
+
+@register(
+    "run_gated_dirty_events",
+    _with(
+        DIRTY_EVENTS_SQL,
+        "g AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS u, "
+        + ", ".join(f"{_missing_expr(c, t)} AS m_{c}" for c, t in DIRTY_COLS) + " FROM d)",
+        "v AS (SELECT CAST(n - u AS DOUBLE) / n <= 0.05 AND "
+        + " AND ".join(f"CAST(m_{c} AS DOUBLE) / n <= 0.2" for c, _ in DIRTY_COLS) + " AS ok FROM g)",
+    )
+    + "SELECT CASE WHEN ok THEN 'completed' ELSE 'stopped by quality gate' END AS status, ok AS passed, ok AS analysed FROM v",
+)
+def q_gated(spark, sf):
+    """The gate stops the run on a table with too many duplicates, unless forced."""
+    run = flows.run_gated(dirty_events(spark, sf))
+    return spark.createDataFrame([(run["status"], run["passed"], "analysis" in run)], "status string, passed boolean, analysed boolean")
+
+
+@register(
+    "run_gated_sales",
+    _with(*_MAPPED) + "SELECT 'completed' AS status, true AS passed, (SELECT count(*) FROM an) AS cleaned_rows",
+)
+def q_gated_sales(spark, sf):
+    run = flows.run_gated(sales(spark, sf))
+    n = run["analysis"]["cleaned"].count() if run["passed"] else None
+    return spark.createDataFrame([(run["status"], run["passed"], n)], "status string, passed boolean, cleaned_rows bigint")
+
+
+@register(
+    "run_flow_orders",
+    "SELECT 'rows' AS item, CAST(NULL AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value FROM orders\n"
+    "UNION ALL SELECT 'columns', NULL, 6\n"
+    + "\n".join(f"UNION ALL SELECT 'missing', '{c}', CAST({_missing_expr(c, t)} AS DOUBLE) FROM orders" for c, t in ORDERS_COLS)
+    + "\nUNION ALL SELECT 'gate', NULL, CAST((count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders))) * 1.0 / count(*) <= 0.05 AS DOUBLE) FROM orders"
+    + "\nUNION ALL SELECT 'top', o_orderstatus, CAST(count(*) AS DOUBLE) FROM orders GROUP BY 2",
+)
+def q_flow(spark, sf):
+    """Summary, missing values, gate and the category chart of the all-in-one flow."""
+    flow = flows.run_flow(table(spark, sf, "orders"))
+    none, num = F.lit(None).cast("string"), lambda c: F.col(c).cast("double").alias("value")
+    parts = [
+        flow["summary"].select(F.lit("rows").alias("item"), none.alias("name"), num("rows")),
+        flow["summary"].select(F.lit("columns").alias("item"), none.alias("name"), num("cols")),
+        flow["missingness"].select(F.lit("missing").alias("item"), F.col("column").alias("name"), num("missing")),
+        flow["gate"].select(F.lit("gate").alias("item"), none.alias("name"), F.col("passed").cast("int").cast("double").alias("value")),
+        flow["charts"]["top_categories"].select(F.lit("top").alias("item"), F.col("member").alias("name"), num("n")),
+    ]
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out

@@ -103,15 +103,18 @@ def test_exact_quantiles_with_infinities(spark):
     assert got == [1.5, 3.0, float("inf")]
 
 
-def test_exact_row_counts_both_paths(spark, monkeypatch):
-    rows = [(i % 7, None if i % 5 == 0 else f"t{i % 3}") for i in range(200)]
-    df = spark.createDataFrame(rows, "a int, b string")
-    want = (len(rows), len(set(rows)))
+def test_exact_row_counts_of_wide_rows(spark):
+    rows = [(i % 7, None if i % 5 == 0 else f"t{i % 3}", [f"{i % 2}:", None], bytes([i % 2]), (i % 2, None)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b string, c array<string>, d binary, e struct<x:int,y:string>")
     got = profile.exact_row_counts(df).first()
-    assert (got["rows"], got["distinct_rows"]) == want
-    monkeypatch.setattr(profile, "BROADCAST_HASHES_MAX", 0)
-    got = profile.exact_row_counts(df).first()
-    assert (got["rows"], got["distinct_rows"]) == want
+    assert (got["rows"], got["distinct_rows"]) == (400, df.distinct().count())
+    # cells whose texts run together must stay apart
+    near = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("", None), (None, ""), ("n", "1:a"), ("n1:a", "")], "x string, y string")
+    assert profile.exact_row_counts(near).first()["distinct_rows"] == 6
+    lists = spark.createDataFrame([(["a", "b"], "x"), (["a, b"], "x"), (["a", None], "x"), (["a"], "x"), ([], "x"), (None, "x")], "l array<string>, s string")
+    assert profile.exact_row_counts(lists).first()["distinct_rows"] == 6
+    plan = profile.exact_row_counts(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") + plan.count("Scan ExistingRDD") <= 1 and "Join" not in plan
 
 
 def test_negative_zero_and_nan_rows_are_duplicates(spark):
@@ -158,3 +161,38 @@ def test_wide_tables_are_exact_by_default(spark):
     assert all(r["sample_values"] == [str(i)] for i, r in enumerate(sorted(rows, key=lambda r: int(r["column"][1:]))))
     approximate = profile.column_profile(wide, exact=False).collect()
     assert all(r["sample_values"] == [] for r in approximate)  # HyperLogLog++ mode gives no samples
+
+
+def test_quantiles_over_range_partitions_and_both_scales(spark):
+    import random
+
+    rnd = random.Random(1)
+    vals = [rnd.uniform(-1, 1) * 10.0 ** rnd.randint(-300, 300) for _ in range(2000)] + [0.0] * 300 + [5e-324, -1e308, 1e308, 1.7e308]
+    df = spark.createDataFrame([(v, float(i % 3)) for i, v in enumerate(vals)], "x double, y double")
+    probs = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
+    s = sorted(vals)
+    want = []
+    for p in probs:
+        at = (len(s) - 1) * p
+        a, b = s[math.floor(at)], s[math.ceil(at)]
+        want.append(a if a == b else a + (b - a) * (at - math.floor(at)))
+    for limit in (0, 50, 10**6):  # range partitions always, sometimes, never
+        got = exact_quantiles(df, {"x": probs, "y": [0.5]}, max_candidates=limit, buckets=16)
+        assert got["y"] == [1.0]
+        assert all(g == w or math.isclose(g, w, rel_tol=1e-12) for g, w in zip(got["x"], want)), limit
+
+
+def test_histogram_beyond_the_largest_double(spark):
+    df = spark.createDataFrame([(-1.7e308,), (0.0,), (1.0,), (1.7e308,)], "x double")
+    rows = profile.histogram(df, "x", 4).collect()
+    assert [r["n"] for r in rows] == [1, 0, 2, 1] and all(math.isfinite(r["lo"]) and math.isfinite(r["hi"]) for r in rows)
+
+
+def test_counts_of_very_wide_tables(spark):
+    from tablelens.operators.stats import per_column_counts
+
+    row = [i if i % 3 else f"s{i}" for i in range(70)]
+    schema = ", ".join(f"c{i} {'int' if i % 3 else 'string'}" for i in range(70))
+    df = spark.createDataFrame([tuple(row), tuple([None] * 70), tuple(row)], schema)
+    got = {r["g"]: r for r in per_column_counts(df, df.columns).collect()}
+    assert len(got) == 70 and all(got[i][f"v{i}"] == row[i] and got[i]["n"] == 2 for i in range(70))
