@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.constants import RARE_CATEGORY_SHARE, TARGET_CANDIDATES
 from tablelens.functions.expressions import to_number
 from tablelens.functions.names import quote
-from tablelens.operators.roles import auto_map, column_facts, infer_columns
+from tablelens.operators.roles import auto_map, column_facts, infer_columns, mapped_facts
 from tablelens.operators.stats import exact_quantiles, per_column_counts, stats_columns
 from tablelens.session import materialize
 
@@ -101,8 +101,11 @@ class CategoryMap:
         return out
 
 
-def fit_categories(train: DataFrame, columns: list[str], share: float = RARE_CATEGORY_SHARE) -> CategoryMap:
-    """The category map of the training rows: a member in fewer than `share` of all rows is rare."""
+def fit_categories(
+    train: DataFrame, columns: list[str], share: float = RARE_CATEGORY_SHARE, rows: int | None = None
+) -> CategoryMap:
+    """The category map of the training rows (their number, if known, saves a count): a member
+    in fewer than `share` of all rows is rare."""
     if not columns:
         return CategoryMap({}, [], train.sparkSession.createDataFrame([], "column string, member string"))
     text = train.select(*[F.col(quote(c)).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
@@ -113,7 +116,7 @@ def fit_categories(train: DataFrame, columns: list[str], share: float = RARE_CAT
             "n",
         )
     )
-    least = F.lit(share) * F.lit(train.count())
+    least = F.lit(share) * F.lit(train.count() if rows is None else rows)
     rare = counts.where(F.col("n") < least).select("column", "member")
     frequent: dict[str, list[str | None]] = {c: [] for c in columns}
     for r in counts.where(F.col("n") >= least).collect():  # at most 1 / share members a column
@@ -240,12 +243,13 @@ def train_value_regressor(
     """Auto-map, guess the target, fit GBT (100 trees, depth 3, rate 0.1) on
     an 80/20 hash split and report MAE, R² and MAPE on the held-out part.
     With `out`, saves the fitted model and the test predictions there."""
-    mapped, mapping = auto_map(df)
-    facts_df = column_facts(mapped)
-    target = guess_target(mapped, mapping.get("value"), facts_df)
+    raw = column_facts(df)
+    mapped, mapping = auto_map(df, facts=raw)
+    facts = mapped_facts(raw, df, mapped)
+    target = guess_target(mapped, mapping.get("value"), facts)
     if not target:
         raise ValueError("could not infer a numeric target (value, amount, revenue …)")
-    num, cat = split_features([c for c in mapped.columns if c != target], facts_df)
+    num, cat = split_features([c for c in mapped.columns if c != target], facts)
     fields = {f.name: f.dataType for f in mapped.schema.fields}
     prepared = mapped.select(
         _number(target, fields).alias("label"),
@@ -253,24 +257,25 @@ def train_value_regressor(
         *[F.col(quote(c)).cast("string").alias(c) for c in cat],
     ).where(F.col("label").isNotNull())
     flag = in_train(["label", *num, *cat], test_fraction, seed)
-    # one pass: rows on both sides, and count, min and max of the training rows' numbers
     train = prepared.where(flag)
-    sides = prepared.agg(F.count(F.lit(1)).alias("rows"), F.count_if(flag).alias("train")).first()
-    if sides["rows"] < 10:
-        raise ValueError(f"not enough known targets in {target!r} to train (found {sides['rows']})")
-    head = train.agg(*stats_columns(num)).first() if num else {}
+    # one pass: rows on both sides, input splits, and count, min and max of the training numbers
+    seen = prepared.select(flag.alias("t"), F.spark_partition_id().alias("p"), *[F.when(flag, F.col(quote(c))).alias(f"x{i}") for i, c in enumerate(num)])
+    head = seen.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("t").alias("train"), F.max("p").alias("last"), *stats_columns([f"x{i}" for i in range(len(num))])
+    ).first()
+    if head["rows"] < 10:
+        raise ValueError(f"not enough known targets in {target!r} to train (found {head['rows']})")
     known = {c: (head[f"n{i}"], head[f"a{i}"], head[f"b{i}"]) for i, c in enumerate(num)}
-    gaps = [c for c in num if known[c][0] < sides["train"]]
+    gaps = [c for c in num if known[c][0] < head["train"]]
     medians = {c: q[0] for c, q in exact_quantiles(train, {c: [0.5] for c in gaps}, stats=known).items() if q[0] is not None}
-    fitted = fit_categories(train, cat)
+    fitted = fit_categories(train, cat, rows=head["train"])
     model = ValueModel(target, num, cat, medians, fitted, None)
 
     # boosting re-reads the training vectors once per tree level and iteration: an input of
     # fewer splits than task slots is spread out once; a larger one is left alone
     slots = df.sparkSession.sparkContext.defaultParallelism
     vectors = model.features(train, ["label"], met=True)
-    parts = train.select(F.spark_partition_id().alias("p")).distinct().count()
-    vectors = materialize(vectors.repartition(slots) if parts < slots else vectors)
+    vectors = materialize(vectors.repartition(slots) if (head["last"] or 0) + 1 < slots else vectors)
     model.trees = GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed,
     ).fit(vectors)

@@ -168,31 +168,34 @@ def q_missingness_customer(spark, sf):
     return profile.missingness(table(spark, sf, "customer"))
 
 
-@register(
-    "column_profile_customer",
-    "\nUNION ALL ".join(
-        f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, count(DISTINCT {c}) AS {_q('unique')}, "
-        f"{_missing_expr(c, t)} AS missing, "
-        f"round_even(CAST({_missing_expr(c, t)} AS DOUBLE) / count(*) * 100.0, 2) AS missing_pct FROM customer"
-        for c, t in CUSTOMER_COLS
-    ),
-)
+def _profile_sql(source: str, cols: list[tuple[str, str]], unsampled: tuple[str, ...] = ()) -> str:
+    """One row per column: counts, and the three smallest distinct values as text."""
+    def samples(c: str, t: str) -> str:
+        if c in unsampled:
+            return "CAST(NULL AS VARCHAR)"
+        own = f"{c} IS NOT NULL" + (f" AND NOT isnan({c})" if t in ("double", "float") else "")
+        return (
+            f"array_to_string(coalesce((SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM "
+            f"(SELECT DISTINCT {c} AS v FROM {source} WHERE {own} ORDER BY v LIMIT 3)), []), '|')"
+        )
+
+    return "\nUNION ALL ".join(
+        f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, (SELECT count(DISTINCT {c}) FROM {source}) AS {_q('unique')}, "
+        f"(SELECT {_missing_expr(c, t)} FROM {source}) AS missing, "
+        f"(SELECT round_even(CAST({_missing_expr(c, t)} AS DOUBLE) / count(*) * 100.0, 2) FROM {source}) AS missing_pct, "
+        f"{samples(c, t)} AS sample_values"
+        for c, t in cols
+    )
+
+
+@register("column_profile_customer", _profile_sql("customer", CUSTOMER_COLS))
 def q_column_profile(spark, sf):
-    return profile.column_profile(table(spark, sf, "customer")).drop("sample_values")
+    return profile.column_profile(table(spark, sf, "customer"))
 
 
-@register(
-    "column_profile_dirty_events",
-    _with(DIRTY_EVENTS_SQL)
-    + "\nUNION ALL ".join(
-        f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, count(DISTINCT {c}) AS {_q('unique')}, "
-        f"{_missing_expr(c, t)} AS missing, "
-        f"round_even(CAST({_missing_expr(c, t)} AS DOUBLE) / count(*) * 100.0, 2) AS missing_pct FROM d"
-        for c, t in DIRTY_COLS
-    ),
-)
+@register("column_profile_dirty_events", _with(DIRTY_EVENTS_SQL) + _profile_sql("d", DIRTY_COLS))
 def q_column_profile_dirty(spark, sf):
-    return profile.column_profile(dirty_events(spark, sf)).drop("sample_values")
+    return profile.column_profile(dirty_events(spark, sf))
 
 
 @register("table_summary_customer", "SELECT count(*) AS rows, 5 AS cols FROM customer")
@@ -647,15 +650,18 @@ def _facts_sql(source: str, cols: list[tuple[str, str]]) -> str:
 
 
 def _suggest_sql(source: str, cols: list[tuple[str, str]]) -> str:
-    from tablelens.functions.constants import ROLES as _ROLES
-    from tablelens.operators.roles import name_score
+    from tablelens.functions.constants import ROLE_SYNONYMS, ROLES
 
-    lex = ", ".join(
-        f"('{r}', '{c}', {name_score(c, r)}, {ri})" for ri, r in enumerate(_ROLES) for c, _ in cols
-    )
+    synonyms = ", ".join(f"('{r}', {k}, '{x}')" for k, r in enumerate(ROLES) for x in ROLE_SYNONYMS.get(r, []))
+    names = ", ".join(f"('{c}')" for c, _ in cols)
     return _with(
         _facts_sql(source, cols),
-        f"lex(role, {_q('column')}, lex, role_pos) AS (VALUES {lex})",
+        f"syn(role, role_pos, synonym) AS (VALUES {synonyms})",
+        f"nm({_q('column')}) AS (VALUES {names})",
+        """lex AS (SELECT role, role_pos, "column", sum(CASE WHEN lower("column") = synonym THEN 3
+            WHEN contains(lower("column"), synonym) THEN 2
+            WHEN len(list_intersect(regexp_extract_all(lower("column"), '[0-9a-z]+'), regexp_extract_all(lower(synonym), '[0-9a-z]+'))) > 0 THEN 1
+            ELSE 0 END) AS lex FROM syn CROSS JOIN nm GROUP BY 1, 2, 3)""",
         """s AS (SELECT lex.role, lex."column", f.pos, lex.lex + CASE
             WHEN lex.role = 'event_ts' THEN CASE WHEN CAST(date_parses AS DOUBLE) / rows >= 0.7 THEN 2
                                                 WHEN CAST(date_parses AS DOUBLE) / rows >= 0.3 THEN 1 ELSE 0 END
@@ -939,23 +945,16 @@ def q_missingness_embeddings(spark, sf):
     return profile.missingness(table(spark, sf, "embeddings"))
 
 
-def _profile_sql(source: str, cols: list[tuple[str, str]]) -> str:
-    return "\nUNION ALL ".join(
-        f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, count(DISTINCT {c}) AS {_q('unique')}, "
-        f"{_missing_expr(c, t)} AS missing, "
-        f"round_even(CAST({_missing_expr(c, t)} AS DOUBLE) / count(*) * 100.0, 2) AS missing_pct FROM {source}"
-        for c, t in cols
-    )
-
-
-@register("column_profile_embeddings", _profile_sql("embeddings", EMBEDDINGS_COLS))
+@register("column_profile_embeddings", _profile_sql("embeddings", EMBEDDINGS_COLS, ("embedding",)))
 def q_profile_embeddings(spark, sf):
-    return profile.column_profile(table(spark, sf, "embeddings")).drop("sample_values")
+    """The vectors' samples are left out: engines write floats differently."""
+    found = profile.column_profile(table(spark, sf, "embeddings"))
+    return found.withColumn("sample_values", F.when(F.col("column") != "embedding", F.col("sample_values")))
 
 
 @register("column_profile_labels", _profile_sql("labels", LABELS_COLS))
 def q_profile_labels(spark, sf):
-    return profile.column_profile(table(spark, sf, "labels")).drop("sample_values")
+    return profile.column_profile(table(spark, sf, "labels"))
 
 
 @register(
@@ -999,16 +998,7 @@ def q_schema_report(spark, sf):
 
 @register(
     "column_profile_sales",
-    _with(SALES_SQL)
-    + "\nUNION ALL ".join(
-        f"SELECT '{c}' AS {_q('column')}, '{t}' AS dtype, (SELECT count(DISTINCT {c}) FROM sales) AS {_q('unique')}, "
-        f"(SELECT count(*) FILTER (WHERE {c} IS NULL) FROM sales) AS missing, "
-        f"(SELECT round_even(CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) * 100.0, 2) FROM sales) "
-        f"AS missing_pct, "
-        f"array_to_string(coalesce((SELECT list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM sales "
-        f"WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)), []), '|') AS sample_values"
-        for c, t in SALES_COLS
-    ),
+    _with(SALES_SQL) + _profile_sql("sales", SALES_COLS),
 )
 def q_column_profile_sales(spark, sf):
     return profile.column_profile(sales(spark, sf))
