@@ -354,8 +354,14 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     if bounds["a"] is None:
         return spark.createDataFrame([], "bin int, lo double, hi double, n bigint")
     a, b = float(bounds["a"]), float(bounds["b"])
-    width = b / bins - a / bins if math.isinf(b - a) else (b - a) / bins
-    if math.isinf(b - a):  # the span is beyond the largest double: halves have a finite one
+    endless = math.isinf(b - a)  # the span is beyond the largest double: halves have a finite one
+
+    def edge(k: Column) -> Column:
+        if endless:
+            return F.lit(a) * (1 - k / bins) + F.lit(b) * (k / bins)
+        return F.lit(a) + k * F.lit((b - a) / bins)
+
+    if endless:
         idx = F.least(F.floor((F.col("x") / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) * F.lit(bins)), F.lit(bins - 1))
     elif b > a:
         idx = F.least(F.floor((F.col("x") - F.lit(a)) / F.lit(b - a) * F.lit(bins)), F.lit(bins - 1))
@@ -367,8 +373,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
         spine.join(F.broadcast(counts), "bin", "left")
         .select(
             "bin",
-            (F.lit(a) + F.col("bin") * F.lit(width)).alias("lo"),
-            (F.lit(a) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
+            edge(F.col("bin")).alias("lo"),
+            edge(F.col("bin") + 1).alias("hi"),
             F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
         )
         .orderBy("bin")
