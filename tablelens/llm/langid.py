@@ -29,26 +29,38 @@ PROFILE = 400
 LONGEST = 3
 _BITS = np.uint64(21)
 _FOLD: np.ndarray | None = None
+_MARK: np.ndarray | None = None
 
 
-def fold_table() -> np.ndarray:
-    """Lower-case letter of every code point; 0 for what is no letter."""
-    table = np.zeros(0x110000, np.uint32)
+def fold_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letter of every code point (marks are themselves; 0 for what is neither),
+    and whether it is a mark."""
+    table, mark = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
     for cp in range(0x110000):
         c = chr(cp)
-        if unicodedata.category(c)[0] in "LM":
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
             low = c.lower()
             table[cp] = ord(low) if len(low) == 1 else cp
-    return table
+            mark[cp] = kind == "M"
+    return table, mark
+
+
+def _without_bare_marks(c: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Marks belong to words that have a letter; words of marks only become blank."""
+    inside = c > 0
+    word = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]))
+    letters = np.bincount(word, inside & ~mark, int(word[-1]) + 1)
+    return np.where(inside & (letters[word] > 0), c, 0)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, n-gram) of all texts of a buffer, unordered; n-grams packed 21 bits a character.
 
     A blank is code 1 here: every word is preceded and followed by one."""
-    global _FOLD
+    global _FOLD, _MARK
     if _FOLD is None:
-        _FOLD = fold_table()
+        _FOLD, _MARK = fold_tables()
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -57,7 +69,11 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     c = _FOLD[cps].astype(np.uint64)
     # put a blank before each text, so that no word crosses texts
     first = np.searchsorted(lead, offsets[:-1][np.diff(offsets) > 0])
-    c = np.concatenate([np.insert(c, first, 0), np.zeros(1, np.uint64)])
+    mark = _MARK[cps]
+    c = np.insert(c, first, 0)
+    if mark.any():
+        c = _without_bare_marks(c, np.insert(mark, first, False))
+    c = np.concatenate([c, np.zeros(1, np.uint64)])
     row = np.concatenate([np.insert(row, first, row[first]), row[-1:]])
     letter = c > 0
     c = np.where(letter, c, np.uint64(1))
