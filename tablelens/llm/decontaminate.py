@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_table, chunks, list_column, runs, slice_hashes
+from .common import LOWER, byte_table, chunks, cut, list_column, runs, slice_hashes
 
 #: Consecutive words of a window.
 WINDOW = 10
@@ -266,6 +266,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_c
     for block in range(blocks):
         part = items.where(F.col("block") == block) if blocks > 1 else items
         docs = _pass(docs, [(r.item, r.text) for r in part.select("item", "text").collect()], window, text_col)
+        if block + 1 < blocks:  # this block is done before the next one comes to the driver
+            docs = cut(docs)
     return docs
 
 
