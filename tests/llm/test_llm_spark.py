@@ -213,8 +213,10 @@ def test_language_id(spark):
     profiles = langid.learn(known.where("doc_id % 2 = 0"))
     got = langid.predict(known.where("doc_id % 2 = 1 and n_chars > 200").withColumn("score", F.lit(0)), profiles)
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
-    odd = langid.predict(docs(spark, [(0, None), (1, ""), (2, "12 !"), (3, "é")]), profiles).orderBy("doc_id").collect()
-    assert [r.lang_pred for r in odd[:3]] == ["und"] * 3 and odd[3].lang_pred in profiles
+    odd = langid.predict(docs(spark, [(0, None), (1, ""), (2, "12 !"), (3, "\u0301 \u0308\u0303 7"), (4, "é"), (5, "e\u0301 \u0301"), (5, "e\u0301 \u0301")]), profiles)
+    odd = odd.orderBy("doc_id").collect()
+    assert [r.lang_pred for r in odd[:4]] == ["und"] * 4 and all(r.lang_pred in profiles for r in odd[4:])
+    assert [r.score for r in odd[:4]] == [0.0] * 4 and odd[5] == odd[6]
     assert langid.learn(known.limit(0)) == {}
     assert {r.lang_pred for r in langid.predict(known.limit(5), {}).collect()} == {"und"}
 
@@ -288,6 +290,79 @@ def test_secrets_assigned_values(spark):
     assert {r.doc_id for r in secrets.scan(docs(spark, rows)).collect()} == set(range(40))
 
 
+def test_pii_of_texts_with_very_many_spans(spark):
+    # one domain of many labels; many addresses with terms between them, in two texts
+    labels = "a@b" + ".c" * 100_000
+    many = " ".join(f"10.0.{i % 250}.{i % 200} host{'abc'[i % 3]}wort" for i in range(1500))
+    frame = docs(spark, [(0, labels), (1, many), (2, "10.0.3.3 hostawort and 10.0.3.3"), (3, "x")])
+    got = {r.doc_id: r for r in pii.digest(pii.find(frame.drop("pii", "spans"))).collect()}
+    assert [(got[k].n_email, got[k].n_ip) for k in range(4)] == [(1, 0), (0, 1500), (0, 2), (0, 0)]
+    assert got[0].spans == f"email:0:{len(labels)}"
+    base = [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", many)]
+    assert [x for x in got[1].spans.split(",") if x.startswith("ip")] == base
+    out = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
+    assert out[0] == "<EMAIL>" and out[1].count("<IP>") == 1500 and out[3] == "x"
+    # base spans inside others, and what of the text stays between them
+    assert {r.text for r in pii.sanitise(docs(spark, [(0, "é 1.1.1.1.x@y.zz, +1 (234) 567-8901; ñ")])).collect()} == {"é <EMAIL>, <PHONE>; ñ"}
+
+
+def test_context_terms_do_not_touch_any_base_span(spark):
+    text = "prefixword 10.0.0.1 middleword me@mailhost.example tailword " + "x" * 130 + " farword"
+    rows = pii._mentions(pii._with_base(spark.createDataFrame([(text,)], "text string"), "text")).collect()
+    assert {r.entity: sorted(r.terms) for r in rows} == {
+        "ip:10.0.0.1": ["middleword", "prefixword", "tailword"],
+        "email:me@mailhost.example": ["middleword", "prefixword", "tailword"],
+    }
+
+
+def pipeline_rows():
+    words = [f"w{k}" for k in range(30)]
+    rng = random.Random(4)
+    base = [rng.choice(words) for _ in range(40)]
+    near = [*base[:20], "other", *base[21:]]
+    rows = [(0, None), (1, ""), (2, " "), (3, " ".join(base)), (4, " ".join(near)), (5, " ".join(base)), (5, " ".join(base))]
+    rows += [(k, " ".join(rng.choice(words) for _ in range(25))) for k in range(6, 20)]
+    rows += [(20, "write to me@mail.example or 10.1.2.3 soon"), (21, "before " + " ".join(f"q{k}" for k in range(10)) + " after"), (None, "no id here at all but words")]
+    rows += [(22, " ".join(f"q{k}" for k in range(10))), (23, "long " + "z1 z2 " * 20_000)]
+    return rows
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    rows = pipeline_rows()
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(10))), (2, None), (3, "")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    run = lambda name, f: stage[name](spark, f, str(tmp_path))
+    key = lambda r: (str(r[0]), str(r[1]))
+    # without labels nothing is rejected
+    assert sorted(run("toxicity", frame).select("doc_id", "text").collect(), key=key) == sorted(rows, key=key)
+    # near duplicates: sets of five words, the smallest id of each group, repeated rows once
+    distinct = list(dict.fromkeys(rows))
+    sets = []
+    for _, t in distinct:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    want = [distinct[i] for i, r in enumerate(linked(sets)) if r == i]
+    got = run("near_duplicates", frame)
+    assert sorted((tuple(r) for r in got.select("doc_id", "text").distinct().collect()), key=key) == sorted(want, key=key)
+    # benchmark windows are cut, emptied documents go
+    cut = {r.doc_id: r.text for r in run("decontamination", frame).collect()}
+    assert 22 not in cut and cut[21].split() == ["before", "after"] and cut[20] == rows[-5][1] and cut[0] is None
+    assert len(cut) == len({i for i, _ in rows}) - 1
+    # personal data
+    clean = {r.doc_id: r for r in run("pii", frame).collect()}
+    assert clean[20].text == "write to <EMAIL> or <IP> soon" and clean[20].n_chars == len(clean[20].text)
+    assert clean[3].text == rows[3][1] and clean[0].text is None
+    # tokens decode to the texts
+    tokens = run("byte_bpe", frame).withColumn("text", F.lit(None).cast("string"))
+    back = sorted((bytes(r.decoded).decode() for r in bpe.decode(tokens).collect()))
+    assert back == sorted(t or "" for _, t in rows)
+    for name in stage:
+        assert run(name, frame.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SMALL).collect()
     source = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
