@@ -173,4 +173,61 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0)
 WHERE rank <= 50"""
 
-SQL: dict[str, str] = {"op11_conversation_trie": _OP11, "op13_ranked_search": _OP13}
+# components by the smallest id reachable over links (a, b), both ways
+_REACHED = """
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS x, b AS y FROM both_ways UNION SELECT r.x, l.b FROM reach r JOIN both_ways l ON l.a = r.y),
+component AS (SELECT x, least(min(y), x) AS c FROM reach GROUP BY x)"""
+
+_OP2 = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[i:i + 3] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+links AS (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+  JOIN sizes na ON na.doc_id = p.a JOIN sizes nb ON nb.doc_id = p.b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+{_REACHED.strip()}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN component ON x = d.doc_id"""
+
+_OP5 = f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM sound p JOIN sound q
+  ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.v) = len(q.v) AND list_cosine_similarity(p.v, q.v) >= 0.93),
+{_REACHED.strip()},
+degrees AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degrees ON id = e.vec_id LEFT JOIN component ON x = e.vec_id"""
+
+_OP8 = f"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWERED}, {_TERM}), []) AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWERED}, {_TERM}) AS w FROM benchmark WHERE text IS NOT NULL),
+searched AS (
+  SELECT DISTINCT item, CASE WHEN len(w) < 10 THEN w ELSE w[i:i + 9] END AS s
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+windows AS (
+  SELECT doc_id, size, i, w[i:i + size - 1] AS s
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT len(s) AS size FROM searched) WHERE len(w) >= size)),
+found AS (SELECT doc_id, size, i, item FROM windows JOIN searched USING (s)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY 1),
+owners AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(owners.n, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN owners ON owners.doc_id = d.doc_id"""
+
+#: The others need a trained model, a digest over bytes, or a library.
+SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": _OP2,
+    "op5_embedding_near_dedup": _OP5,
+    "op8_decontaminate": _OP8,
+    "op11_conversation_trie": _OP11,
+    "op13_ranked_search": _OP13,
+}

@@ -168,7 +168,7 @@ def test_bounds_are_never_below_the_scores():
 def test_sql_twin(spark, name):
     found = queries.QUERIES[name](spark, SMALL)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     names = sorted(found.columns)
     want = con.execute(f"SELECT {', '.join(names)} FROM ({queries.SQL[name]})").fetchall()
