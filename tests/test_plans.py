@@ -35,3 +35,30 @@ def test_top_k_limited_before_exchange(spark):
     df.collect()
     plan = _plan(df)
     assert "WindowGroupLimit" in plan
+
+
+def _jobs(spark, name, run) -> int:
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    run()
+    return len(sc.statusTracker().getJobIdsForGroup(name))
+
+
+def test_statistics_passes_are_shared(spark):
+    """Jobs (one per query stage): a pass that is no longer shared shows up here."""
+    from tablelens.operators import cleaning, stats
+    from tablelens.plans.fixtures import dirty_events, table
+
+    d = dirty_events(spark, SF_SMALL)
+    assert _jobs(spark, "clean", lambda: cleaning.clean(d, id_col="user_id", ts_col="ts")) <= 17
+    li = table(spark, SF_SMALL, "lineitem")
+    probs = {c: [0.5, 0.99] for c in ("l_quantity", "l_extendedprice", "l_tax", "l_discount")}
+    assert _jobs(spark, "quantiles", lambda: stats.exact_quantiles(li, probs)) <= 8
+
+
+def test_exact_duplicates_take_one_scan_and_no_join(spark):
+    from tablelens.operators.profile import exact_row_counts
+    from tablelens.plans.fixtures import table
+
+    plan = _plan(exact_row_counts(table(spark, SF_SMALL, "documents")))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2 and "Join" not in plan
