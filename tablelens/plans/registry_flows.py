@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.operators import cleaning, columns, ml, roles, stats
+from tablelens.operators import cleaning, columns, insight, ml, roles, stats
 from tablelens.plans import flows
 from tablelens.plans.fixtures import DIRTY_EVENTS_SQL, SALES_SQL, dirty_events, sales, table
 from tablelens.plans.registry import (
@@ -251,6 +251,23 @@ def q_parquet(spark, sf):
     return found
 
 
+@register(
+    "drivers_csv_sales",
+    _with(SALES_SQL)
+    + """, m AS (SELECT max(event_ts) AS hi FROM sales),
+r AS (SELECT sales.* FROM sales, m WHERE sales.event_ts BETWEEN m.hi - INTERVAL 28 DAY AND m.hi),
+u AS (SELECT 'category' AS dimension, category AS member, value AS v FROM r UNION ALL SELECT 'state', state, value FROM r),
+g AS (SELECT dimension, member, CAST(sum(v) AS DOUBLE) AS value FROM u WHERE member IS NOT NULL GROUP BY 1, 2)
+SELECT dimension, member, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY value DESC, member) AS rn FROM g) WHERE rn <= 10""",
+)
+def q_drivers_csv(spark, sf):
+    """The drivers' CSV, read again."""
+    drivers = insight.top_drivers(sales(spark, sf), "event_ts", "value")
+    found = readers.read_csv(spark, writers.write_drivers(drivers, shared_folder(spark, "drivers")))
+    return found.withColumn("value", F.col("value").cast("double"))
+
+
 @register("preview_orders", "SELECT count(*) AS rows, 6 AS cols, least(count(*), 5) AS shown FROM orders")
 def q_preview(spark, sf):
     seen = readers.preview(table(spark, sf, "orders"))

@@ -100,3 +100,10 @@ def test_monotonic_by_an_explicit_order_whatever_the_layout(spark):
     # equal order values: unordered among themselves
     ties = spark.createDataFrame([(1, 2), (1, 1), (2, 2), (None, 0)], "o bigint, `x.y` bigint")
     assert roles.monotonic_columns(ties, ["x.y"], order_by="o") == {"x.y"}
+
+
+def test_order_test_with_and_without_grouping(spark):
+    rows = [(i * 37 % 1000, i * 37 % 1000 // 3, -(i * 37 % 1000), None if i == 5 else i * 37 % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, up int, down int, gap int").repartition(5)
+    for unique in (True, False):
+        assert roles.monotonic_columns(df, ["k", "up", "down", "gap"], "k", unique=unique) == {"k", "up"}
