@@ -243,6 +243,11 @@ def train_value_regressor(
     """Auto-map, guess the target, fit GBT (100 trees, depth 3, rate 0.1) on
     an 80/20 hash split and report MAE, R² and MAPE on the held-out part.
     With `out`, saves the fitted model and the test predictions there."""
+    # every step below re-reads the table, boosting once per tree level and iteration: an input
+    # of fewer splits than task slots is dealt out once; a larger one is left alone
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if (df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1 < slots:
+        df = materialize(df.repartition(slots))
     raw = column_facts(df)
     mapped, mapping = auto_map(df, facts=raw)
     facts = mapped_facts(raw, df, mapped)
@@ -258,10 +263,10 @@ def train_value_regressor(
     ).where(F.col("label").isNotNull())
     flag = in_train(["label", *num, *cat], test_fraction, seed)
     train = prepared.where(flag)
-    # one pass: rows on both sides, input splits, and count, min and max of the training numbers
-    seen = prepared.select(flag.alias("t"), F.spark_partition_id().alias("p"), *[F.when(flag, F.col(quote(c))).alias(f"x{i}") for i, c in enumerate(num)])
+    # one pass: rows on both sides, and count, min and max of the training numbers
+    seen = prepared.select(flag.alias("t"), *[F.when(flag, F.col(quote(c))).alias(f"x{i}") for i, c in enumerate(num)])
     head = seen.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("t").alias("train"), F.max("p").alias("last"), *stats_columns([f"x{i}" for i in range(len(num))])
+        F.count(F.lit(1)).alias("rows"), F.count_if("t").alias("train"), *stats_columns([f"x{i}" for i in range(len(num))])
     ).first()
     if head["rows"] < 10:
         raise ValueError(f"not enough known targets in {target!r} to train (found {head['rows']})")
@@ -271,11 +276,7 @@ def train_value_regressor(
     fitted = fit_categories(train, cat, rows=head["train"])
     model = ValueModel(target, num, cat, medians, fitted, None)
 
-    # boosting re-reads the training vectors once per tree level and iteration: an input of
-    # fewer splits than task slots is spread out once; a larger one is left alone
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    vectors = model.features(train, ["label"], met=True)
-    vectors = materialize(vectors.repartition(slots) if (head["last"] or 0) + 1 < slots else vectors)
+    vectors = materialize(model.features(train, ["label"], met=True))
     model.trees = GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed,
     ).fit(vectors)
