@@ -18,7 +18,7 @@ def both(spark):
 
 def rows(df):
     names = {new: old for old, new in NAMES.items()}
-    return sorted(tuple(names.get(x, str(x).replace("user.id", "user_id").replace("event.ts (utc)", "ts")) for x in r) for r in df.collect())
+    return sorted(tuple(names.get(str(x), str(x).replace("user.id", "user_id").replace("event.ts (utc)", "ts")) for x in r) for r in df.collect())
 
 
 @pytest.mark.parametrize(
