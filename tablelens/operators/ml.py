@@ -1,12 +1,12 @@
 """Value regressor: target guess, feature split, encoding, gradient-boosted
-trees, metrics, persistence — on Spark ML.
+trees, metrics, persistence.
 
 Scale notes: a fitted category map keeps indicator columns only for members
 holding at least 1 % of the training rows (at most 100 per column, the only
 names that reach the driver); the rarer members stay a distributed table. The
 split is a hash of the row, so it does not depend on partitioning. Features are
-assembled to vectors once, and the checkpointed vectors are what the boosting
-iterations read.
+binned once, and the stored bins are what the boosting iterations read
+(`operators.boosting`).
 """
 
 from __future__ import annotations
@@ -14,14 +14,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions.constants import RARE_CATEGORY_SHARE, TARGET_CANDIDATES
 from tablelens.functions.expressions import to_number
 from tablelens.functions.names import quote
+from tablelens.operators import boosting
 from tablelens.operators.roles import auto_map, column_facts, infer_columns, mapped_facts
 from tablelens.operators.stats import exact_quantiles, per_column_counts, stats_columns
 from tablelens.session import materialize
@@ -183,22 +182,27 @@ class ValueModel:
     categorical: list[str]
     medians: dict[str, float]
     categories: CategoryMap
-    trees: GBTRegressionModel
+    trees: boosting.BoostedTrees
+
+    def feature_names(self) -> list[str]:
+        return [f"num{i}" for i in range(len(self.numeric))] + [f"ind{i}" for i in range(len(self.categories.indicators()))]
 
     def features(self, df: DataFrame, keep: list[str], met: bool = False) -> DataFrame:
-        """`keep` and the assembled vector `features` of prepared rows."""
+        """`keep` and the columns `feature_names` of prepared rows."""
         coded = category_codes(df, self.categories, met)
         values = [F.coalesce(F.col(quote(c)), F.lit(self.medians.get(c, 0.0))).alias(f"num{i}") for i, c in enumerate(self.numeric)]
-        marks = indicator_columns(self.categories)
-        names = [f"num{i}" for i in range(len(values))] + [f"ind{i}" for i in range(len(marks))]
-        rows = coded.select(*[F.col(quote(k)) for k in keep], *values, *marks)
-        return VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names)
+        return coded.select(*[F.col(quote(k)) for k in keep], *values, *indicator_columns(self.categories))
+
+    def scored(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """`keep` and `prediction` of prepared rows."""
+        rows = self.features(df, keep)
+        found = self.trees.prediction([F.col(f) for f in self.feature_names()])
+        return rows.select(*[F.col(quote(k)) for k in keep], found.alias("prediction"))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Rows of the feature columns (others are kept) with a column `prediction`."""
         fields = {f.name: f.dataType for f in df.schema.fields}
-        rows = df.withColumns({c: _number(c, fields) for c in self.numeric})
-        return self.trees.transform(self.features(rows, df.columns)).drop("features")
+        return self.scored(df.withColumns({c: _number(c, fields) for c in self.numeric}), df.columns)
 
     def save(self, path: str) -> None:
         spec = {
@@ -206,7 +210,7 @@ class ValueModel:
             "frequent": self.categories.frequent, "pooled": self.categories.pooled,
         }
         spark = self.categories.rare.sparkSession
-        self.trees.write().overwrite().save(f"{path}/trees")
+        self.trees.save(f"{path}/trees")
         self.categories.rare.write.mode("overwrite").parquet(f"{path}/rare")
         spark.createDataFrame([(json.dumps(spec),)], "spec string").write.mode("overwrite").parquet(f"{path}/spec")
 
@@ -215,7 +219,7 @@ class ValueModel:
         spark = SparkSession.active()
         spec = json.loads(spark.read.parquet(f"{path}/spec").first()["spec"])
         fitted = CategoryMap(spec["frequent"], spec["pooled"], spark.read.parquet(f"{path}/rare"))
-        trees = GBTRegressionModel.load(f"{path}/trees")
+        trees = boosting.BoostedTrees.load(f"{path}/trees")
         return ValueModel(spec["target"], spec["numeric"], spec["categorical"], spec["medians"], fitted, trees)
 
 
@@ -276,11 +280,15 @@ def train_value_regressor(
     fitted = fit_categories(train, cat, rows=head["train"])
     model = ValueModel(target, num, cat, medians, fitted, None)
 
-    vectors = materialize(model.features(train, ["label"], met=True))
-    model.trees = GBTRegressor(
-        featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed,
-    ).fit(vectors)
-    scored = model.trees.transform(model.features(prepared.where(~flag), ["label", *num, *cat])).select(
+    distinct = {r["column"]: r["distinct"] + 1 for r in facts.collect()}  # one more: the median
+    rows = model.features(train, ["label"], met=True)
+    names = model.feature_names()
+    edges = boosting.feature_edges(rows, names[: len(num)], {f"num{i}": distinct[c] for i, c in enumerate(num)})
+    edges += [[0.5]] * (len(names) - len(num))
+    model.trees = boosting.fit(
+        rows, "label", names, edges, head["train"], max_iter=max_iter, max_depth=max_depth, step_size=step_size
+    )
+    scored = model.scored(prepared.where(~flag), ["label", *num, *cat]).select(
         *[F.col(quote(c)) for c in [*num, *cat]], F.col("label").alias("actual_value"), F.col("prediction").alias("predicted_value")
     )
     result = {"target": target, "features": {"numeric": num, "categorical": cat},

@@ -23,6 +23,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelens.session import materialize
 from tablelens.functions.names import quote
@@ -35,6 +36,8 @@ _MAX_CANDIDATES = 100_000
 _MIN_SHRINK = 64
 _MAX_ROUNDS = 6
 _MAX_GROUPING_SET_COLUMNS = 60
+_SHORT_TYPES = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                T.DateType, T.TimestampType, T.TimestampNTZType)
 _WIDTH, _RATIO, _STUCK = range(3)
 
 
@@ -303,6 +306,24 @@ def per_column_counts(df: DataFrame, cols: list[str], include_nulls: bool = Fals
     return out
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(g, u): the number of distinct non-null values of column g, exact, in one scan.
+
+    All columns share one narrow key: of a type of at most eight bytes the xxhash64, which
+    maps different values of one such type to different numbers (and 0.0 and -0.0, or all
+    NaN, to one), of any other type the text. Columns without values have no row."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    args = []
+    for g, name in enumerate(cols):
+        c, kind = F.col(quote(name)), kinds[name]
+        short = isinstance(kind, _SHORT_TYPES) or (isinstance(kind, T.DecimalType) and kind.precision <= 18)
+        number = F.when(c.isNotNull(), F.xxhash64(c)) if short else F.lit(None).cast("bigint")
+        args += [F.lit(g), number, F.lit(None).cast("string") if short else c.cast("string")]
+    keys = df.select(F.stack(F.lit(len(cols)), *args).alias("g", "number", "text"))
+    found = keys.where("number is not null or text is not null").distinct()
+    return found.groupBy("g").agg(F.count(F.lit(1)).alias("u"))
+
+
 def _per_column_counts_generate(df: DataFrame, cols: list[str], include_nulls: bool) -> DataFrame:
     # same result for very wide tables (grouping ids are limited to 64 bits): one slot per
     # data type, so a row grows with the number of columns, not with its square
